@@ -1,0 +1,42 @@
+"""Optional malformed-record handling for S2.
+
+Records are parsed in Arrow batches; a record that is not well-formed gets
+an ``error`` message instead of failing the job.  Field rules equal
+``parse_article_records`` (leading text of the element, stripped).
+"""
+
+from __future__ import annotations
+
+import xml.etree.ElementTree as ET
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+SCHEMA = "pmid string, title string, abstract string, error string"
+
+
+def _lead(el):
+    if el is None or el.text is None:
+        return None
+    return el.text.strip()
+
+
+def _parse_one(rec: str):
+    try:
+        root = ET.fromstring(rec)
+    except ET.ParseError as e:
+        return None, None, None, str(e)
+    pmid = _lead(root.find(".//PMID"))
+    title = _lead(root.find(".//ArticleTitle"))
+    parts = [a.text.strip() for a in root.findall(".//Abstract/AbstractText") if a.text]
+    return pmid, title, " ".join(parts), None
+
+
+def _batches(it):
+    for pdf in it:
+        rows = [_parse_one(r) for r in pdf["xml"]]
+        yield pd.DataFrame(rows, columns=["pmid", "title", "abstract", "error"])
+
+
+def parse_with_quarantine(records: DataFrame, xml_col: str = "xml") -> DataFrame:
+    return records.select(records[xml_col].alias("xml")).mapInPandas(_batches, SCHEMA)
