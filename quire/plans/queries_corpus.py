@@ -1 +1,258 @@
-"""Queries over the corpus sources."""
+"""Queries over the corpus sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.functions.text import NA_TOKENS
+from quire.operators.ordering import assign_batches, prefix_series, with_positions
+from quire.operators.patients import (admitted_label, assemble_info, fill_defaults,
+                                      patient_documents)
+from quire.plans.corpus import build_corpus, read_source, union_sources
+from quire.plans.registry import register, sql_clean
+from quire.session import scratch_path
+from quire.sources import fixtures as fx
+from quire.sources.articles import _records, parse_article_records
+from quire.sources.notes import read_notes
+from quire.sources.patients import read_patients
+from quire.sources.sinks import read_corpus, write_corpus
+
+_NA = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
+
+
+def sql_note(source: str, rank: int | None, clean: bool = True) -> str:
+    langs = ", ".join(f"'{x}'" for x in fx.NOTE_LANGS[source])
+    body = sql_clean("text") if clean else "text"
+    r = f", {rank} AS source_rank" if rank is not None else ""
+    return (f"SELECT doc_id, '{source}' AS source{r}, "
+            f"CASE WHEN text IN ({_NA}) THEN NULL ELSE {body} END AS clinical_text "
+            f"FROM documents WHERE lang IN ({langs})")
+
+
+SQL_ARTICLE_PARTS = r"""
+SELECT doc_id,
+       regexp_replace(ls[1], '^\s+|\s+$', '', 'g') AS title,
+       CASE WHEN len(ls) > 1 THEN array_to_string(list_transform(
+            list_filter(ls[2:], lambda x: x <> ''),
+            lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), ' ') END AS abstract
+FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
+"""
+
+
+def sql_articles(rank: int | None) -> str:
+    r = f", {rank} AS source_rank" if rank is not None else ""
+    return f"""
+SELECT doc_id, 'articles' AS source{r}, clinical_text FROM (
+  SELECT doc_id, CASE WHEN title <> '' AND abstract <> '' THEN title || ' ' || abstract
+                      WHEN title <> '' THEN title WHEN abstract <> '' THEN abstract END AS clinical_text
+  FROM ({SQL_ARTICLE_PARTS})) WHERE clinical_text <> ''"""
+
+
+def sql_code(source: str, rank: int | None) -> str:
+    name, version, key, desc = fx.CODE_TABLES[source]
+    r = f", {rank} AS source_rank" if rank is not None else ""
+    return (f"SELECT CAST({key} AS BIGINT) AS doc_id, '{source}' AS source{r}, "
+            f"'ICD {version} code for ' || {key} || ': ' || {desc} AS clinical_text FROM {name}")
+
+
+SQL_CORPUS = ("SELECT doc_id, source, source_rank, row_number() OVER (ORDER BY source_rank, doc_id) - 1 AS pos, "
+              "clinical_text FROM (" + " UNION ALL ".join([
+                  sql_note("discharge", 0), sql_note("radiology", 1), sql_articles(2),
+                  sql_code("diagnosis", 3), sql_code("procedure", 4), sql_code("hcpcs", 5)]) + ")")
+
+
+# ---- S1 / P1 / P2: notes ---------------------------------------------------
+
+def _notes(spark, sf_dir, clean=True):
+    docs = fx.table(spark, sf_dir, "documents")
+    frames = []
+    for src, langs in fx.NOTE_LANGS.items():
+        path = fx.render_notes(docs, scratch_path(spark, f"notes-{src}"), langs)
+        frames.append(read_notes(spark, path, src, clean=clean)
+                      .select("doc_id", "source", "clinical_text"))
+    return frames[0].unionByName(frames[1])
+
+
+@register("s1", sql_note("discharge", None) + " UNION ALL " + sql_note("radiology", None))
+def q_s1(spark, sf_dir):
+    return _notes(spark, sf_dir)
+
+
+@register("p1", sql_note("discharge", None, clean=False) + " UNION ALL "
+          + sql_note("radiology", None, clean=False))
+def q_p1(spark, sf_dir):
+    """P1 (metadata dropped when present) and P2 raw copy (no cleaning)."""
+    return _notes(spark, sf_dir, clean=False)
+
+
+# ---- S2 / T2-T4 / P5: articles ---------------------------------------------
+
+def _article_parts(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents")
+    path = fx.render_articles(docs, scratch_path(spark, "articles"))
+    return parse_article_records(_records(spark, path))
+
+
+@register("s2", sql_articles(None))
+def q_s2(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents")
+    path = fx.render_articles(docs, scratch_path(spark, "articles"))
+    return read_source(spark, "articles", path)
+
+
+@register("t2", f"SELECT doc_id, nullif(title, '') AS title FROM ({SQL_ARTICLE_PARTS})")
+def q_t2(spark, sf_dir):
+    p = _article_parts(spark, sf_dir)
+    return p.select(F.expr("try_cast(pmid AS BIGINT)").alias("doc_id"),
+                    F.nullif("title", F.lit("")).alias("title"))
+
+
+@register("t3", f"SELECT doc_id, coalesce(abstract, '') AS abstract FROM ({SQL_ARTICLE_PARTS})")
+def q_t3(spark, sf_dir):
+    p = _article_parts(spark, sf_dir)
+    return p.select(F.expr("try_cast(pmid AS BIGINT)").alias("doc_id"), "abstract")
+
+
+# ---- S3 / T5: code tables --------------------------------------------------
+
+@register("s3", " UNION ALL ".join(sql_code(s, None) for s in fx.CODE_TABLES))
+def q_s3(spark, sf_dir):
+    frames = [read_source(spark, s, fx.render_code_table(spark, sf_dir, s, scratch_path(spark, f"codes-{s}")))
+              for s in fx.CODE_TABLES]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@register("t5", " UNION ALL ".join(
+    f"SELECT '{v}' AS version, CAST({k} AS VARCHAR) AS code, "
+    f"'ICD {v} code for ' || {k} || ': ' || {d} AS text FROM {n}"
+    for n, v, k, d in fx.CODE_TABLES.values()))
+def q_t5(spark, sf_dir):
+    out = None
+    for s in fx.CODE_TABLES:
+        f = fx.code_frame(spark, sf_dir, s).select("version", "code", "text")
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+# ---- U1 / W1 / S6: the corpus ------------------------------------------------
+
+@register("u1", SQL_CORPUS)
+def q_u1(spark, sf_dir):
+    return build_corpus(spark, fx.render_all_sources(spark, sf_dir))
+
+
+@register("s6", f"SELECT source, count(*) AS n_rows, CAST(sum(length(clinical_text)) AS BIGINT) AS n_chars, "
+          f"min(pos) AS min_pos, max(pos) AS max_pos FROM ({SQL_CORPUS}) GROUP BY source")
+def q_s6(spark, sf_dir):
+    """Corpus written partitioned by source, read back, summarised."""
+    path = write_corpus(build_corpus(spark, fx.render_all_sources(spark, sf_dir)),
+                        scratch_path(spark, "corpus"))
+    c = read_corpus(spark, path)
+    return c.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("clinical_text")).cast("long").alias("n_chars"),
+        F.min("pos").alias("min_pos"), F.max("pos").alias("max_pos"))
+
+
+@register("w1", "SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS pos FROM documents")
+def q_w1(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return with_positions(d, ["n_chars", "doc_id"]).select("doc_id", "pos")
+
+
+SQL_DOC_POS = "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id, n_chars FROM documents"
+
+
+@register("w2", f"""
+SELECT prefix_size, n_rows, sum_n_chars FROM (
+  SELECT CAST((k + 1) * 500 AS BIGINT) AS prefix_size,
+         CAST(sum(r) OVER (ORDER BY k) AS BIGINT) AS n_rows,
+         CAST(sum(c) OVER (ORDER BY k) AS BIGINT) AS sum_n_chars
+  FROM (SELECT CAST(floor(pos / 500) AS BIGINT) AS k, count(*) AS r, sum(n_chars) AS c
+        FROM ({SQL_DOC_POS}) GROUP BY 1)) WHERE n_rows = prefix_size
+""")
+def q_w2(spark, sf_dir):
+    """Prefix series (W2): every full prefix of 500, 1000, ... rows."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    p = with_positions(d, ["doc_id"])
+    s = prefix_series(p, 500, ["n_chars"])
+    return s.where(F.col("n_rows") == F.col("prefix_size")).select(
+        "prefix_size", "n_rows", F.col("sum_n_chars").cast("long").alias("sum_n_chars"))
+
+
+@register("w3", f"""
+SELECT CAST(floor(pos / 64) AS BIGINT) AS batch_id, count(*) AS n_rows,
+       min(pos) AS first_pos, max(n_chars) AS max_chars
+FROM ({SQL_DOC_POS}) GROUP BY 1
+""")
+def q_w3(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    b = assign_batches(with_positions(d, ["doc_id"]), 64)
+    return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("pos").alias("first_pos"),
+                                     F.max("n_chars").alias("max_chars"))
+
+
+# ---- S4 / P6-P10 / E4: patients -------------------------------------------------
+
+SQL_PATIENTS = """
+SELECT CAST(c_custkey AS VARCHAR) AS patient_id,
+  CASE WHEN c_custkey % 11 <> 0 THEN 'Patient ' || c_name || ' arrived by walk-in. ' END AS arrival,
+  'Triage segment ' || c_mktsegment || '. ' AS triage,
+  CASE WHEN c_custkey % 7 <> 0 THEN 'Codes N' || c_nationkey || '. ' END AS codes,
+  CASE WHEN c_custkey % 7 <> 0 THEN 'Vitals recorded for ' || c_name || '. ' END AS vitals,
+  CASE WHEN c_custkey % 7 <> 0 THEN 'Dispensed order ' || o_orderkey || '. ' END AS pyxis,
+  CASE WHEN c_custkey % 7 <> 0 THEN 'Medication priority ' || o_orderpriority || '. ' END AS medrecon,
+  CASE o_orderstatus WHEN 'F' THEN 'Admitted' WHEN 'O' THEN 'ADMITTED to ward'
+                     WHEN 'P' THEN 'Discharged home' END AS eddischarge,
+  'Admission ' || c_custkey AS admission,
+  'Discharge ' || c_custkey AS discharge,
+  o_orderstatus AS eddischarge_category
+FROM customer LEFT JOIN (
+  SELECT o.* FROM orders o JOIN (SELECT o_custkey AS ck, min(o_orderkey) AS k FROM orders GROUP BY 1) f
+  ON o.o_orderkey = f.k) fo ON fo.o_custkey = c_custkey
+"""
+SQL_FILLED = f"""
+SELECT patient_id, arrival, triage,
+  coalesce(codes, 'The patient received no diagnostic codes') AS codes,
+  coalesce(vitals, 'The patient had no vitals recorded') AS vitals,
+  coalesce(pyxis, 'The patient did not receive any medications.') AS pyxis,
+  coalesce(medrecon, 'The patient was previously not taking any medications.') AS medrecon,
+  CASE WHEN contains(lower(eddischarge), 'admitted') THEN 1 ELSE 0 END AS eddischarge
+FROM ({SQL_PATIENTS})
+"""
+
+
+def _patients(spark, sf_dir):
+    path = fx.render_patients(spark, sf_dir, scratch_path(spark, "patients"))
+    return read_patients(spark, path, layout="lines")
+
+
+@register("s4", SQL_PATIENTS)
+def q_s4(spark, sf_dir):
+    return _patients(spark, sf_dir)
+
+
+@register("p6", f"SELECT patient_id, codes, vitals, pyxis, medrecon FROM ({SQL_FILLED})")
+def q_p6(spark, sf_dir):
+    return fill_defaults(_patients(spark, sf_dir)).select("patient_id", "codes", "vitals", "pyxis", "medrecon")
+
+
+@register("p7", f"SELECT patient_id, eddischarge FROM ({SQL_FILLED})")
+def q_p7(spark, sf_dir):
+    p = _patients(spark, sf_dir)
+    return p.select("patient_id", admitted_label("eddischarge").alias("eddischarge"))
+
+
+@register("p9", f"SELECT patient_id, arrival || codes || triage || vitals || pyxis || medrecon AS info "
+          f"FROM ({SQL_PATIENTS})")
+def q_p9(spark, sf_dir):
+    """P9 without defaults: null whenever any part is null."""
+    return assemble_info(_patients(spark, sf_dir)).select("patient_id", "info")
+
+
+@register("e4", f"SELECT patient_id, arrival || codes || triage || vitals || pyxis || medrecon AS info, "
+          f"eddischarge FROM ({SQL_FILLED})")
+def q_e4(spark, sf_dir):
+    return patient_documents(_patients(spark, sf_dir))

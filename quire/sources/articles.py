@@ -27,8 +27,10 @@ PMID_PATH = "(//PMID)[1]/text()[not(preceding-sibling::node())]"
 def _records(spark: SparkSession, path) -> DataFrame:
     raw = spark.read.option("lineSep", END_TAG).text(path)
     rec = F.regexp_extract("value", _START, 1)
-    return (raw.select(rec.alias("r")).where(F.col("r") != "")
-            .select(F.concat("r", F.lit(END_TAG)).alias("xml")))
+    # null (not '') when a chunk holds no record: filters above may be
+    # evaluated after common xpath subexpressions, and xpath(null) is null
+    xml = F.when(rec != "", F.concat(rec, F.lit(END_TAG)))
+    return raw.select(xml.alias("xml")).where(F.col("xml").isNotNull())
 
 
 def parse_article_records(df: DataFrame, xml_col: str = "xml") -> DataFrame:
