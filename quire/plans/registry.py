@@ -102,3 +102,5 @@ def oracle_sql() -> dict[str, str]:
 def _load_all():
     # further query modules register themselves on import
     import quire.plans.queries_corpus  # noqa: F401
+    import quire.plans.queries_training  # noqa: F401
+    import quire.plans.queries_mix  # noqa: F401
