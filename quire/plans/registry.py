@@ -104,3 +104,4 @@ def _load_all():
     import quire.plans.queries_corpus  # noqa: F401
     import quire.plans.queries_training  # noqa: F401
     import quire.plans.queries_mix  # noqa: F401
+    import quire.plans.queries_tokens  # noqa: F401
