@@ -24,7 +24,7 @@ UNION ALL SELECT * FROM (VALUES {_SPECIAL_ROWS}) s(token, token_id, count)
 """
 
 
-def sql_tokenized(max_length: int) -> str:
+def sql_token_lists(max_length: int) -> str:
     keep = max_length - 2
     return f"""
 WITH v AS ({SQL_VOCAB}),
@@ -34,12 +34,16 @@ e AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS i F
 m AS (SELECT e.doc_id, e.i, coalesce(v.token_id, 1) AS tid FROM e LEFT JOIN v ON e.tok = v.token),
 g AS (SELECT doc_id, list(tid ORDER BY i) AS ids FROM m GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(coalesce(g.ids, []::INTEGER[])) + 2 AS INTEGER) AS n_tokens,
-       array_to_string(list_resize(list_concat([2], coalesce(g.ids, []::INTEGER[]), [3]), {max_length}, 0), ' ')
-         AS input_ids
+       list_resize(list_concat([2], coalesce(g.ids, []::INTEGER[]), [3]), {max_length}, 0) AS ids
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
 
+def sql_tokenized(max_length: int) -> str:
+    return (f"SELECT doc_id, n_tokens, array_to_string(ids, ' ') AS input_ids "
+            f"FROM ({sql_token_lists(max_length)})")
+
+
 @register("t8", SQL_VOCAB)
 def q_t8(spark, sf_dir):
     return build_vocabulary(_docs(spark, sf_dir))
