@@ -142,3 +142,26 @@ def batch_padding(df: DataFrame, batch_size: int = 64, max_length: int = 512,
     n = F.least(F.size(split_words(F.col(text_col))) + 2, F.lit(max_length))
     b = assign_batches(df.withColumn("n_tokens", n.cast("int")), batch_size, pos_col)
     return b.withColumn("padded_length", F.max("n_tokens").over(Window.partitionBy("batch_id")))
+
+
+def wordlevel_encoder(vocab: DataFrame, max_length: int = 128):
+    """A user-style tokenizer for ``tokenize_with``: the Rust ``tokenizers``
+    WordLevel model over this vocabulary, whitespace pre-split, framed by
+    [CLS]/[SEP], truncated to ``max_length``.  Built lazily once per Python
+    worker from the (size-bounded) vocabulary map."""
+    table = {r["token"]: int(r["token_id"]) for r in vocab.select("token", "token_id").collect()}
+    state = {}
+
+    def encode(texts):
+        tok = state.get("tok")
+        if tok is None:
+            from tokenizers import Tokenizer, models, pre_tokenizers, processors
+            tok = Tokenizer(models.WordLevel(table, unk_token=SPECIALS[UNK_ID]))
+            tok.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            tok.post_processor = processors.TemplateProcessing(
+                single=f"{SPECIALS[CLS_ID]} $A {SPECIALS[SEP_ID]}",
+                special_tokens=[(SPECIALS[CLS_ID], CLS_ID), (SPECIALS[SEP_ID], SEP_ID)])
+            tok.enable_truncation(max_length=max_length)
+            state["tok"] = tok
+        return [e.ids for e in tok.encode_batch(["" if t is None else t for t in texts])]
+    return encode

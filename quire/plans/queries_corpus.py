@@ -256,3 +256,38 @@ def q_p9(spark, sf_dir):
           f"eddischarge FROM ({SQL_FILLED})")
 def q_e4(spark, sf_dir):
     return patient_documents(_patients(spark, sf_dir))
+
+
+@register("a3", """
+SELECT source, coalesce(sum(octet_length(encode(t))), 0) / 1048576.0 AS size_mb
+FROM (SELECT source, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) GROUP BY ROLLUP (source)
+""")
+def q_a3(spark, sf_dir):
+    """A3: corpus size in MB (UTF-8 bytes) per source and overall."""
+    from quire.operators.profile import corpus_profile
+    from quire.plans.registry import documents_corpus
+    return corpus_profile(documents_corpus(spark, sf_dir)).select("source", "size_mb")
+
+
+@register("t4", sql_articles(None).replace("'articles' AS source, ", ""))
+def q_t4(spark, sf_dir):
+    """T4: title/abstract combination (non-empty records only, P5)."""
+    from quire.functions.text import combine_title_abstract
+    p = _article_parts(spark, sf_dir)
+    return (p.select(F.expr("try_cast(pmid AS BIGINT)").alias("doc_id"),
+                     combine_title_abstract("title", "abstract").alias("clinical_text"))
+            .where(F.col("clinical_text") != ""))
+
+
+@register("s5", "SELECT doc_id, lang IN ('en', 'de') AS from_discharge FROM documents")
+def q_s5(spark, sf_dir):
+    """Files discovered by a glob over two rendered note folders, with
+    the file path kept for lineage (``_metadata``)."""
+    docs = fx.table(spark, sf_dir, "documents")
+    root = scratch_path(spark, "notes-glob")
+    for src, langs in fx.NOTE_LANGS.items():
+        fx.render_notes(docs, f"{root}/{src}", langs)
+    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+           .csv(f"{root}/*/part-*.csv.gz").select("note_id", "_metadata.file_path"))
+    return raw.select(F.expr("try_cast(note_id AS BIGINT)").alias("doc_id"),
+                      F.col("file_path").contains("/discharge/").alias("from_discharge"))

@@ -102,3 +102,14 @@ SELECT doc_id, batch_id, n_tokens, max(n_tokens) OVER (PARTITION BY batch_id) AS
 def q_w4(spark, sf_dir):
     docs = with_positions(_docs(spark, sf_dir), ["doc_id"])
     return batch_padding(docs, 64, 512).select("doc_id", "batch_id", "n_tokens", "padded_length")
+
+
+@register("f2", sql_tokenized(128))
+def q_f2(spark, sf_dir):
+    """a pluggable tokenizer (Rust WordLevel over the same vocabulary)
+    applied in Arrow batches; ids equal T9's."""
+    from quire.operators.tokens import tokenize_with, wordlevel_encoder
+    docs = _docs(spark, sf_dir)
+    enc = wordlevel_encoder(build_vocabulary(docs), 128)
+    t = tokenize_with(docs, enc, 128)
+    return t.select("doc_id", "n_tokens", F.array_join("input_ids", " ").alias("input_ids"))

@@ -71,3 +71,18 @@ def q_m1(spark, sf_dir):
     plan = training_plan(table(spark, sf_dir, "documents").select("source"), None)
     ep = plan.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)).alias("epoch"))
     return ep.select("epoch", mask_probability(F.col("epoch")).alias("mlm_probability"))
+
+
+@register("w6", """
+SELECT doc_id, epoch, pos, CAST(floor(pos / 128) AS BIGINT) AS batch_id FROM (
+  SELECT doc_id, 3 AS epoch,
+         row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws(':', 42, 3, doc_id)), 1, 8))::BIGINT, doc_id) - 1
+           AS pos
+  FROM documents)
+""")
+def q_w6(spark, sf_dir):
+    """Epoch-3 shuffle (hash of seed:epoch:doc_id) and batches of 128."""
+    from quire.operators.ordering import epoch_order
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return epoch_order(d, epoch=3, seed=42, batch_size=128, method="md5").select(
+        "doc_id", "epoch", "pos", "batch_id")

@@ -106,3 +106,4 @@ def _load_all():
     import quire.plans.queries_mix  # noqa: F401
     import quire.plans.queries_tokens  # noqa: F401
     import quire.plans.queries_eval  # noqa: F401
+    import quire.plans.queries_infer  # noqa: F401
