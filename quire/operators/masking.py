@@ -41,8 +41,12 @@ def mask_tokens(df: DataFrame, p, epoch, seed: int = 42, vocab_size: int = 30528
     def u(i, draw):
         return uniform(F.lit(seed), ec, key, i, F.lit(draw), method=method)
 
-    def choose(t, i):
+    def draw(t, i):
         chosen = (t >= F.lit(n_specials)) & (u(i, 0) < pc)
+        return F.struct(t.alias("t"), i.alias("i"), chosen.alias("c"))
+
+    def choose(s):
+        t, i, chosen = s["t"], s["i"], s["c"]
         rand_id = F.floor(u(i, 3) * F.lit(vocab_size)).cast("int")
         new = (F.when(~chosen, t)
                .when(u(i, 1) < F.lit(REPLACE_MASK), F.lit(mask_id))
@@ -50,7 +54,9 @@ def mask_tokens(df: DataFrame, p, epoch, seed: int = 42, vocab_size: int = 30528
                .otherwise(t))
         return F.struct(new.alias("id"), F.when(chosen, t).otherwise(F.lit(IGNORE)).alias("label"))
 
-    pairs = F.transform(F.col(ids_col), choose)
+    # the selection draw is evaluated once per position; the replacement
+    # draws only for chosen positions
+    pairs = F.transform(F.transform(F.col(ids_col), draw), choose)
     return (df.withColumn("__m", pairs)
             .withColumn(ids_col, F.transform("__m", lambda s: s["id"]))
             .withColumn("labels", F.transform("__m", lambda s: s["label"]))

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quire.session import shuffle_partitions
+from quire.session import materialize as _materialize, shuffle_partitions
 
 SAMPLE_PER_BUCKET = 64
 
@@ -72,12 +72,16 @@ def bucket_column(order_cols: list[str], bounds: list[tuple]) -> Column:
 
 
 def with_positions(df: DataFrame, order_cols: list[str], name: str = "pos",
-                   n_buckets: int | None = None) -> DataFrame:
+                   n_buckets: int | None = None, materialize: bool = False) -> DataFrame:
     """Add ``name`` = 0-based position of each row in ``order_cols`` order.
 
     Order keys must be unique and non-null (they are the corpus' identity).
+    The input is read by three passes (count, key sample, numbering); with
+    ``materialize=True`` an expensive input is written once first.
     """
     spark = df.sparkSession
+    if materialize:
+        df = _materialize(df, "positions-input")
     n_buckets = n_buckets or shuffle_partitions(spark)
     bounds = range_bounds(df, order_cols, n_buckets)
     b = "__bucket"

@@ -9,7 +9,8 @@ dropped first.  With ``scope`` columns, bins never span two scope groups.
 
 Distributed exactly, with no group larger than one block:
 
-1. lengths only, numbered 0..n-1 (``with_positions``) and checkpointed;
+1. lengths only, numbered 0..n-1 (``with_positions``) and written to the
+   checkpoint folder (lineage cut; later passes prune columns);
 2. blocks of B >= T+2 consecutive positions, each with a halo copy of the
    next block's first T+1 rows (a bin starting in a block ends within T+1
    rows, so ``next(i)`` is visible inside block+halo);
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from quire.functions.text import py_strip
 from quire.operators.ordering import with_positions
-from quire.session import checkpoint_root
+from quire.session import materialize
 
 DEFAULT_BLOCK_ROWS = 1 << 20
 SUMMARY_LIMIT = 20_000_000
@@ -137,8 +138,9 @@ def assign_bins(df: DataFrame, max_length: int = 8192, order_cols=("pos",),
     B = max(T_ + 2, int(block_rows or DEFAULT_BLOCK_ROWS))
     lens = df.where(F.col(text_col).isNotNull()).select(
         *key_cols, F.length(text_col).cast("long").alias("L"))
-    checkpoint_root(spark)
-    numbered = with_positions(lens, key_cols, name="__seq").checkpoint(eager=True)
+    # lengths written once; the numbered table is written too, since the
+    # count, both block passes and the join back all read it
+    numbered = materialize(with_positions(lens, key_cols, name="__seq", materialize=True), "pack-numbered")
     n = numbered.count()
     key_fields = [numbered.schema[c] for c in key_cols]
     out_schema = T.StructType(key_fields + [T.StructField("__seq", T.LongType()),

@@ -17,16 +17,22 @@ MB = 1048576.0
 def corpus_profile(df: DataFrame, text_col: str = "clinical_text",
                    group_col: str | None = "source") -> DataFrame:
     t = F.col(text_col)
+    # per-row measures first: ROLLUP expands every row once per grouping
+    # set, and the text functions must run once per row, not per set
+    keep = [group_col] if group_col else []
+    rows = df.select(*keep, t.isNotNull().cast("int").alias("__has"),
+                     word_count(t).alias("__w"), F.length(t).cast("long").alias("__c"),
+                     F.octet_length(t).cast("long").alias("__b"))
     aggs = [
         F.count(F.lit(1)).alias("n_docs"),
-        F.count(t).alias("n_texts"),
-        F.avg(word_count(t)).alias("avg_words"),
-        F.sum(F.length(t)).cast("long").alias("n_chars"),
-        (F.coalesce(F.sum(F.octet_length(t)), F.lit(0)) / F.lit(MB)).alias("size_mb"),
+        F.sum("__has").cast("long").alias("n_texts"),
+        F.avg("__w").alias("avg_words"),
+        F.sum("__c").cast("long").alias("n_chars"),
+        (F.coalesce(F.sum("__b"), F.lit(0)) / F.lit(MB)).alias("size_mb"),
     ]
     if group_col is None:
-        return df.agg(*aggs)
-    out = df.rollup(group_col).agg(F.grouping(group_col).alias("_g"), *aggs)
+        return rows.agg(*aggs)
+    out = rows.rollup(group_col).agg(F.grouping(group_col).alias("_g"), *aggs)
     return out.select(
         F.when(F.col("_g") == 1, F.lit("all")).otherwise(F.lit("source")).alias("level"),
         group_col, "n_docs", "n_texts", "avg_words", "n_chars", "size_mb")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quire.functions.text import split_words
 from quire.operators.joins import broadcast_if_small
 from quire.operators.ordering import assign_batches, with_positions
+from quire.session import materialize as _materialize
 
 # Special tokens and their ids; default vocabulary size (the
 # size of the common uncased BERT vocabulary) and padding multiple.
@@ -38,15 +39,20 @@ def _specials(spark) -> DataFrame:
 
 
 def build_vocabulary(df: DataFrame, text_col: str = "clinical_text",
-                     vocab_size: int | None = DEFAULT_VOCAB_SIZE) -> DataFrame:
-    """(token, token_id, count); specials take ids 0..4."""
+                     vocab_size: int | None = DEFAULT_VOCAB_SIZE, materialize: bool = True) -> DataFrame:
+    """(token, token_id, count); specials take ids 0..4.
+
+    The vocabulary is a model artifact read by every tokenisation pass, so
+    by default it is written once (size bounded by ``vocab_size``)."""
     words = df.select(F.explode(split_words(F.col(text_col))).alias("token"))
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-    ranked = with_positions(counts.withColumn("__neg", -F.col("count")), ["__neg", "token"], "__rank")
+    ranked = with_positions(counts.withColumn("__neg", -F.col("count")), ["__neg", "token"], "__rank",
+                            materialize=True)
     if vocab_size is not None:
         ranked = ranked.where(F.col("__rank") < F.lit(vocab_size - len(SPECIALS)))
     words_v = ranked.select("token", (F.col("__rank") + len(SPECIALS)).cast("int").alias("token_id"), "count")
-    return _specials(df.sparkSession).unionByName(words_v)
+    vocab = _specials(df.sparkSession).unionByName(words_v)
+    return _materialize(vocab, "vocab") if materialize else vocab
 
 
 def pad_vocabulary(vocab: DataFrame, multiple: int = VOCAB_MULTIPLE) -> DataFrame:

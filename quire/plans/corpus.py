@@ -46,5 +46,6 @@ def union_sources(frames: dict[str, DataFrame]) -> DataFrame:
 
 def build_corpus(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     frames = {s: read_source(spark, s, p) for s, p in paths.items()}
-    corpus = with_positions(union_sources(frames), ["source_rank", "doc_id"])
+    # sources are parsed once: the union is written, then numbered from it
+    corpus = with_positions(union_sources(frames), ["source_rank", "doc_id"], materialize=True)
     return corpus.select("doc_id", "source", "source_rank", "pos", "clinical_text")

@@ -12,7 +12,7 @@ from quire.plans.corpus import build_corpus, read_source, union_sources
 from quire.plans.registry import register, sql_clean
 from quire.session import scratch_path
 from quire.sources import fixtures as fx
-from quire.sources.articles import _records, parse_article_records
+from quire.sources.articles import parsed_records
 from quire.sources.notes import read_notes
 from quire.sources.patients import read_patients
 from quire.sources.sinks import read_corpus, write_corpus
@@ -90,7 +90,7 @@ def q_p1(spark, sf_dir):
 def _article_parts(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents")
     path = fx.render_articles(docs, scratch_path(spark, "articles"))
-    return parse_article_records(_records(spark, path))
+    return parsed_records(spark, path)
 
 
 @register("s2", sql_articles(None))

@@ -36,6 +36,7 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -60,3 +61,57 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` as Parquet under the checkpoint root and read it back.
+
+    Cuts lineage (recomputation after a lost executor starts here), and
+    later passes get column pruning and predicate pushdown on the written
+    table -- unlike an RDD checkpoint."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def ensure_parallelism(df, min_partitions: int | None = None):
+    """Spread a scan that yields fewer partitions than the cluster can run
+    (e.g. one large row group).  Well-split inputs are returned unchanged, so
+    on a cluster reading many files this adds no shuffle."""
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quire`` importable by Python workers on every executor: zip the
+    package into the shared checkpoint folder and ``addPyFile`` it, once per
+    application.  Arrow UDFs and grouped-map functions reference quire
+    helpers, so workers must be able to import them."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import quire
+    pkg = os.path.dirname(os.path.abspath(quire.__file__))
+    root = os.path.dirname(pkg)
+    folder = scratch_path(spark, "pyfiles")
+    local = folder.split("file:", 1)[-1]
+    os.makedirs(local, exist_ok=True)
+    target = os.path.join(local, "quire.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)

@@ -6,9 +6,11 @@ record.  Element text follows the element-``.text`` convention: only the text
 *before the first child node* counts, so ``T <i>x</i> tail`` yields ``T``.
 That is the XPath step ``text()[not(preceding-sibling::node())]``.
 
-Known deviation: text after a CDATA boundary is cut (``ab<![CDATA[cd]]>ef``
-gives ``ab``).  A malformed record fails the job unless ``quarantine=True``,
-which parses records in Arrow batches and returns an ``error`` column instead.
+Two parsers: the default parses each record once in Arrow batches
+(``xml_parse``); ``parser="xpath"`` stays in the JVM with Spark's ``xpath``
+(three DOM parses per record; text after a CDATA boundary is cut there,
+``ab<![CDATA[cd]]>ef`` gives ``ab``).  A malformed record fails the job
+unless ``quarantine=True``, which drops it and keeps the rest.
 """
 
 from __future__ import annotations
@@ -43,18 +45,28 @@ def parse_article_records(df: DataFrame, xml_col: str = "xml") -> DataFrame:
     return df.select(pmid.alias("pmid"), title.alias("title"), abstract.alias("abstract"))
 
 
-def read_articles(spark: SparkSession, path, clean: bool = False,
-                  quarantine: bool = False) -> DataFrame:
+def parsed_records(spark: SparkSession, path, parser: str = "python",
+                   quarantine: bool = False) -> DataFrame:
+    """(pmid, title, abstract[, error]) per record."""
     recs = _records(spark, path)
-    if quarantine:
-        from quire.sources.xml_quarantine import parse_with_quarantine
-        parsed = parse_with_quarantine(recs)
-        parsed = parsed.where(F.col("error").isNull()).drop("error")
-    else:
-        parsed = parse_article_records(recs)
+    if parser == "xpath":
+        return parse_article_records(recs)
+    from quire.sources.xml_parse import parse_records
+    parsed = parse_records(recs, strict=not quarantine)
+    return parsed.where(parsed["error"].isNull()).drop("error") if quarantine else parsed.drop("error")
+
+
+def to_corpus_rows(parsed: DataFrame, clean: bool = False) -> DataFrame:
     text = combine_title_abstract("title", "abstract")
     out = parsed.select(
         F.expr("try_cast(pmid AS BIGINT)").alias("doc_id"),
         (clean_text(text) if clean else text).alias("clinical_text"))
     # P5: keep records with non-empty text (null and '' dropped, ' ' kept)
     return out.where(F.col("clinical_text") != "").withColumn("source", F.lit("articles"))
+
+
+def read_articles(spark: SparkSession, path, clean: bool = False, parser: str = "python",
+                  quarantine: bool = False) -> DataFrame:
+    """S2.  ``parser="python"`` (default, Arrow batches, one parse per
+    record) or ``"xpath"`` (JVM only, three DOM parses per record)."""
+    return to_corpus_rows(parsed_records(spark, path, parser, quarantine), clean)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions.text import code_text
-from quire.session import scratch_path
+from quire.session import ensure_parallelism, scratch_path
 
 # Note split by language, code-table versions per source.
 NOTE_LANGS = {"discharge": ["en", "de"], "radiology": ["es", "fr"]}
@@ -29,7 +29,9 @@ DISPOSITIONS = {"F": "Admitted", "O": "ADMITTED to ward", "P": "Discharged home"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table; scans that come out as fewer partitions than the
+    cluster's parallelism (one large row group) are spread first."""
+    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def notes_frame(documents: DataFrame, langs=None) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions.text import clean_text, na_to_null
 from quire.schemas import NOTE_SCHEMA
-from quire.sources.articles import END_TAG, _START, parse_article_records
-from quire.functions.text import combine_title_abstract
+from quire.sources.articles import END_TAG, _START, to_corpus_rows
+from quire.sources.xml_parse import parse_records
 
 
 def notes_stream(spark: SparkSession, src_dir: str, label: str, clean: bool = True,
@@ -38,11 +38,8 @@ def articles_stream(spark: SparkSession, src_dir: str,
     raw = r.text(src_dir)
     rec = F.regexp_extract("value", _START, 1)
     recs = raw.select(F.when(rec != "", F.concat(rec, F.lit(END_TAG))).alias("xml")).where(F.col("xml").isNotNull())
-    parsed = parse_article_records(recs)
-    text = combine_title_abstract("title", "abstract")
-    return (parsed.select(F.expr("try_cast(pmid AS BIGINT)").alias("doc_id"),
-                          F.lit("articles").alias("source"), text.alias("clinical_text"))
-            .where(F.col("clinical_text") != ""))
+    parsed = parse_records(recs).drop("error")
+    return to_corpus_rows(parsed).select("doc_id", "source", "clinical_text")
 
 
 def run_to_parquet(stream: DataFrame, sink_dir: str, checkpoint_dir: str) -> None:
