@@ -27,8 +27,12 @@ def _lead(el):
 
 
 def parse_one(rec: str):
+    # comments and processing instructions stay nodes, so an element's
+    # leading text ends at them (the reference's parser keeps them too)
+    parser = ET.XMLParser(target=ET.TreeBuilder(insert_comments=True, insert_pis=True))
     try:
-        root = ET.fromstring(rec)
+        parser.feed(rec)
+        root = parser.close()
     except ET.ParseError as e:
         return None, None, None, str(e)
     pmid = _lead(root.find(".//PMID"))
