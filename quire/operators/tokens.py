@@ -74,7 +74,7 @@ def truncated_words(text: Column, max_length: int) -> Column:
 def frame_ids(ids: Column, max_length: int | None) -> tuple[Column, Column, Column]:
     """[CLS] ids [SEP] [PAD]... -> (input_ids, attention_mask, n_tokens)."""
     full = F.concat(F.array(F.lit(CLS_ID)), ids, F.array(F.lit(SEP_ID)))
-    n = F.size(full)
+    n = F.size(ids) + 2
     if max_length is None:
         return full, F.array_repeat(F.lit(1).cast("tinyint"), n), n
     pad = F.greatest(F.lit(max_length) - n, F.lit(0))
