@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quire.session import materialize as _materialize, shuffle_partitions
 
 SAMPLE_PER_BUCKET = 64
+ROWS_PER_BUCKET = 4_000_000
 
 
 def _lt(cols: list[Column], bound: tuple) -> Column:
@@ -82,8 +83,11 @@ def with_positions(df: DataFrame, order_cols: list[str], name: str = "pos",
     spark = df.sparkSession
     if materialize:
         df = _materialize(df, "positions-input")
-    n_buckets = n_buckets or shuffle_partitions(spark)
-    bounds = range_bounds(df, order_cols, n_buckets)
+    total = df.count()
+    if n_buckets is None:
+        # enough buckets that one window task sorts a bounded number of rows
+        n_buckets = max(shuffle_partitions(spark), -(-total // ROWS_PER_BUCKET))
+    bounds = range_bounds(df, order_cols, n_buckets, total=total)
     b = "__bucket"
     keyed = df.withColumn(b, bucket_column(order_cols, bounds))
     counts = keyed.groupBy(b).agg(F.count(F.lit(1)).alias("__n"))
