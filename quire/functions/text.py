@@ -59,8 +59,11 @@ def na_to_null(c) -> Column:
     return F.when(col.isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(col)
 
 
-def code_text(version, code, description) -> Column:
-    return F.format_string(CODE_TEXT_TEMPLATE, _c(version), _c(code), _c(description))
+def code_text(version, code, description, suffix: str = "") -> Column:
+    """``ICD {version} code for {code}: {description}`` (+ optional suffix,
+    e.g. the '.' of the documented example)."""
+    out = F.format_string(CODE_TEXT_TEMPLATE, _c(version), _c(code), _c(description))
+    return F.concat(out, F.lit(suffix)) if suffix else out
 
 
 def combine_title_abstract(title, abstract) -> Column:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quire.functions.arrays import cosine
+from quire.session import materialize
 
 MAX_LABELS = 100_000
 
@@ -25,7 +26,7 @@ def centroids(df: DataFrame, vec_col: str = "embedding", label_col: str = "label
 
 def cluster_report(df: DataFrame, vec_col: str = "embedding", label_col: str = "label",
                    id_col: str = "vec_id") -> DataFrame:
-    c = centroids(df, vec_col, label_col)
+    c = materialize(centroids(df, vec_col, label_col), "centroids")   # read twice below
     n_labels = c.limit(MAX_LABELS + 1).count()
     if n_labels > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels; centroids would not be a bounded broadcast")

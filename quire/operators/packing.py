@@ -21,8 +21,12 @@ Distributed exactly, with no group larger than one block:
 4. driver: fold the per-block maps in block order (one lookup per block) to
    get each block's true entry and the number of bins before it;
 5. pass 2: walk the chain from the true entry, number bins globally;
-6. join bin ids back to the texts on the order keys; ``groupBy(bin)``
-   assembles each bin (bounded: <= T characters or one over-long text).
+6. texts get their bin ids.  With one integral order key, text rows and
+   bin ids are co-partitioned by key range, each range assembles its bins in
+   place, and only the few bins straddling a range boundary are merged by a
+   tiny second shuffle -- the text is shuffled once.  Otherwise texts are
+   joined back on the order keys and grouped by bin (two shuffles).  Bins
+   are bounded (<= T characters or one over-long text) either way.
 """
 
 from __future__ import annotations
@@ -161,20 +165,74 @@ def assign_bins(df: DataFrame, max_length: int = 8192, order_cols=("pos",),
     if len(rows) > SUMMARY_LIMIT:
         raise RuntimeError(f"packing summary too large ({len(rows)} rows); raise block_rows")
     entries = _compose(rows, n_blocks)
-    return blocks.groupBy("block").applyInPandas(_assign_fn(T_, entries, key_cols), out_schema)
+    # small (keys, seq, bin) table, read by several branches: written once
+    return materialize(blocks.groupBy("block").applyInPandas(_assign_fn(T_, entries, key_cols), out_schema),
+                       "pack-bins")
+
+
+DEFAULT_RANGE_ROWS = 1 << 16
+MAX_SPANNING = 5_000_000
+
+
+def _bin_text(pieces):
+    return F.array_join(F.transform(F.array_sort(pieces), lambda p: p["__t"]), " ")
+
+
+def _assemble_by_ranges(texts: DataFrame, bins: DataFrame, key: str, scope: list[str],
+                        range_rows: int) -> DataFrame:
+    """One shuffle of the text: text rows and bin ids are co-partitioned by
+    (scope..., floor(key / R)); bins are assembled inside each range, and only
+    bins that straddle a range boundary (<= one per boundary) are merged by a
+    second, tiny shuffle."""
+    spark = texts.sparkSession
+    rng = F.floor(F.col(key) / F.lit(range_rows)).cast("long")
+    part = [*scope, "__r"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = texts.withColumn("__r", rng).repartition(n, *part)
+    b = bins.withColumn("__r", rng).repartition(n, *part)
+    j = t.join(b, [*part, key])
+    partial = j.groupBy(*part, "bin_id").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.min("__seq").alias("first_pos"),
+        F.collect_list(F.struct(F.col("__seq"), F.col("__t"))).alias("__p"))
+    partial = partial.select(*scope, "bin_id", "n_docs", "first_pos",
+                             _bin_text(F.col("__p")).alias("__t"))
+    # bins whose rows fall into more than one range (from the small table)
+    spans = (b.groupBy("bin_id").agg(F.min(F.struct(*part)).alias("lo"), F.max(F.struct(*part)).alias("hi"))
+             .where(F.col("lo") != F.col("hi")).select("bin_id"))
+    spans = materialize(spans, "pack-spanning")
+    if spans.limit(MAX_SPANNING + 1).count() > MAX_SPANNING:
+        raise RuntimeError("too many range-spanning bins; raise range_rows")
+    spans = F.broadcast(spans)
+    whole = partial.join(spans, "bin_id", "left_anti")
+    merged = (partial.join(spans, "bin_id", "left_semi")
+              .groupBy("bin_id", *scope).agg(
+                  F.sum("n_docs").alias("n_docs"), F.min("first_pos").alias("first_pos"),
+                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_pos", "__t"))),
+                                           lambda p: p["__t"]), " ").alias("__t")))
+    cols = ["bin_id", *scope, "n_docs", "first_pos", py_strip(F.col("__t")).alias("text")]
+    return whole.select(*cols).unionByName(merged.select(*cols))
 
 
 def pack_contexts(df: DataFrame, max_length: int = 8192, order_cols=("pos",), scope=None,
-                  text_col: str = "clinical_text", block_rows: int | None = None) -> DataFrame:
-    """Packed bins: (bin_id, scope..., n_docs, first_pos, text)."""
+                  text_col: str = "clinical_text", block_rows: int | None = None,
+                  range_rows: int | None = DEFAULT_RANGE_ROWS) -> DataFrame:
+    """Packed bins: (bin_id, scope..., n_docs, first_pos, text).
+
+    With one integral order column (a corpus position or document id), the
+    text is shuffled once (``_assemble_by_ranges``); otherwise texts are
+    joined back on the order keys and grouped by bin (two shuffles)."""
     scope = list(scope or [])
     order_cols = list(order_cols)
     key_cols = scope + [c for c in order_cols if c not in scope]
     bins = assign_bins(df, max_length, order_cols, scope, text_col, block_rows)
     texts = df.where(F.col(text_col).isNotNull()).select(*key_cols, F.col(text_col).alias("__t"))
+    integral = (len(order_cols) == 1 and order_cols[0] not in scope
+                and isinstance(df.schema[order_cols[0]].dataType, (T.LongType, T.IntegerType, T.ShortType)))
+    if range_rows and integral:
+        return _assemble_by_ranges(texts, bins, order_cols[0], scope, int(range_rows))
     joined = texts.join(bins, key_cols)
-    pieces = F.array_sort(F.collect_list(F.struct(F.col("__seq"), F.col("__t"))))
+    pieces = F.collect_list(F.struct(F.col("__seq"), F.col("__t")))
     return joined.groupBy("bin_id", *scope).agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.min("__seq").alias("first_pos"),
-        py_strip(F.array_join(F.transform(pieces, lambda p: p["__t"]), " ")).alias("text"))
+        py_strip(_bin_text(pieces)).alias("text"))

@@ -171,3 +171,13 @@ def wordlevel_encoder(vocab: DataFrame, max_length: int = 128):
             state["tok"] = tok
         return [e.ids for e in tok.encode_batch(["" if t is None else t for t in texts])]
     return encode
+
+
+def dynamic_pad(tokenized: DataFrame, batch_size: int = 64, pos_col: str = "pos") -> DataFrame:
+    """W4 on token arrays: fixed-width rows (``tokenize`` output with a
+    position column) cut to the longest member of their batch."""
+    from pyspark.sql import Window
+    b = assign_batches(tokenized, batch_size, pos_col)
+    b = b.withColumn("padded_length", F.max("n_tokens").over(Window.partitionBy("batch_id")))
+    return (b.withColumn("input_ids", F.slice("input_ids", 1, F.col("padded_length")))
+             .withColumn("attention_mask", F.slice("attention_mask", 1, F.col("padded_length"))))

@@ -54,6 +54,7 @@ def test_na_padded_cell_is_kept(spark):
 def test_code_text_template(spark):
     df = spark.createDataFrame([("9", "250.00", "Diabetes mellitus")], "v string, c string, d string")
     assert df.select(code_text("v", "c", "d")).first()[0] == "ICD 9 code for 250.00: Diabetes mellitus"
+    assert df.select(code_text("v", "c", "d", ".")).first()[0] == "ICD 9 code for 250.00: Diabetes mellitus."
 
 
 @pytest.mark.parametrize("title,abstract,expected", [

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from quire.operators.ordering import with_positions
 from quire.operators.tokens import (CLS_ID, PAD_ID, SEP_ID, UNK_ID, batch_padding, build_vocabulary,
-                                    pad_vocabulary, tokenize, tokenize_with, wordlevel_encoder)
+                                    dynamic_pad, pad_vocabulary, tokenize, tokenize_with,
+                                    wordlevel_encoder)
 
 TEXTS = [(1, "b a b c"), (2, "a b"), (3, ""), (4, "d d d d e"), (5, "zz")]
 
@@ -55,3 +56,13 @@ def test_dynamic_batch_padding(spark):
         [(i, " ".join(["w"] * (i % 7))) for i in range(10)], "doc_id long, clinical_text string"), ["doc_id"])
     out = {r.doc_id: (r.batch_id, r.n_tokens, r.padded_length) for r in batch_padding(docs, 4, 6).collect()}
     assert out[0] == (0, 2, 5) and out[3] == (0, 5, 5) and out[5] == (1, 6, 6) and out[8] == (2, 3, 4)
+
+
+def test_dynamic_pad_arrays(spark):
+    docs = _docs(spark)
+    t = with_positions(tokenize(docs, build_vocabulary(docs, vocab_size=None), 8), ["doc_id"])
+    out = {r.doc_id: r for r in dynamic_pad(t, 2).collect()}
+    # batches by position: (1,2) (3,4) (5)
+    assert len(out[1].input_ids) == 6 and len(out[2].input_ids) == 6
+    assert len(out[3].input_ids) == 7 and out[3].input_ids[:2] == [CLS_ID, SEP_ID]
+    assert out[5].input_ids == [CLS_ID, 10, SEP_ID] and list(out[5].attention_mask) == [1, 1, 1]
