@@ -45,16 +45,34 @@ def build_vocabulary(df: DataFrame, text_col: str = "clinical_text",
     The vocabulary is a model artifact read by every tokenisation pass, so
     by default it is written once (size bounded by ``vocab_size``)."""
     words = df.select(F.explode(split_words(F.col(text_col))).alias("token"))
-    counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-    ranked = with_positions(counts.withColumn("__neg", -F.col("count")), ["__neg", "token"], "__rank",
-                            materialize=True)
+    counts = _materialize(words.groupBy("token").agg(F.count(F.lit(1)).alias("count")), "token-counts")
     if vocab_size is not None:
-        ranked = ranked.where(F.col("__rank") < F.lit(vocab_size - len(SPECIALS)))
+        keep = vocab_size - len(SPECIALS)
+        counts = counts.where(F.col("count") >= F.lit(_count_threshold(counts, keep)))
+    ranked = with_positions(counts.withColumn("__neg", -F.col("count")), ["__neg", "token"], "__rank")
+    if vocab_size is not None:
+        ranked = ranked.where(F.col("__rank") < F.lit(keep))
     words_v = ranked.select("token", (F.col("__rank") + len(SPECIALS)).cast("int").alias("token_id"), "count")
     vocab = _specials(df.sparkSession).unionByName(words_v)
     return _materialize(vocab, "vocab") if materialize else vocab
 
 
+def _count_threshold(counts: DataFrame, keep: int) -> int:
+    """Largest count c with at least ``keep`` tokens of count >= c (or the
+    smallest count when there are fewer tokens).  Only tokens at or above
+    it can make the top ``keep``, so ranking touches about ``keep`` + ties
+    rows instead of every distinct token.  Works on the histogram of counts,
+    which has at most sqrt(2 * words) rows."""
+    from pyspark.sql import Window
+    hist = counts.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
+    cum = hist.withColumn("above", F.sum("n").over(
+        Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, 0)))
+    row = cum.where(F.col("above") >= F.lit(keep)).agg(F.max("count").alias("c")).first()
+    if row is None or row["c"] is None:
+        return 0
+    return int(row["c"])
+
+
 def pad_vocabulary(vocab: DataFrame, multiple: int = VOCAB_MULTIPLE) -> DataFrame:
     """Append ``<dummy_extra_token_i>`` until the size is a multiple."""
     n = vocab.agg(F.count(F.lit(1)).cast("int").alias("n"))
