@@ -91,11 +91,12 @@ def project_inputs(df: DataFrame, encoder, keep=()) -> DataFrame:
     return df.drop(*drop)
 
 
-def embed(df: DataFrame, encoder=None, batch_size: int = 64, text_col: str = "clinical_text",
-          id_col: str = "doc_id") -> DataFrame:
-    """(id, embedding array<float>) from text."""
+def embed(df: DataFrame, encoder=None, batch_size: int = 64, max_length: int = 512,
+          text_col: str = "clinical_text", id_col: str = "doc_id") -> DataFrame:
+    """(id, embedding array<float>) from text; the built-in encoder
+    truncates at ``max_length`` tokens like the reference's tokenizer call."""
     from pyspark.ml.functions import predict_batch_udf
-    encoder = encoder or HashedBagEncoder()
+    encoder = encoder or HashedBagEncoder(max_length=max_length)
     udf = predict_batch_udf(encoder.make_predict_fn, return_type=T.ArrayType(T.FloatType()),
                             batch_size=batch_size)
     return df.select(id_col, udf(F.col(text_col)).alias("embedding"))
