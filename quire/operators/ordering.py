@@ -2,8 +2,8 @@
 
 ``with_positions`` numbers rows 0..n-1 by unique order keys.  Range bounds
 come from a bounded key sample and become a *pure* bucket expression (a
-binary search compiled into nested CASE), so every branch of the plan and
-every retried task maps a row to the same bucket.  Spark's own range
+fixed-length binary search over the bounds, read as a scalar subquery), so every
+branch of the plan and every retried task maps a row to the same bucket.  Spark's own range
 partitioner reseeds its sampling per RDD, which would make two branches of
 one plan disagree.  Work done:
 
@@ -24,22 +24,28 @@ SAMPLE_PER_BUCKET = 64
 ROWS_PER_BUCKET = 4_000_000
 
 
-def _lt(cols: list[Column], bound: tuple) -> Column:
-    """Lexicographic ``(cols) < bound``."""
-    expr = None
-    for c, v in reversed(list(zip(cols, bound))):
-        lit = F.lit(v)
-        expr = (c < lit) if expr is None else ((c < lit) | ((c == lit) & expr))
-    return expr
+def _search_bucket(spark, key: Column, bounds: list[tuple], types) -> Column:
+    """Bucket index in [0, len(bounds)]: the number of bounds <= key, by a
+    fixed-length binary search (``aggregate`` over ceil(log2(n + 1)) steps).
+    The bounds travel as data -- a one-row table read as a scalar subquery,
+    evaluated once per query -- so the plan stays small for any bucket
+    count; struct comparison is lexicographic."""
+    n = len(bounds)
+    fields = ", ".join(f"c{i} {t}" for i, t in enumerate(types))
+    table = spark.createDataFrame([([tuple(b) for b in bounds],)], f"b array<struct<{fields}>>")
+    arr = F.col("__bounds")
+    steps = max(1, n.bit_length())
+    init = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
 
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        go_left = key < F.element_at(arr, mid + 1)
+        return F.when(lo >= hi, acc).otherwise(F.struct(
+            F.when(go_left, lo).otherwise(mid + 1).alias("lo"),
+            F.when(go_left, mid).otherwise(hi).alias("hi")))
 
-def _bucket_expr(cols: list[Column], bounds: list[tuple], lo: int, hi: int) -> Column:
-    """Bucket index in [lo, hi] given bounds[lo:hi] (binary search)."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(_lt(cols, bounds[mid]), _bucket_expr(cols, bounds, lo, mid)) \
-        .otherwise(_bucket_expr(cols, bounds, mid + 1, hi))
+    return table.scalar(), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
 def range_bounds(df: DataFrame, order_cols: list[str], n_buckets: int,
@@ -67,9 +73,15 @@ def range_bounds(df: DataFrame, order_cols: list[str], n_buckets: int,
     return out
 
 
-def bucket_column(order_cols: list[str], bounds: list[tuple]) -> Column:
-    cols = [F.col(c) for c in order_cols]
-    return _bucket_expr(cols, bounds, 0, len(bounds))
+def with_bucket(df: DataFrame, order_cols: list[str], bounds: list[tuple], name: str,
+                types=None) -> DataFrame:
+    """Add ``name`` = range bucket of the order keys (see ``_search_bucket``)."""
+    if not bounds:
+        return df.withColumn(name, F.lit(0))
+    types = types or [df.schema[c].dataType.simpleString() for c in order_cols]
+    key = F.struct(*[F.col(c).cast(t).alias(f"c{i}") for i, (c, t) in enumerate(zip(order_cols, types))])
+    sub, expr = _search_bucket(df.sparkSession, key, bounds, types)
+    return df.withColumn("__bounds", sub).withColumn(name, expr).drop("__bounds")
 
 
 def with_positions(df: DataFrame, order_cols: list[str], name: str = "pos",
@@ -89,7 +101,7 @@ def with_positions(df: DataFrame, order_cols: list[str], name: str = "pos",
         n_buckets = max(shuffle_partitions(spark), -(-total // ROWS_PER_BUCKET))
     bounds = range_bounds(df, order_cols, n_buckets, total=total)
     b = "__bucket"
-    keyed = df.withColumn(b, bucket_column(order_cols, bounds))
+    keyed = with_bucket(df, order_cols, bounds, b)
     counts = keyed.groupBy(b).agg(F.count(F.lit(1)).alias("__n"))
     # one row per bucket: an ordered running sum over <= n_buckets rows
     offsets = counts.select(
