@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quire.session import materialize as _materialize, shuffle_partitions
 
 SAMPLE_PER_BUCKET = 64
-ROWS_PER_BUCKET = 4_000_000
+MAX_SAMPLE = 1_000_000
+ROWS_PER_BUCKET = 1_000_000
 
 
 def _search_bucket(spark, key: Column, bounds: list[tuple], types) -> Column:
@@ -51,11 +52,12 @@ def _search_bucket(spark, key: Column, bounds: list[tuple], types) -> Column:
 def range_bounds(df: DataFrame, order_cols: list[str], n_buckets: int,
                  total: int | None = None, seed: int = 17) -> list[tuple]:
     """At most n_buckets-1 split keys from a sample of at most
-    ``n_buckets * SAMPLE_PER_BUCKET`` rows (the only data the driver sees)."""
+    ``min(n_buckets * SAMPLE_PER_BUCKET, MAX_SAMPLE)`` keys (the only data
+    the driver sees)."""
     if n_buckets <= 1:
         return []
     keys = df.select(*order_cols)
-    want = n_buckets * SAMPLE_PER_BUCKET
+    want = min(n_buckets * SAMPLE_PER_BUCKET, MAX_SAMPLE)
     if total is None:
         total = keys.count()
     if total == 0:
