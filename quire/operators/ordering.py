@@ -75,11 +75,37 @@ def range_bounds(df: DataFrame, order_cols: list[str], n_buckets: int,
     return out
 
 
+CASE_TREE_MAX = 48
+
+
+def _lt(cols: list[Column], bound: tuple) -> Column:
+    """Lexicographic ``(cols) < bound``."""
+    expr = None
+    for c, v in reversed(list(zip(cols, bound))):
+        lit = F.lit(v)
+        expr = (c < lit) if expr is None else ((c < lit) | ((c == lit) & expr))
+    return expr
+
+
+def _case_bucket(cols: list[Column], bounds: list[tuple], lo: int, hi: int) -> Column:
+    """Bucket index in [lo, hi] given bounds[lo:hi], as nested CASE (codegen'd;
+    only for a few bounds -- its size grows with the bound count)."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(_lt(cols, bounds[mid]), _case_bucket(cols, bounds, lo, mid)) \
+        .otherwise(_case_bucket(cols, bounds, mid + 1, hi))
+
+
 def with_bucket(df: DataFrame, order_cols: list[str], bounds: list[tuple], name: str,
                 types=None) -> DataFrame:
-    """Add ``name`` = range bucket of the order keys (see ``_search_bucket``)."""
+    """Add ``name`` = range bucket of the order keys: a compiled CASE tree for
+    up to ``CASE_TREE_MAX`` bounds (measured faster there), otherwise the
+    binary search of ``_search_bucket`` (plan size independent of count)."""
     if not bounds:
         return df.withColumn(name, F.lit(0))
+    if len(bounds) <= CASE_TREE_MAX:
+        return df.withColumn(name, _case_bucket([F.col(c) for c in order_cols], bounds, 0, len(bounds)))
     types = types or [df.schema[c].dataType.simpleString() for c in order_cols]
     key = F.struct(*[F.col(c).cast(t).alias(f"c{i}") for i, (c, t) in enumerate(zip(order_cols, types))])
     sub, expr = _search_bucket(df.sparkSession, key, bounds, types)

@@ -13,7 +13,7 @@ def test_positions_match_sorted_order_for_any_partitioning(spark):
     rows = [(random.randint(0, 5), random.randint(0, 10**9), i) for i in range(2000)]
     rows = list({(a, b): (a, b, c) for a, b, c in rows}.values())
     expected = {(a, b): i for i, (a, b, _) in enumerate(sorted(rows))}
-    for parts, buckets in [(1, 1), (4, 3), (17, 17)]:
+    for parts, buckets in [(1, 1), (4, 3), (17, 17), (5, 100)]:   # 100: binary-search path
         df = spark.createDataFrame(rows, "g int, k long, v long").repartition(parts)
         got = {(r.g, r.k): r.pos for r in with_positions(df, ["g", "k"], n_buckets=buckets).collect()}
         assert got == expected
