@@ -80,8 +80,12 @@ def ensure_parallelism(df, min_partitions: int | None = None):
     (e.g. one large row group).  Well-split inputs are returned unchanged, so
     on a cluster reading many files this adds no shuffle."""
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access: leave the scan as is
+        return df
+    if current < target:
         return df.repartition(target)
     return df
 
@@ -96,8 +100,11 @@ def ship_package(spark: SparkSession) -> None:
     helpers, so workers must be able to import them."""
     import zipfile
 
-    sc = spark.sparkContext
-    app = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # no SparkContext access (e.g. a remote session)
+        return
     if app in _SHIPPED:
         return
     import quire
