@@ -86,3 +86,18 @@ def q_w6(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id")
     return epoch_order(d, epoch=3, seed=42, batch_size=128, method="md5").select(
         "doc_id", "epoch", "pos", "batch_id")
+
+
+@register("lr_schedule", f"""
+SELECT step, round(CASE WHEN step < w THEN step::DOUBLE / greatest(1.0, w::DOUBLE)
+            ELSE greatest(0.0, 0.5 * (1.0 + cos(pi() * ((step::DOUBLE - w::DOUBLE)
+                                                       / greatest(1.0, n::DOUBLE - w::DOUBLE))))) END, 9)
+         AS lr_multiplier
+FROM (SELECT num_training_steps AS n, num_warmup_steps AS w, unnest(range(0, num_training_steps)) AS step
+      FROM ({SQL_PLAN}) WHERE source IS NULL)
+""")
+def q_lr_schedule(spark, sf_dir):
+    """Cosine schedule with warm-up over the whole corpus' training steps."""
+    from quire.operators.plan import lr_schedule
+    plan = training_plan(table(spark, sf_dir, "documents").select("source"), None)
+    return lr_schedule(plan).select("step", F.round("lr_multiplier", 9).alias("lr_multiplier"))
