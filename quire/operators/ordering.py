@@ -56,7 +56,7 @@ def range_bounds(df: DataFrame, order_cols: list[str], n_buckets: int,
     the driver sees)."""
     if n_buckets <= 1:
         return []
-    keys = df.select(*order_cols)
+    keys = df.select(*order_cols).dropna()
     want = min(n_buckets * SAMPLE_PER_BUCKET, MAX_SAMPLE)
     if total is None:
         total = keys.count()
@@ -79,11 +79,12 @@ CASE_TREE_MAX = 48
 
 
 def _lt(cols: list[Column], bound: tuple) -> Column:
-    """Lexicographic ``(cols) < bound``."""
+    """Lexicographic ``(cols) < bound`` with nulls first (bounds hold no nulls)."""
     expr = None
     for c, v in reversed(list(zip(cols, bound))):
         lit = F.lit(v)
-        expr = (c < lit) if expr is None else ((c < lit) | ((c == lit) & expr))
+        less = c.isNull() | (c < lit)
+        expr = less if expr is None else (less | ((c == lit) & expr))
     return expr
 
 
@@ -104,6 +105,8 @@ def with_bucket(df: DataFrame, order_cols: list[str], bounds: list[tuple], name:
     binary search of ``_search_bucket`` (plan size independent of count)."""
     if not bounds:
         return df.withColumn(name, F.lit(0))
+    # null key fields sort first (ASC NULLS FIRST), field by field: the CASE
+    # tree compares null-aware, struct comparison orders null fields first
     if len(bounds) <= CASE_TREE_MAX:
         return df.withColumn(name, _case_bucket([F.col(c) for c in order_cols], bounds, 0, len(bounds)))
     types = types or [df.schema[c].dataType.simpleString() for c in order_cols]
@@ -116,7 +119,8 @@ def with_positions(df: DataFrame, order_cols: list[str], name: str = "pos",
                    n_buckets: int | None = None, materialize: bool = False) -> DataFrame:
     """Add ``name`` = 0-based position of each row in ``order_cols`` order.
 
-    Order keys must be unique and non-null (they are the corpus' identity).
+    Order keys should be unique (they are the corpus' identity); rows with a
+    null key come first, as in ``ORDER BY ... ASC NULLS FIRST``.
     The input is read by three passes (count, key sample, numbering); with
     ``materialize=True`` an expensive input is written once first.
     """

@@ -58,8 +58,11 @@ def parsed_records(spark: SparkSession, path, parser: str = "python",
 
 def to_corpus_rows(parsed: DataFrame, clean: bool = False) -> DataFrame:
     text = combine_title_abstract("title", "abstract")
+    # numeric PMIDs keep their value; a missing or odd PMID hashes the record
+    key = F.coalesce(F.expr("try_cast(pmid AS BIGINT)"),
+                     F.xxhash64(F.col("pmid"), F.col("title"), F.col("abstract")))
     out = parsed.select(
-        F.expr("try_cast(pmid AS BIGINT)").alias("doc_id"),
+        key.alias("doc_id"),
         (clean_text(text) if clean else text).alias("clinical_text"))
     # P5: keep records with non-empty text (null and '' dropped, ' ' kept)
     return out.where(F.col("clinical_text") != "").withColumn("source", F.lit("articles"))

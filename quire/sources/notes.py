@@ -16,6 +16,12 @@ from quire.functions.text import clean_text, na_to_null
 from quire.schemas import NOTE_META
 
 
+def note_key(c: str):
+    """Numeric ids keep their value; others (e.g. '10000032-DS-21') hash to a
+    stable 64-bit key."""
+    return F.coalesce(F.expr(f"try_cast({c} AS BIGINT)"), F.xxhash64(F.col(c)))
+
+
 def drop_if_present(df: DataFrame, cols) -> DataFrame:
     """Drop the named columns that exist; ignore the others."""
     present = [c for c in cols if c in df.columns]
@@ -33,7 +39,7 @@ def read_notes(spark: SparkSession, path, label: str, clean: bool = True,
            .option("escape", '"').option("inferSchema", False).csv(path))
     if "text" not in raw.columns:
         raise ValueError(f"notes at {path} have no 'text' column: {raw.columns}")
-    doc_id = (F.expr("try_cast(note_id AS BIGINT)") if "note_id" in raw.columns
+    doc_id = (note_key("note_id") if "note_id" in raw.columns
               else F.monotonically_increasing_id())
     if keep_id:
         raw = raw.withColumn("doc_id", doc_id)

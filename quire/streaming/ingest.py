@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions.text import clean_text, na_to_null
 from quire.schemas import NOTE_SCHEMA
+from quire.sources.notes import note_key
 from quire.sources.articles import END_TAG, _START, to_corpus_rows
 from quire.sources.xml_parse import parse_records
 
@@ -25,7 +26,7 @@ def notes_stream(spark: SparkSession, src_dir: str, label: str, clean: bool = Tr
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = r.csv(src_dir)
     text = na_to_null(F.col("text"))
-    return raw.select(F.expr("try_cast(note_id AS BIGINT)").alias("doc_id"),
+    return raw.select(note_key("note_id").alias("doc_id"),
                       F.lit(label).alias("source"),
                       (clean_text(text) if clean else text).alias("clinical_text"))
 

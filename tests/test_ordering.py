@@ -48,3 +48,15 @@ def test_epoch_order_is_a_permutation_and_epoch_dependent(spark):
     assert e0 != e1
     again = {r.doc_id: r.pos for r in epoch_order(d.repartition(7), 0, batch_size=32).collect()}
     assert again == e0
+
+
+def test_positions_null_keys_first(spark, monkeypatch):
+    from quire.operators import ordering
+    rows = [(None, 5), (1, None), (1, 2), (0, 9), (None, None), (2, 1), (0, None), (3, 3)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    exp = [(r.a, r.b) for r in df.orderBy(F.asc_nulls_first("a"), F.asc_nulls_first("b")).collect()]
+    for case_max in (48, 0):                     # CASE tree, then the binary search
+        monkeypatch.setattr(ordering, "CASE_TREE_MAX", case_max)
+        for nb in (2, 4):
+            got = [(r.a, r.b) for r in with_positions(df, ["a", "b"], n_buckets=nb).orderBy("pos").collect()]
+            assert got == exp

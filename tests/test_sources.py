@@ -139,3 +139,12 @@ def test_patients_object_layout(spark, tmpdir_path):
     assert got["p2"] == (None, 0)          # null arrival -> null info
     assert got["p3"][1] == 0               # null disposition -> 0
     assert got["p3"][0].startswith("A3. The patient received no diagnostic codesT3. ")
+
+
+def test_string_note_ids_get_stable_keys(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "n.csv")
+    with open(p, "w") as f:
+        f.write('note_id,text\n10000032-DS-21,"a"\n10000032-DS-22,"b"\n7,"c"\n')
+    ids = {r.clinical_text: r.doc_id for r in read_notes(spark, p, "d").collect()}
+    again = {r.clinical_text: r.doc_id for r in read_notes(spark, p, "d").collect()}
+    assert ids == again and ids["c"] == 7 and None not in ids.values() and len(set(ids.values())) == 3
