@@ -39,3 +39,16 @@ def test_query_against_oracle(spark, con, name):
         assert r["match"], r
     else:
         assert r["rows"] >= 0
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT",
+                 "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_oracle_column_types_match(spark, con, name):
+    sdf = QUERIES[name](spark, SF_SMALL)
+    st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+          for f in sdf.schema.fields}
+    rel = con.sql(ORACLE[name])
+    assert st == {c: str(t) for c, t in zip(rel.columns, rel.types)}
