@@ -3,8 +3,9 @@
 Centroid per label (``posexplode`` + partial ``avg`` per (label, dim): the
 pre-aggregation keeps shuffle size at labels x dims per task), then every
 vector's cosine to its own centroid and to the nearest other centroid.  The
-centroid table is one row per label; it is attached to the vectors as a
-single broadcast row after a checked bound on the label count.
+centroid table is one row per label; it reaches the vectors as a
+scalar subquery (one value holding every centroid, evaluated once per
+query) after a checked bound on the label count -- no join.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ def cluster_report(df: DataFrame, vec_col: str = "embedding", label_col: str = "
     if n_labels > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels; centroids would not be a bounded broadcast")
     table = c.agg(F.collect_list(F.struct(F.col(label_col).alias("l"), "centroid")).alias("__cs"))
-    # one row holding all (bounded) centroids, attached to every vector
-    v = df.select(id_col, label_col, vec_col).join(F.broadcast(table))
+    # all (bounded) centroids as one value: a scalar subquery, evaluated once
+    v = df.select(id_col, label_col, vec_col).withColumn("__cs", table.scalar())
     sims = F.transform("__cs", lambda s: F.struct(s["l"].alias("l"), cosine(F.col(vec_col), s["centroid"]).alias("cs")))
     per = v.select(id_col, label_col, sims.alias("__s"))
     own = F.aggregate(F.filter("__s", lambda s: s["l"] == F.col(label_col)), F.lit(None).cast("double"),
