@@ -4,8 +4,9 @@ Columns are named by the header and read as strings (no type inference).
 Metadata columns are dropped when present (P1); ``text`` becomes
 ``clinical_text`` after NA-token nulling and whitespace cleaning (P2, T1).
 Quoted cells may hold newlines, so files are parsed whole (``multiLine``):
-one task per file, and gzip is unsplittable anyway.  Pass ``num_partitions``
-to spread a few large files after the scan.
+one task per file, and gzip is unsplittable anyway, so a scan with fewer
+partitions than the cluster's parallelism is spread before the per-row
+cleaning (``num_partitions`` sets the count explicitly).
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ def read_notes(spark: SparkSession, path, label: str, clean: bool = True,
            .option("escape", '"').option("inferSchema", False).csv(path))
     if "text" not in raw.columns:
         raise ValueError(f"notes at {path} have no 'text' column: {raw.columns}")
+    # whole-file parsing gives one task per file: spread few large files
+    # before the per-row cleaning (no-op when files outnumber cores)
+    raw = _spread(raw, num_partitions)
+    num_partitions = None
     doc_id = (note_key("note_id") if "note_id" in raw.columns
               else F.monotonically_increasing_id())
     if keep_id:
@@ -50,3 +55,10 @@ def read_notes(spark: SparkSession, path, label: str, clean: bool = True,
     if num_partitions:
         df = df.repartition(num_partitions)
     return df
+
+
+def _spread(raw: DataFrame, num_partitions: int | None) -> DataFrame:
+    from quire.session import ensure_parallelism
+    if num_partitions:
+        return raw.repartition(num_partitions)
+    return ensure_parallelism(raw)
