@@ -135,6 +135,13 @@ def assign_bins(df: DataFrame, max_length: int = 8192, order_cols=("pos",),
                 block_rows: int | None = None) -> DataFrame:
     """(order keys..., __seq, bin_id) for every non-null text; ``__seq`` is
     the 0-based position among non-null texts."""
+    return _assign_bins(df, max_length, order_cols, scope, text_col, block_rows)[0]
+
+
+def _assign_bins(df: DataFrame, max_length: int = 8192, order_cols=("pos",),
+                 scope=None, text_col: str = "clinical_text",
+                 block_rows: int | None = None) -> tuple[DataFrame, int]:
+    """``assign_bins`` plus the number of non-null texts."""
     spark = df.sparkSession
     order_cols, scope = list(order_cols), list(scope or [])
     key_cols = scope + [c for c in order_cols if c not in scope]
@@ -150,7 +157,7 @@ def assign_bins(df: DataFrame, max_length: int = 8192, order_cols=("pos",),
     out_schema = T.StructType(key_fields + [T.StructField("__seq", T.LongType()),
                                             T.StructField("bin_id", T.LongType())])
     if n == 0:
-        return spark.createDataFrame([], out_schema)
+        return spark.createDataFrame([], out_schema), 0
     pos = F.col("__seq")
     cols = [*key_cols, "__seq", "L"] + (["__g"] if scope else [])
     base = numbered.withColumn("__g", F.to_json(F.struct(*scope))) if scope else numbered
@@ -167,10 +174,11 @@ def assign_bins(df: DataFrame, max_length: int = 8192, order_cols=("pos",),
     entries = _compose(rows, n_blocks)
     # small (keys, seq, bin) table, read by several branches: written once
     return materialize(blocks.groupBy("block").applyInPandas(_assign_fn(T_, entries, key_cols), out_schema),
-                       "pack-bins")
+                       "pack-bins"), n
 
 
 DEFAULT_RANGE_ROWS = 1 << 16
+RANGE_MIN_TEXTS = 1_000_000
 MAX_SPANNING = 5_000_000
 
 
@@ -215,16 +223,21 @@ def _assemble_by_ranges(texts: DataFrame, bins: DataFrame, key: str, scope: list
 
 def pack_contexts(df: DataFrame, max_length: int = 8192, order_cols=("pos",), scope=None,
                   text_col: str = "clinical_text", block_rows: int | None = None,
-                  range_rows: int | None = DEFAULT_RANGE_ROWS) -> DataFrame:
+                  range_rows="auto") -> DataFrame:
     """Packed bins: (bin_id, scope..., n_docs, first_pos, text).
 
-    With one integral order column (a corpus position or document id), the
-    text is shuffled once (``_assemble_by_ranges``); otherwise texts are
-    joined back on the order keys and grouped by bin (two shuffles)."""
+    With one integral order column (a corpus position or document id) and
+    more than ``RANGE_MIN_TEXTS`` texts (``range_rows="auto"``), the text is
+    shuffled once (``_assemble_by_ranges``); otherwise texts are joined back
+    on the order keys and grouped by bin (two shuffles, fewer jobs -- faster
+    while the text is small).  ``range_rows`` = an int forces ranges of that
+    many keys, ``None`` forces the join-back path."""
     scope = list(scope or [])
     order_cols = list(order_cols)
     key_cols = scope + [c for c in order_cols if c not in scope]
-    bins = assign_bins(df, max_length, order_cols, scope, text_col, block_rows)
+    bins, n = _assign_bins(df, max_length, order_cols, scope, text_col, block_rows)
+    if range_rows == "auto":
+        range_rows = DEFAULT_RANGE_ROWS if n > RANGE_MIN_TEXTS else None
     texts = df.where(F.col(text_col).isNotNull()).select(*key_cols, F.col(text_col).alias("__t"))
     integral = (len(order_cols) == 1 and order_cols[0] not in scope
                 and isinstance(df.schema[order_cols[0]].dataType, (T.LongType, T.IntegerType, T.ShortType)))
