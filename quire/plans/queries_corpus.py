@@ -8,7 +8,7 @@ from quire.functions.text import NA_TOKENS
 from quire.operators.ordering import assign_batches, prefix_series, with_positions
 from quire.operators.patients import (admitted_label, assemble_info, fill_defaults,
                                       patient_documents)
-from quire.plans.corpus import build_corpus, read_source, union_sources
+from quire.plans.corpus import build_corpus, read_source
 from quire.plans.registry import register, sql_clean
 from quire.session import scratch_path
 from quire.sources import fixtures as fx

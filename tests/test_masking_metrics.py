@@ -95,3 +95,11 @@ def test_argmax_and_top_indices(spark):
     df = spark.createDataFrame([([0.1, 0.9, 0.9, 0.3],)], "s array<float>")
     r = df.select(argmax("s").alias("a"), top_indices("s", 3).alias("t"), top_indices("s", 9).alias("all")).first()
     assert r.a == 1 and r.t == [1, 2, 3] and r.all == [1, 2, 3, 0]
+
+
+def test_array_helpers(spark):
+    from quire.functions.arrays import pad_right, topk_hit
+    df = spark.createDataFrame([([1, 2, 3], [0.1, 0.7, 0.2], 2)], "a array<int>, s array<double>, l int")
+    r = df.select(pad_right("a", 5, 0).alias("p"), pad_right("a", 2, 0).alias("t"),
+                  topk_hit("s", "l", 1).alias("h1"), topk_hit("s", "l", 2).alias("h2")).first()
+    assert r.p == [1, 2, 3, 0, 0] and r.t == [1, 2] and r.h1 == 0.0 and r.h2 == 1.0
