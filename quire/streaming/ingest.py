@@ -4,7 +4,8 @@ The batch readers' transformations run unchanged on a file stream; each
 trigger picks up only new files, and the Parquet sink with a checkpoint
 gives exactly-once output, so a restart adds no duplicates.
 ``trigger(availableNow=True)`` processes everything present, in bounded
-micro-batches (``maxFilesPerTrigger``), then stops.
+micro-batches (``maxFilesPerTrigger``, default 1000 files), then stops.  The
+notes schema is taken from the files' header once, as the batch reader does.
 """
 
 from __future__ import annotations
@@ -18,21 +19,37 @@ from quire.sources.articles import END_TAG, _START, to_corpus_rows
 from quire.sources.xml_parse import parse_records
 
 
+DEFAULT_FILES_PER_TRIGGER = 1000
+
+
+def _header_schema(spark: SparkSession, src_dir: str):
+    """Column names from the files' header (all strings), as the batch
+    reader sees them; the fixed note schema when no file exists yet."""
+    try:
+        schema = (spark.read.option("header", True).option("multiLine", True)
+                  .option("escape", '"').csv(src_dir).schema)
+        return schema if "text" in schema.fieldNames() else NOTE_SCHEMA
+    except Exception:  # empty or missing folder
+        return NOTE_SCHEMA
+
+
 def notes_stream(spark: SparkSession, src_dir: str, label: str, clean: bool = True,
-                 max_files_per_trigger: int | None = None) -> DataFrame:
-    r = (spark.readStream.schema(NOTE_SCHEMA).option("header", True).option("multiLine", True)
+                 max_files_per_trigger: int | None = DEFAULT_FILES_PER_TRIGGER) -> DataFrame:
+    schema = _header_schema(spark, src_dir)
+    r = (spark.readStream.schema(schema).option("header", True).option("multiLine", True)
          .option("escape", '"'))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = r.csv(src_dir)
     text = na_to_null(F.col("text"))
-    return raw.select(note_key("note_id").alias("doc_id"),
+    key = note_key("note_id") if "note_id" in schema.fieldNames() else F.xxhash64(F.col("text"))
+    return raw.select(key.alias("doc_id"),
                       F.lit(label).alias("source"),
                       (clean_text(text) if clean else text).alias("clinical_text"))
 
 
 def articles_stream(spark: SparkSession, src_dir: str,
-                    max_files_per_trigger: int | None = None) -> DataFrame:
+                    max_files_per_trigger: int | None = DEFAULT_FILES_PER_TRIGGER) -> DataFrame:
     r = spark.readStream.option("lineSep", END_TAG)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -57,3 +57,17 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark):
     assert first == again == batch.count() == docs.where(F.col("lang").isin("en", "de")).count()
     s = ingest_notes_stream(spark, src, sink, ckpt, "discharge")
     assert s.exceptAll(batch.select("doc_id", "source", "clinical_text")).count() == 0
+
+
+def test_stream_small_triggers_and_header_schema(spark, tmpdir_path):
+    import os
+    src = os.path.join(tmpdir_path, "notes")
+    os.makedirs(src)
+    for i in range(3):
+        with open(os.path.join(src, f"part{i}.csv"), "w") as f:
+            f.write(f'note_id,text\n{i},"note  {i}\nline"\n')   # metadata columns absent
+    sink, ckpt = scratch_path(spark, "t2-sink"), scratch_path(spark, "t2-ckpt")
+    from quire.streaming.ingest import notes_stream, run_to_parquet
+    run_to_parquet(notes_stream(spark, src, "discharge", max_files_per_trigger=1), sink, ckpt)
+    got = sorted((r.doc_id, r.clinical_text) for r in spark.read.parquet(sink).collect())
+    assert got == [(0, "note 0 line"), (1, "note 1 line"), (2, "note 2 line")]
