@@ -60,3 +60,17 @@ def test_positions_null_keys_first(spark, monkeypatch):
         for nb in (2, 4):
             got = [(r.a, r.b) for r in with_positions(df, ["a", "b"], n_buckets=nb).orderBy("pos").collect()]
             assert got == exp
+
+
+def test_buckets_balanced_when_one_source_dominates(spark, monkeypatch):
+    from quire.operators import ordering
+    # 60% of rows share source_rank 0; keys (source_rank, doc_id) are unique
+    df = spark.range(0, 40000).select(
+        F.when(F.col("id") % 10 < 6, 0).otherwise(F.col("id") % 10).alias("source_rank"),
+        F.col("id").alias("doc_id"))
+    for case_max in (48, 0):
+        monkeypatch.setattr(ordering, "CASE_TREE_MAX", case_max)
+        bounds = ordering.range_bounds(df, ["source_rank", "doc_id"], 16)
+        sizes = [r["count"] for r in ordering.with_bucket(df, ["source_rank", "doc_id"], bounds, "b")
+                 .groupBy("b").count().collect()]
+        assert len(sizes) == 16 and max(sizes) < 2.0 * 40000 / 16, sizes
