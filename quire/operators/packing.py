@@ -21,7 +21,8 @@ Distributed exactly, with no group larger than one block:
 4. driver: fold the per-block maps in block order (one lookup per block) to
    get each block's true entry and the number of bins before it;
 5. pass 2: walk the chain from the true entry, number bins globally;
-6. texts get their bin ids.  With one integral order key, text rows and
+6. texts get their bin ids.  With one integral order key (and more than
+   ``RANGE_MIN_TEXTS`` texts, under ``range_rows="auto"``), text rows and
    bin ids are co-partitioned by key range, each range assembles its bins in
    place, and only the few bins straddling a range boundary are merged by a
    tiny second shuffle -- the text is shuffled once.  Otherwise texts are
@@ -40,7 +41,7 @@ from quire.operators.ordering import with_positions
 from quire.session import materialize
 
 DEFAULT_BLOCK_ROWS = 1 << 20
-SUMMARY_LIMIT = 20_000_000
+SUMMARY_LIMIT = 5_000_000   # rows of block maps the driver may fold
 
 
 def _next_pointers(L: np.ndarray, gkey, T_: int, nb: int) -> np.ndarray:
