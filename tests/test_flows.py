@@ -31,3 +31,12 @@ def test_embed_patients_prefix(spark):
     out = embed_patients(spark, src, scratch_path(spark, "emb"), limit_rows=50)
     df = spark.read.parquet(out)
     assert df.count() == 50 and df.where(F.size("embedding") != 64).count() == 0
+
+
+def test_cli_embed(spark, capsys):
+    from quire.__main__ import main
+    src = fx.render_patients(spark, SF_SMALL, scratch_path(spark, "cli-pat"))
+    out = scratch_path(spark, "cli-emb")
+    main(["embed", "--json", src, "--out", out, "--limit-rows", "5", "--shuffle-partitions", "8"])
+    assert out in capsys.readouterr().out
+    assert spark.read.parquet(out).count() == 5
