@@ -52,3 +52,10 @@ def test_oracle_column_types_match(spark, con, name):
           for f in sdf.schema.fields}
     rel = con.sql(ORACLE[name])
     assert st == {c: str(t) for c, t in zip(rel.columns, rel.types)}
+
+
+def test_entry_schema_is_stable(spark):
+    a, b = E.entry(spark), E.entry(spark)
+    assert a.schema == b.schema
+    assert [f.name for f in a.schema.fields] == ["level", "source", "n_docs", "n_texts", "avg_words",
+                                                 "n_chars", "size_mb"]
