@@ -53,7 +53,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            root = tempfile.mkdtemp(prefix="quire-ckpt-")
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver "
+                                   "and all executors share")
+            root = tempfile.mkdtemp(prefix="quire-ckpt-")  # one machine: local is shared
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root
     return root
@@ -101,9 +104,10 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``quire`` importable by Python workers on every executor: zip the
-    package into the shared checkpoint folder and ``addPyFile`` it, once per
-    application.  Arrow UDFs and grouped-map functions reference quire
-    helpers, so workers must be able to import them."""
+    package and ``addPyFile`` it, once per application.  The zip is an
+    ordinary driver-local file that Spark's file server hands to executors, so
+    no shared or remote path is touched.  Operators that run Python call this
+    themselves; callers need not."""
     import zipfile
 
     try:
@@ -116,10 +120,7 @@ def ship_package(spark: SparkSession) -> None:
     import quire
     pkg = os.path.dirname(os.path.abspath(quire.__file__))
     root = os.path.dirname(pkg)
-    folder = scratch_path(spark, "pyfiles")
-    local = folder.split("file:", 1)[-1]
-    os.makedirs(local, exist_ok=True)
-    target = os.path.join(local, "quire.zip")
+    target = os.path.join(tempfile.mkdtemp(prefix="quire-zip-"), "quire.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for d, _, files in os.walk(pkg):
             for f in files:
