@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.llm.inverted_index import contamination
+from quire.llm.jaccard_join import jaccard_classes
 from quire.llm.packing import pack_tokens
 from quire.llm.registry import read, register
 from quire.llm.token_counts import token_counts
@@ -30,3 +31,9 @@ def op4(spark, sf_dir):
     counts = token_counts(read(spark, sf_dir, "documents"), scratch_path(spark, "token-cache"))
     return counts.select("doc_id", "n_bytes", "n_tokens",
                          F.coalesce(F.col("n_tokens") > 1024, F.lit(False)).alias("over_limit"))
+
+
+@register("op6_jaccard_join")
+def op6(spark, sf_dir):
+    return jaccard_classes(read(spark, sf_dir, "documents"), k=5, percent=80).select(
+        "doc_id", "n_shingles", "component_id")
