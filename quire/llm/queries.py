@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.llm.inverted_index import contamination
 from quire.llm.jaccard_join import jaccard_classes
 from quire.llm.packing import pack_tokens
+from quire.llm.quality import quality_rules
 from quire.llm.registry import read, register
 from quire.llm.token_counts import token_counts
 from quire.session import scratch_path
@@ -37,3 +38,54 @@ def op4(spark, sf_dir):
 def op6(spark, sf_dir):
     return jaccard_classes(read(spark, sf_dir, "documents"), k=5, percent=80).select(
         "doc_id", "n_shingles", "component_id")
+
+
+QUALITY_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS MATERIALIZED (
+  SELECT rid, doc_id, source, t,
+         list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d),
+win AS (
+  SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS w
+  FROM (SELECT rid, words, unnest(generate_series(1, len(words) - 7)) AS i FROM m WHERE len(words) >= 8)),
+twice AS (SELECT rid, w FROM win GROUP BY rid, w HAVING count(*) > 1),
+rep AS (
+  SELECT rid, count(DISTINCT i + o) AS n
+  FROM win SEMI JOIN twice USING (rid, w), (SELECT unnest(generate_series(0, 7)) AS o) GROUP BY rid),
+base AS MATERIALIZED (
+  SELECT rid, doc_id, source, t, lines, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM m LEFT JOIN rep USING (rid)),
+texts AS MATERIALIZED (SELECT source, t, any_value(lines) AS lines FROM base GROUP BY source, t),
+l AS MATERIALIZED (
+  SELECT source, t, trim(regexp_replace(lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), '[0-9]+', '0', 'g')) AS norm,
+         len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n
+  FROM (SELECT source, t, unnest(lines) AS x FROM texts)),
+hosts AS (SELECT source, count(*) AS texts FROM texts GROUP BY source),
+above AS (
+  SELECT l.source, norm FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source
+  GROUP BY l.source, norm, texts HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > 0.2 * texts),
+gone AS (
+  SELECT l.source, l.t, sum(n) AS n FROM l JOIN above
+    ON l.source IS NOT DISTINCT FROM above.source AND l.norm = above.norm GROUP BY l.source, l.t),
+v AS (
+  SELECT base.*, coalesce(gone.n, 0) AS n_gone,
+         n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+  FROM base LEFT JOIN gone ON base.source IS NOT DISTINCT FROM gone.source AND base.t = gone.t)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT (n_gone > 0 AND (n_words - n_gone < 20 OR n_words - n_gone < 0.3 * n_words)) AS kept,
+       CAST(n_gone AS BIGINT) AS n_line_words
+FROM v
+"""
+
+
+@register("op10_quality_rules", QUALITY_SQL)
+def op10(spark, sf_dir):
+    return quality_rules(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "kept", "n_line_words")
