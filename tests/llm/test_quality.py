@@ -41,9 +41,10 @@ def test_query_equals_brute_force(spark):
 
 
 def test_boilerplate_copies_and_edges(spark):
-    long = " ".join(f"w{i}" for i in range(30))
-    rows = [(i, f"Site  header {i} and nothing more to it\n{long} x{i} y\r\x0b", "a") for i in range(60)]
-    rows += [(100 + i, "Site header 7 and nothing more to it\nshort tail " + "only " * 3 + str(i) * 15, "a") for i in range(30)]
+    letters = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    long = " ".join("w" + letters(i) for i in range(30))
+    rows = [(i, f"Site  header {i} and nothing more to it\n{long} x{letters(i)} y\r\x0b", "a") for i in range(60)]
+    rows += [(100 + i, "Site header 7 and nothing more to it\nshort tail " + " ".join(letters(j) + letters(i) for j in range(13)), "a") for i in range(30)]
     rows += [(200 + i, "a copied text\n" + long, "b") for i in range(80)]
     rows += [(300, None, "a"), (301, "", None), (302, "  \n\n\t", None), (None, long, None), (303, "r e p " * 40, None),
              (304, "a b c d e f g h " * 2 + long, "c"), (305, "é#*$ |<> " * 9, "c"), (305, "é#*$ |<> " * 9, "c"),
