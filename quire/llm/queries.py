@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.llm.inverted_index import contamination
 from quire.llm.jaccard_join import jaccard_classes
 from quire.llm.packing import pack_tokens
+from quire.llm.pii import KINDS, pii_spans, span_list
 from quire.llm.quality import quality_rules
 from quire.llm.registry import read, register
 from quire.llm.token_counts import token_counts
@@ -89,3 +90,12 @@ def op10(spark, sf_dir):
     return quality_rules(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "kept", "n_line_words")
+
+
+@register("op1_pii")
+def op1(spark, sf_dir):
+    found = pii_spans(read(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_list(F.col("base")), 256).alias("base_sha256"),
+                        span_list(F.col("spans")).alias("spans"))
