@@ -11,6 +11,7 @@ from quire.llm.pii import KINDS, pii_spans, span_list
 from quire.llm.quality import quality_rules
 from quire.llm.registry import read, register
 from quire.llm.token_counts import token_counts
+from quire.llm.warc import resolve_revisits
 from quire.session import scratch_path
 
 
@@ -99,3 +100,69 @@ def op1(spark, sf_dir):
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(span_list(F.col("base")), 256).alias("base_sha256"),
                         span_list(F.col("spans")).alias("spans"))
+
+
+def captures(spark, sf_dir):
+    """A capture table from ``pages``: each page is a full response and, later
+    (or, for some, before any response), a not-modified revisit under a variant
+    of its URL, with a strong tag, a weak tag, a date or a differing tag."""
+    page, n = F.col("page_id"), F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 2), 16, 10).cast("int")
+    p = read(spark, sf_dir, "pages").select(
+        "page_id", "url", "html", n.alias("n"), F.md5("html").alias("m"),
+        F.concat(F.lit("day "), page.cast("string")).alias("day"))
+    tag = F.concat(F.lit('"'), F.col("m"), F.lit('"'))
+    response = p.select(
+        (2 * page).alias("id"), "url", (1000 * page).alias("time"), F.lit("response").alias("kind"), tag.alias("etag"),
+        F.col("day").alias("last_modified"), F.col("m").alias("digest"),
+        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), tag, F.lit("date"), F.col("day")).alias("headers"),
+        F.col("html").alias("payload"))
+    sent = (F.when(F.col("n") % 4 == 0, tag).when(F.col("n") % 4 == 1, F.concat(F.lit("W/"), tag))
+            .when(F.col("n") % 4 == 2, F.lit(None).cast("string")).otherwise(F.lit('"other"')))
+    revisit = p.select(
+        (2 * page + 1).alias("id"), F.concat("url", F.lit("#again")).alias("url"),
+        F.when(F.col("n") < 250, 1000 * page + 37 * F.col("n")).otherwise(-page).alias("time"),
+        F.lit("revisit").alias("kind"), sent.alias("etag"), F.col("day").alias("last_modified"), F.col("m").alias("digest"),
+        F.create_map(F.lit("date"), F.concat(F.lit("later "), F.col("day")), F.lit("content-type"), F.lit("none"),
+                     F.lit("vary"), F.when(F.col("n") % 2 == 0, "accept")).alias("headers"),
+        F.lit(None).cast("string").alias("payload"))
+    return response.unionByName(revisit)
+
+
+WARC_SQL = r"""
+WITH p AS (
+  SELECT page_id, html, md5(html) AS m, CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS INTEGER) AS n,
+         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u
+  FROM pages),
+k AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), '^www\.', ''), ':(?:80|443)$', '')
+           || regexp_replace(regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/index\.html?$', '/'), '/+$', '') AS hp,
+         list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
+           lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid)(?:=|$)'))) AS q
+  FROM p),
+c AS (SELECT *, hp || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM k),
+s AS (SELECT 2 * page_id AS id, 1000 * page_id AS time, url, m, page_id, html FROM c),
+r AS (SELECT 2 * page_id + 1 AS id, CASE WHEN n < 250 THEN 1000 * page_id + 37 * n ELSE -page_id END AS time, url, m, n, page_id FROM c),
+f AS (
+  SELECT r.*, s.id AS response_id, s.m AS sm, s.page_id AS sp, s.html AS sh,
+         row_number() OVER (PARTITION BY r.id ORDER BY s.time DESC, s.id DESC) AS nth
+  FROM r LEFT JOIN s ON r.url = s.url AND (s.time < r.time OR (s.time = r.time AND s.id < r.id))),
+v AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'unresolved'
+                 WHEN (n % 4 IN (0, 1) AND m = sm) OR (n % 4 = 2 AND page_id = sp) THEN 'resolved' ELSE 'changed' END AS verdict
+  FROM f WHERE nth = 1)
+SELECT id, url AS canonical_url, response_id, verdict,
+       CASE WHEN verdict = 'resolved'
+            THEN 'content-type=text/html,date=later day ' || page_id || ',etag="' || sm || '"' || CASE WHEN n % 2 = 0 THEN ',vary=accept' ELSE '' END
+            ELSE 'content-type=none,date=later day ' || page_id || ',vary=' || CASE WHEN n % 2 = 0 THEN 'accept' ELSE '' END END AS headers,
+       CASE WHEN verdict = 'resolved' THEN sha256(sh) END AS payload_sha256
+FROM v
+"""
+
+
+@register("op7_warc_revisits", WARC_SQL)
+def op7(spark, sf_dir):
+    done = resolve_revisits(captures(spark, sf_dir))
+    entries = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(
+        e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))))
+    return done.select("id", "canonical_url", "response_id", "verdict", F.array_join(entries, ",").alias("headers"),
+                       F.sha2("payload", 256).alias("payload_sha256"))
