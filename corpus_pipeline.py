@@ -1,24 +1,74 @@
 """From documents to packed training pieces: quality rules, near-duplicate
-removal, benchmark decontamination, PII redaction, packing."""
+removal, benchmark decontamination, PII redaction, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on everything its predecessor
+kept; all but the last return the columns of ``documents``.  A row is named by
+its id and the digest of its text, so null or repeated ids do no harm: repeated
+rows are copies of one document, and of those one stays.  Texts without words
+are rejected by the quality rules.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.llm.inverted_index import contamination
+from quire.llm.jaccard_join import jaccard_classes
 from quire.llm.packing import pack_tokens
+from quire.llm.pii import pii_spans, redact
+from quire.llm.quality import quality_rules
 from quire.session import materialize
 
-#: Tokenising, expectation-maximisation and packing are not SQL: the stages
-#: are tested against brute force instead.
+#: Expectation-maximisation, near-duplicate components and tokenising are not
+#: SQL; the stages are tested against a brute-force version instead.
 ORACLE_SQL = None
 
 
+def _digest(docs: DataFrame):
+    return F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """The rows' names and texts, for operators that pass a key through."""
+    return docs.select(F.struct(docs["doc_id"].alias("id"), _digest(docs).alias("digest")).alias("row"), "text")
+
+
+def _among(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Documents that are (left_semi) or are not (left_anti) among named rows."""
+    r = rows.select(F.col("row.id").alias("row_id"), F.col("row.digest").alias("row_digest")).distinct()
+    return docs.join(r, docs["doc_id"].eqNullSafe(r["row_id"]) & (_digest(docs) == r["row_digest"]), how)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    verdicts = quality_rules(docs)
+    bad = verdicts.where(~F.col("kept")).select(F.col("source").alias("bad_source"), F.col("digest").alias("bad_digest")).distinct()
+    return docs.join(bad, docs["source"].eqNullSafe(bad["bad_source"]) & (_digest(docs) == bad["bad_digest"]), "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    classes = jaccard_classes(_named(docs), key="row")
+    stay = classes.where(F.col("uid").isNull() | F.col("row").eqNullSafe(F.col("component_id")))
+    kept = _among(docs, stay, "left_semi").withColumn("row_digest", _digest(docs))
+    return kept.dropDuplicates(["doc_id", "row_digest"]).select(docs.columns)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a word window of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    hit = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    hit = contamination(_named(docs), benchmark, key="row").where("contaminated")
+    return _among(docs, hit, "left_anti")
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    names = [c for c in docs.columns if c != "doc_id"]
+    found = pii_spans(docs, keep=tuple(names))
+    text = F.when(F.size("spans") > 0, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return (found.withColumn("text", text)
+            .withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+            .select(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +76,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_tokens(docs, capacity=2048)
 
 
-STAGES = [("decontamination", decontaminate), ("packing", pack)]
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("pii", redact_pii),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written and read again."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -50,9 +50,9 @@ from quire.session import materialize, ship_package, shuffle_partitions
 FREQUENT = 64           # a shingle counted in so many texts goes last
 FREQUENT_MOST = 1 << 20  # ... and at most so many do (8 MB broadcast)
 CELL = 50_000           # members of a cell in one block
-BUCKET = 1 << 21        # cell entries handled by one task
+BUCKET = 1 << 20        # cell entries handled by one task
 FANOUT = 16
-_STEP = 8 << 20
+_STEP = 2 << 20
 _SLOTS = 1 << 24
 
 
@@ -91,14 +91,29 @@ def prefix_size(n: int, percent: int) -> int:
 
 def _frequent(docs: DataFrame, k: int) -> DataFrame:
     """Shingles held by many texts, with lower bounds of their counts."""
+    def repeated(sets):
+        """(hash, count) of those met twice or more in a bounded number of sets."""
+        h, n = np.unique(np.concatenate(sets), return_counts=True)
+        return h[n > 1], n[n > 1]
+
     def count(batches):
         for b in batches:
-            sets = [s for _, s in _sets(b, k)]
-            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (
-                np.empty(0, np.uint64), np.empty(0, np.int64))
+            met, sets, held = [], [], 0
+            for _, s in _sets(b, k):
+                sets.append(s)
+                held += len(s)
+                if held > _STEP // 4:
+                    met.append(repeated(sets))
+                    sets, held = [], 0
+            if sets:
+                met.append(repeated(sets))
+            every = np.concatenate([h for h, _ in met]) if met else np.empty(0, np.uint64)
+            h, of = np.unique(every, return_inverse=True)
+            n = np.zeros(len(h), np.int64)
+            np.add.at(n, of, np.concatenate([c for _, c in met]) if met else np.empty(0, np.int64))
             often = n >= 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "n"])
+                [pa.array(h[often].view(np.int64)), pa.array(n[often])], ["h", "n"])
 
     return (docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
             .where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(FREQUENT_MOST))

@@ -212,7 +212,7 @@ def reliabilities(patterns: list[tuple[tuple[str, ...], int]], rounds: int = 40,
     return share, table, post
 
 
-def train(patterns: list[tuple[list[str], int]], rounds: int = 300, rate: float = 0.5,
+def train(patterns: list[tuple[list[str], int]], rounds: int = 800, rate: float = 1.0,
           ridge: float = 1e-3) -> dict[str, float]:
     """Weights of a logistic classifier over feature names, fitted to the
     probabilities that expectation-maximisation gives each pattern."""

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.llm import langid, toxicity
 from quire.llm.inverted_index import contamination
 from quire.llm.jaccard_join import jaccard_classes
 from quire.llm.packing import pack_tokens
 from quire.llm.pii import KINDS, pii_spans, span_list
+from quire.llm.pseudo_likelihood import pseudo_likelihood
 from quire.llm.quality import quality_rules
 from quire.llm.registry import read, register
 from quire.llm.token_counts import token_counts
@@ -166,3 +168,25 @@ def op7(spark, sf_dir):
         e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))))
     return done.select("id", "canonical_url", "response_id", "verdict", F.array_join(entries, ",").alias("headers"),
                        F.sha2("payload", 256).alias("payload_sha256"))
+
+
+@register("op8_langid")
+def op8(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    held_out = langid.fold_of(F.col("doc_id"), 5) == 0
+    model = langid.train(docs.where(~held_out))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@register("op9_toxicity")
+def op9(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = langid.fold_of(F.col("doc_id"), 4) == 2
+    model = toxicity.train(labels.where(~held_out), docs=docs)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score",
+                                              (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register("op5_lm_scoring")
+def op5(spark, sf_dir):
+    return pseudo_likelihood(read(spark, sf_dir, "documents"))

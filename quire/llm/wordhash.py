@@ -17,7 +17,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 21
+PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -126,7 +126,8 @@ def shingles(word_hashes: np.ndarray, k: int) -> np.ndarray:
     h = np.zeros(n - width + 1, _U)
     for j in range(width):
         h = h * _U(0xD6E8FEB86659FD93) + word_hashes[j:n - width + 1 + j]
-    return np.unique(mix(h + _U(width)))
+    h = np.sort(mix(h + _U(width)))  # several times faster here than np.unique's hashing
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def slices_by_bytes(texts: pa.Array, limit: int):
