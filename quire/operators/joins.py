@@ -1,24 +1,15 @@
-"""Size-checked broadcast and membership."""
+"""Membership."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only when the side is proven to hold <= max_rows rows
-    (an early-stopping count); otherwise leave the choice to the planner/AQE,
-    whose runtime statistics are size-checked too."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def with_membership(df: DataFrame, ids: DataFrame, key: str = "doc_id",
-                    name: str = "is_member", max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Boolean flag ``key in ids`` (duplicate ids count once)."""
+                    name: str = "is_member") -> DataFrame:
+    """Boolean flag ``key in ids`` (duplicate ids count once).  Whether the
+    ids are broadcast is left to adaptive execution, which knows their bytes;
+    a null key is no member."""
     q = ids.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__hit", F.lit(True))
-    q = broadcast_if_small(q, max_broadcast_rows)
     return (df.join(q, key, "left")
             .withColumn(name, F.coalesce(F.col("__hit"), F.lit(False))).drop("__hit"))

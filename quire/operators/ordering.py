@@ -1,149 +1,48 @@
 """Global order without a single-partition window.
 
-``with_positions`` numbers rows 0..n-1 by unique order keys.  Range bounds
-come from a bounded key sample and become a *pure* bucket expression (a
-fixed-length binary search over the bounds, read as a scalar subquery), so every
-branch of the plan and every retried task maps a row to the same bucket.  Spark's own range
-partitioner reseeds its sampling per RDD, which would make two branches of
-one plan disagree.  Work done:
-
-* one aggregate ``count(*) group by bucket`` (partial aggregation, tiny
-  output: one row per bucket, broadcast back);
-* one hash shuffle on the bucket for ``row_number()`` inside each bucket.
-
-Buckets hold about n / n_buckets rows each because keys are unique.
+``with_positions`` numbers rows 0..n-1 by order keys.  Spark's range partitioner
+deals the rows to ordered partitions once, each sorts its own, and the result is
+written to the scratch folder with each row's place in its partition (the low 33
+bits of ``monotonically_increasing_id``).  Reading it back, one count per
+partition gives the offsets -- a table of as many rows as partitions -- and a
+position is offset + place.  Everything after the write reads the same files, so
+every branch of a plan and every retried task sees one order, ties included.
+
+The data moves through one shuffle and no window; a range partition is one
+task's sort, so their number follows the data (``ROWS_PER_PARTITION``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quire.session import materialize as _materialize, shuffle_partitions
 
-SAMPLE_PER_BUCKET = 64
-MAX_SAMPLE = 1_000_000
-ROWS_PER_BUCKET = 1_000_000
-
-
-def _search_bucket(spark, key: Column, bounds: list[tuple], types) -> Column:
-    """Bucket index in [0, len(bounds)]: the number of bounds <= key, by a
-    fixed-length binary search (``aggregate`` over ceil(log2(n + 1)) steps).
-    The bounds travel as data -- a one-row table read as a scalar subquery,
-    evaluated once per query -- so the plan stays small for any bucket
-    count; struct comparison is lexicographic."""
-    n = len(bounds)
-    fields = ", ".join(f"c{i} {t}" for i, t in enumerate(types))
-    table = spark.createDataFrame([([tuple(b) for b in bounds],)], f"b array<struct<{fields}>>")
-    arr = F.col("__bounds")
-    steps = max(1, n.bit_length())
-    init = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
-
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        go_left = key < F.element_at(arr, mid + 1)
-        return F.when(lo >= hi, acc).otherwise(F.struct(
-            F.when(go_left, lo).otherwise(mid + 1).alias("lo"),
-            F.when(go_left, mid).otherwise(hi).alias("hi")))
-
-    return table.scalar(), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
-
-
-def range_bounds(df: DataFrame, order_cols: list[str], n_buckets: int,
-                 total: int | None = None, seed: int = 17) -> list[tuple]:
-    """At most n_buckets-1 split keys from a sample of at most
-    ``min(n_buckets * SAMPLE_PER_BUCKET, MAX_SAMPLE)`` keys (the only data
-    the driver sees)."""
-    if n_buckets <= 1:
-        return []
-    keys = df.select(*order_cols).dropna()
-    want = min(n_buckets * SAMPLE_PER_BUCKET, MAX_SAMPLE)
-    if total is None:
-        total = keys.count()
-    if total == 0:
-        return []
-    frac = min(1.0, 1.5 * want / total)
-    sample = keys.sample(False, frac, seed) if frac < 1.0 else keys
-    rows = sorted(tuple(r) for r in sample.limit(2 * want).collect())
-    if not rows:
-        return []
-    out = []
-    for i in range(1, n_buckets):
-        b = rows[min(len(rows) - 1, (i * len(rows)) // n_buckets)]
-        if not out or b > out[-1]:
-            out.append(b)
-    return out
-
-
-CASE_TREE_MAX = 48
-
-
-def _lt(cols: list[Column], bound: tuple) -> Column:
-    """Lexicographic ``(cols) < bound`` with nulls first (bounds hold no nulls)."""
-    expr = None
-    for c, v in reversed(list(zip(cols, bound))):
-        lit = F.lit(v)
-        less = c.isNull() | (c < lit)
-        expr = less if expr is None else (less | ((c == lit) & expr))
-    return expr
-
-
-def _case_bucket(cols: list[Column], bounds: list[tuple], lo: int, hi: int) -> Column:
-    """Bucket index in [lo, hi] given bounds[lo:hi], as nested CASE (codegen'd;
-    only for a few bounds -- its size grows with the bound count)."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(_lt(cols, bounds[mid]), _case_bucket(cols, bounds, lo, mid)) \
-        .otherwise(_case_bucket(cols, bounds, mid + 1, hi))
-
-
-def with_bucket(df: DataFrame, order_cols: list[str], bounds: list[tuple], name: str,
-                types=None) -> DataFrame:
-    """Add ``name`` = range bucket of the order keys: a compiled CASE tree for
-    up to ``CASE_TREE_MAX`` bounds (measured faster there), otherwise the
-    binary search of ``_search_bucket`` (plan size independent of count)."""
-    if not bounds:
-        return df.withColumn(name, F.lit(0))
-    # null key fields sort first (ASC NULLS FIRST), field by field: the CASE
-    # tree compares null-aware, struct comparison orders null fields first
-    if len(bounds) <= CASE_TREE_MAX:
-        return df.withColumn(name, _case_bucket([F.col(c) for c in order_cols], bounds, 0, len(bounds)))
-    types = types or [df.schema[c].dataType.simpleString() for c in order_cols]
-    key = F.struct(*[F.col(c).cast(t).alias(f"c{i}") for i, (c, t) in enumerate(zip(order_cols, types))])
-    sub, expr = _search_bucket(df.sparkSession, key, bounds, types)
-    return df.withColumn("__bounds", sub).withColumn(name, expr).drop("__bounds")
+ROWS_PER_PARTITION = 1_000_000
+_PLACE_BITS = 33
 
 
 def with_positions(df: DataFrame, order_cols: list[str], name: str = "pos",
-                   n_buckets: int | None = None, materialize: bool = False) -> DataFrame:
-    """Add ``name`` = 0-based position of each row in ``order_cols`` order.
-
-    Order keys should be unique (they are the corpus' identity); rows with a
-    null key come first, as in ``ORDER BY ... ASC NULLS FIRST``.
-    The input is read by three passes (count, key sample, numbering); with
-    ``materialize=True`` an expensive input is written once first.
-    """
-    spark = df.sparkSession
+                   n_partitions: int | None = None, materialize: bool = False) -> DataFrame:
+    """Add ``name`` = 0-based position of each row in ``order_cols`` order
+    (nulls first).  Equal keys get adjacent positions in an order fixed once,
+    when the ranges are written; add columns to settle it.  ``materialize=True``
+    writes an expensive input before the count that sizes the ranges."""
     if materialize:
         df = _materialize(df, "positions-input")
-    total = df.count()
-    if n_buckets is None:
-        # enough buckets that one window task sorts a bounded number of rows
-        n_buckets = max(shuffle_partitions(spark), -(-total // ROWS_PER_BUCKET))
-    bounds = range_bounds(df, order_cols, n_buckets, total=total)
-    b = "__bucket"
-    keyed = with_bucket(df, order_cols, bounds, b)
-    counts = keyed.groupBy(b).agg(F.count(F.lit(1)).alias("__n"))
-    # one row per bucket: an ordered running sum over <= n_buckets rows
-    offsets = counts.select(
-        b, (F.sum("__n").over(Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("__off")).fillna(0, ["__off"])
-    w = Window.partitionBy(b).orderBy(*order_cols)
-    numbered = keyed.withColumn("__rn", F.row_number().over(w))
-    return (numbered.join(F.broadcast(offsets), b)
-            .withColumn(name, (F.col("__off") + F.col("__rn") - 1).cast("long"))
-            .drop(b, "__off", "__rn"))
+    spark = df.sparkSession
+    n = n_partitions or max(shuffle_partitions(spark), -(-df.count() // ROWS_PER_PARTITION))
+    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+              .withColumn("__place", F.monotonically_increasing_id()))
+    ranged = _materialize(ranged, "positions")
+    part = F.shiftright("__place", _PLACE_BITS)
+    counts = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(  # one row per range partition
+        Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    place = F.col("__place").bitwiseAND((1 << _PLACE_BITS) - 1)
+    return (ranged.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+            .withColumn(name, (F.col("__off") + place).cast("long"))
+            .drop("__part", "__place", "__off"))
 
 
 def take_prefix(df: DataFrame, n: int, pos_col: str = "pos") -> DataFrame:

@@ -9,39 +9,39 @@ dropped first.  With ``scope`` columns, bins never span two scope groups.
 
 Distributed exactly, with no group larger than one block:
 
-1. lengths only, numbered 0..n-1 (``with_positions``) and written to the
-   checkpoint folder (lineage cut; later passes prune columns);
-2. blocks of B >= T+2 consecutive positions, each with a halo copy of the
-   next block's first T+1 rows (a bin starting in a block ends within T+1
-   rows, so ``next(i)`` is visible inside block+halo);
+1. texts are ordered and numbered 0..n-1 once, with their text
+   (``with_positions``: one range shuffle, written to the scratch folder); every
+   later step uses the number, never the user's keys, so null, equal or hashed
+   keys lose and repeat nothing.  Equal keys keep the order of that write;
+2. blocks of B >= T+2 consecutive numbers (lengths only), each with a halo copy
+   of the next block's first T+1 rows (a bin starting in a block ends within
+   T+1 rows, so ``next(i)`` is visible inside block+halo);
 3. pass 1 (``applyInPandas`` per block): ``next(i)`` by binary search on
    prefix sums; the block exit and bin count for every possible entry in
    the block's first T+1 rows, by pointer doubling; returned run-length
    encoded (chains merge fast, so this is a few rows per block);
-4. driver: fold the per-block maps in block order (one lookup per block) to
-   get each block's true entry and the number of bins before it;
+4. the maps are folded in block order as a stream of rows: one entry and bin
+   number per block is kept;
 5. pass 2: walk the chain from the true entry, number bins globally;
-6. texts get their bin ids.  With one integral order key (and more than
-   ``RANGE_MIN_TEXTS`` texts, under ``range_rows="auto"``), text rows and
-   bin ids are co-partitioned by key range, each range assembles its bins in
-   place, and only the few bins straddling a range boundary are merged by a
-   tiny second shuffle -- the text is shuffled once.  Otherwise texts are
-   joined back on the order keys and grouped by bin (two shuffles).  Bins
-   are bounded (<= T characters or one over-long text) either way.
+6. text rows and bin ids meet by range of numbers, one shuffle of the text.  A
+   range assembles its bins in place; the rows of the few bins that straddle two
+   ranges are known from the numbers alone and are grouped by bin instead.
+   Ranges are sized from the total characters.  Bins are bounded (<= T
+   characters or one over-long text).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quire.functions.text import py_strip
 from quire.operators.ordering import with_positions
-from quire.session import materialize
+from quire.session import materialize, ship_package, shuffle_partitions
 
 DEFAULT_BLOCK_ROWS = 1 << 20
-SUMMARY_LIMIT = 5_000_000   # rows of block maps the driver may fold
+RANGE_CHARS = 128 << 20     # characters of text one assembling task holds
 
 
 def _next_pointers(L: np.ndarray, gkey, T_: int, nb: int) -> np.ndarray:
@@ -95,7 +95,7 @@ def _summary_fn(T_: int):
     return fn
 
 
-def _assign_fn(T_: int, entries: dict, key_cols: list[str]):
+def _assign_fn(T_: int, entries: dict):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, nb, gkey = _split_block(pdf)
         block = int(pdf["block"].iloc[0])
@@ -107,146 +107,84 @@ def _assign_fn(T_: int, entries: dict, key_cols: list[str]):
         while i < nb:
             marks[i] = 1
             i = int(nxt[i])
-        bins = np.cumsum(marks) - 1 + before
-        out = pdf.iloc[:nb][key_cols + ["__seq"]].copy()
-        out["bin_id"] = bins
-        return out
+        return pd.DataFrame({"__seq": pdf["__seq"].to_numpy()[:nb], "bin_id": np.cumsum(marks) - 1 + before})
     return fn
 
 
 def _compose(summary_rows, n_blocks: int) -> dict:
-    """Fold block maps in order: entry of block b+1 = exit of block b."""
-    by_block: dict[int, list] = {}
+    """Fold block maps, given in block order: entry of block b+1 = exit of
+    block b.  Keeps one (entry, bins before) per block."""
+    entries, entry, before, here, found, top = {0: (0, 0)}, 0, 0, 0, False, -1
     for r in summary_rows:
-        by_block.setdefault(r["block"], []).append((r["lo"], r["hi"], r["exit"], r["steps"]))
-    entries, entry, before = {}, 0, 0
-    for b in range(n_blocks):
-        entries[b] = (entry, before)
-        for lo, hi, ex, st in by_block.get(b, []):
-            if lo <= entry <= hi:
-                entry, before = ex, before + st
-                break
-        else:
-            raise AssertionError(f"block {b}: entry {entry} not covered")
+        if r["block"] != here:
+            if not found or r["block"] != here + 1:
+                raise AssertionError(f"block {here}: entry {entry} not covered")
+            here, found = r["block"], False
+        top = r["hi"]
+        if not found and r["lo"] <= entry <= r["hi"]:
+            entry, before, found = r["exit"], before + r["steps"], True
+            entries[here + 1] = (entry, before)
+    # the bin before a short last block may hold all of it
+    if not (found or entry > top) or here != n_blocks - 1:
+        raise AssertionError(f"block {here}: entry {entry} not covered")
     return entries
 
 
-def assign_bins(df: DataFrame, max_length: int = 8192, order_cols=("pos",),
-                scope=None, text_col: str = "clinical_text",
-                block_rows: int | None = None) -> DataFrame:
-    """(order keys..., __seq, bin_id) for every non-null text; ``__seq`` is
-    the 0-based position among non-null texts."""
-    return _assign_bins(df, max_length, order_cols, scope, text_col, block_rows)[0]
-
-
-def _assign_bins(df: DataFrame, max_length: int = 8192, order_cols=("pos",),
-                 scope=None, text_col: str = "clinical_text",
-                 block_rows: int | None = None) -> tuple[DataFrame, int]:
-    """``assign_bins`` plus the number of non-null texts."""
-    spark = df.sparkSession
-    order_cols, scope = list(order_cols), list(scope or [])
-    key_cols = scope + [c for c in order_cols if c not in scope]
-    T_ = int(max_length)
+def _bins_of(numbered: DataFrame, n: int, T_: int, scope: list[str], block_rows: int | None) -> DataFrame:
+    """(__seq, bin_id) of numbered texts (``__seq``, ``L``, scope columns)."""
     B = max(T_ + 2, int(block_rows or DEFAULT_BLOCK_ROWS))
-    lens = df.where(F.col(text_col).isNotNull()).select(
-        *key_cols, F.length(text_col).cast("long").alias("L"))
-    # lengths written once; the numbered table is written too, since the
-    # count, both block passes and the join back all read it
-    numbered = materialize(with_positions(lens, key_cols, name="__seq", materialize=True), "pack-numbered")
-    n = numbered.count()
-    key_fields = [numbered.schema[c] for c in key_cols]
-    out_schema = T.StructType(key_fields + [T.StructField("__seq", T.LongType()),
-                                            T.StructField("bin_id", T.LongType())])
-    if n == 0:
-        return spark.createDataFrame([], out_schema), 0
     pos = F.col("__seq")
-    cols = [*key_cols, "__seq", "L"] + (["__g"] if scope else [])
-    base = numbered.withColumn("__g", F.to_json(F.struct(*scope))) if scope else numbered
+    cols = ["__seq", "L"] + (["__g"] if scope else [])
+    base = numbered.withColumn("__g", F.to_json(F.struct(*scope), {"ignoreNullFields": "false"})) if scope else numbered
     main = base.select(*cols, F.floor(pos / B).cast("long").alias("block"), F.lit(False).alias("halo"))
     halo = base.where((pos >= B) & (F.pmod(pos, F.lit(B)) <= T_)).select(
         *cols, (F.floor(pos / B) - 1).cast("long").alias("block"), F.lit(True).alias("halo"))
     blocks = main.unionByName(halo)
-    summary = blocks.groupBy("block").applyInPandas(
-        _summary_fn(T_), "block long, lo long, hi long, exit long, steps long")
-    n_blocks = (n + B - 1) // B
-    rows = summary.collect()
-    if len(rows) > SUMMARY_LIMIT:
-        raise RuntimeError(f"packing summary too large ({len(rows)} rows); raise block_rows")
-    entries = _compose(rows, n_blocks)
-    # small (keys, seq, bin) table, read by several branches: written once
-    return materialize(blocks.groupBy("block").applyInPandas(_assign_fn(T_, entries, key_cols), out_schema),
-                       "pack-bins"), n
-
-
-DEFAULT_RANGE_ROWS = 1 << 16
-RANGE_MIN_TEXTS = 1_000_000
-MAX_SPANNING = 5_000_000
+    maps = materialize(blocks.groupBy("block").applyInPandas(
+        _summary_fn(T_), "block long, lo long, hi long, exit long, steps long"), "pack-maps")
+    entries = _compose(maps.orderBy("block", "lo").toLocalIterator(), (n + B - 1) // B)
+    return blocks.groupBy("block").applyInPandas(_assign_fn(T_, entries), "__seq long, bin_id long")
 
 
 def _bin_text(pieces):
     return F.array_join(F.transform(F.array_sort(pieces), lambda p: p["__t"]), " ")
 
 
-def _assemble_by_ranges(texts: DataFrame, bins: DataFrame, key: str, scope: list[str],
-                        range_rows: int) -> DataFrame:
-    """One shuffle of the text: text rows and bin ids are co-partitioned by
-    (scope..., floor(key / R)); bins are assembled inside each range, and only
-    bins that straddle a range boundary (<= one per boundary) are merged by a
-    second, tiny shuffle."""
-    spark = texts.sparkSession
-    rng = F.floor(F.col(key) / F.lit(range_rows)).cast("long")
-    part = [*scope, "__r"]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    t = texts.withColumn("__r", rng).repartition(n, *part)
-    b = bins.withColumn("__r", rng).repartition(n, *part)
-    j = t.join(b, [*part, key])
-    partial = j.groupBy(*part, "bin_id").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.min("__seq").alias("first_pos"),
-        F.collect_list(F.struct(F.col("__seq"), F.col("__t"))).alias("__p"))
-    partial = partial.select(*scope, "bin_id", "n_docs", "first_pos",
-                             _bin_text(F.col("__p")).alias("__t"))
-    # bins whose rows fall into more than one range (from the small table)
-    spans = (b.groupBy("bin_id").agg(F.min(F.struct(*part)).alias("lo"), F.max(F.struct(*part)).alias("hi"))
-             .where(F.col("lo") != F.col("hi")).select("bin_id"))
-    spans = materialize(spans, "pack-spanning")
-    if spans.limit(MAX_SPANNING + 1).count() > MAX_SPANNING:
-        raise RuntimeError("too many range-spanning bins; raise range_rows")
-    spans = F.broadcast(spans)
-    whole = partial.join(spans, "bin_id", "left_anti")
-    merged = (partial.join(spans, "bin_id", "left_semi")
-              .groupBy("bin_id", *scope).agg(
-                  F.sum("n_docs").alias("n_docs"), F.min("first_pos").alias("first_pos"),
-                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_pos", "__t"))),
-                                           lambda p: p["__t"]), " ").alias("__t")))
-    cols = ["bin_id", *scope, "n_docs", "first_pos", py_strip(F.col("__t")).alias("text")]
-    return whole.select(*cols).unionByName(merged.select(*cols))
-
-
 def pack_contexts(df: DataFrame, max_length: int = 8192, order_cols=("pos",), scope=None,
                   text_col: str = "clinical_text", block_rows: int | None = None,
-                  range_rows="auto") -> DataFrame:
-    """Packed bins: (bin_id, scope..., n_docs, first_pos, text).
-
-    With one integral order column (a corpus position or document id) and
-    more than ``RANGE_MIN_TEXTS`` texts (``range_rows="auto"``), the text is
-    shuffled once (``_assemble_by_ranges``); otherwise texts are joined back
-    on the order keys and grouped by bin (two shuffles, fewer jobs -- faster
-    while the text is small).  ``range_rows`` = an int forces ranges of that
-    many keys, ``None`` forces the join-back path."""
-    scope = list(scope or [])
-    order_cols = list(order_cols)
-    key_cols = scope + [c for c in order_cols if c not in scope]
-    bins, n = _assign_bins(df, max_length, order_cols, scope, text_col, block_rows)
-    if range_rows == "auto":
-        range_rows = DEFAULT_RANGE_ROWS if n > RANGE_MIN_TEXTS else None
-    texts = df.where(F.col(text_col).isNotNull()).select(*key_cols, F.col(text_col).alias("__t"))
-    integral = (len(order_cols) == 1 and order_cols[0] not in scope
-                and isinstance(df.schema[order_cols[0]].dataType, (T.LongType, T.IntegerType, T.ShortType)))
-    if range_rows and integral:
-        return _assemble_by_ranges(texts, bins, order_cols[0], scope, int(range_rows))
-    joined = texts.join(bins, key_cols)
-    pieces = F.collect_list(F.struct(F.col("__seq"), F.col("__t")))
-    return joined.groupBy("bin_id", *scope).agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.min("__seq").alias("first_pos"),
-        py_strip(_bin_text(pieces)).alias("text"))
+                  range_rows: int | None = None) -> DataFrame:
+    """Packed bins: (bin_id, scope..., n_docs, first_pos, text).  Texts are taken
+    in ``(scope..., order_cols...)`` order, nulls first; a null scope is a group
+    of its own.  ``range_rows`` fixes the texts per assembling range (by default
+    sized from the total characters)."""
+    spark = df.sparkSession
+    ship_package(spark)
+    scope, T_ = list(scope or []), int(max_length)
+    keys = scope + [c for c in order_cols if c not in scope]
+    texts = df.where(F.col(text_col).isNotNull()).select(
+        *keys, F.col(text_col).alias("__t"), F.length(text_col).cast("long").alias("L"))
+    numbered = with_positions(texts, keys, name="__seq")
+    n, chars = numbered.agg(F.count(F.lit(1)), F.coalesce(F.sum("L"), F.lit(0))).first()
+    out = ["bin_id", *scope, "n_docs", "first_pos"]
+    if n == 0:
+        return numbered.select(F.col("__seq").alias("bin_id"), *scope, F.col("__seq").alias("n_docs"),
+                               F.col("__seq").alias("first_pos"), F.col("__t").alias("text"))
+    tasks = max(shuffle_partitions(spark), chars // RANGE_CHARS + 1)
+    rows = range_rows or max(1, n // (4 * tasks))
+    rng = F.floor(F.col("__seq") / rows).cast("long").alias("__r")
+    bins = _bins_of(numbered.select("__seq", "L", *scope), n, T_, scope, block_rows)
+    ends = Window.partitionBy("bin_id")
+    bins = materialize(bins.withColumn("__spans", F.floor(F.min("__seq").over(ends) / rows)
+                                       != F.floor(F.max("__seq").over(ends) / rows)), "pack-bins")
+    t = numbered.select("__seq", "__t", *scope, rng).repartition(tasks, "__r")
+    b = bins.select("__seq", "bin_id", "__spans", rng).repartition(tasks, "__r")
+    placed = t.join(b, ["__r", "__seq"])
+
+    def assemble(rows_: DataFrame, by: list[str]) -> DataFrame:
+        return rows_.groupBy(*by).agg(
+            *[F.first(c).alias(c) for c in scope], F.count(F.lit(1)).alias("n_docs"), F.min("__seq").alias("first_pos"),
+            py_strip(_bin_text(F.collect_list(F.struct("__seq", "__t")))).alias("text"))
+
+    whole = assemble(placed.where(~F.col("__spans")), ["__r", "bin_id"])
+    split = assemble(placed.where("__spans"), ["bin_id"])
+    return whole.select(*out, "text").unionByName(split.select(*out, "text"))

@@ -7,11 +7,12 @@ parameter, which also bounds the broadcast).  Lengths, truncation, padding
 and masks behave like the reference's; ids differ.  A user tokenizer plugs
 in through ``tokenize_with`` (Arrow batches, F2).
 
-``tokenize`` truncates the word list *before* exploding, so work per row is
-bounded by ``max_length``; ids come from a broadcast hash join against the
-(size-bounded) vocabulary, and one shuffle regroups ids by document.
-``method="arrow"`` does the lookup in Arrow batches with the vocabulary
-shipped once per executor, avoiding that shuffle.
+Words equal to a special or dummy token are never counted into the vocabulary
+and become ``[UNK]``, so every token has one id.  ``tokenize`` truncates the word
+list first, so work per row is bounded by ``max_length``, and looks ids up in
+Arrow batches against the vocabulary, shipped once per executor: no shuffle, no
+regrouping by a user's key, so equal or null keys keep their rows.  A null text is
+an empty one.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.text import split_words
-from quire.operators.joins import broadcast_if_small
 from quire.operators.ordering import assign_batches, with_positions
 from quire.session import materialize as _materialize
 
@@ -38,13 +38,18 @@ def _specials(spark) -> DataFrame:
                                  "token string, token_id int, count long")
 
 
+def reserved(token: Column) -> Column:
+    """Whether a word is the name of a special or dummy token."""
+    return token.isin(SPECIALS) | token.rlike("^" + DUMMY_TOKEN.replace("%d", "[0-9]+") + "$")
+
+
 def build_vocabulary(df: DataFrame, text_col: str = "clinical_text",
                      vocab_size: int | None = DEFAULT_VOCAB_SIZE, materialize: bool = True) -> DataFrame:
     """(token, token_id, count); specials take ids 0..4.
 
     The vocabulary is a model artifact read by every tokenisation pass, so
     by default it is written once (size bounded by ``vocab_size``)."""
-    words = df.select(F.explode(split_words(F.col(text_col))).alias("token"))
+    words = df.select(F.explode(split_words(F.col(text_col))).alias("token")).where(~reserved(F.col("token")))
     counts = _materialize(words.groupBy("token").agg(F.count(F.lit(1)).alias("count")), "token-counts")
     if vocab_size is not None:
         keep = vocab_size - len(SPECIALS)
@@ -103,38 +108,21 @@ def frame_ids(ids: Column, max_length: int | None) -> tuple[Column, Column, Colu
 
 
 def tokenize(df: DataFrame, vocab: DataFrame, max_length: int = 128,
-             text_col: str = "clinical_text", id_col: str = "doc_id",
-             method: str = "join") -> DataFrame:
-    """(id, input_ids, attention_mask, n_tokens), fixed width."""
-    if method == "arrow":
-        return _tokenize_arrow(df, vocab, max_length, text_col, id_col)
-    words = df.select(id_col, truncated_words(F.col(text_col), max_length).alias("__w"))
-    exploded = words.select(id_col, F.posexplode_outer("__w").alias("__i", "token"))
-    v = broadcast_if_small(vocab.select("token", "token_id"))
-    looked = exploded.join(v, "token", "left").select(
-        id_col, "__i", F.when(F.col("token").isNotNull(),
-                              F.coalesce("token_id", F.lit(UNK_ID))).alias("__tid"))
-    grouped = looked.groupBy(id_col).agg(F.array_sort(F.collect_list(
-        F.when(F.col("__tid").isNotNull(), F.struct("__i", "__tid")))).alias("__p"))
-    ids = F.transform("__p", lambda p: p["__tid"])
-    input_ids, mask, n = frame_ids(ids, max_length)
-    return grouped.select(id_col, input_ids.alias("input_ids"), mask.alias("attention_mask"),
-                          n.alias("n_tokens"))
-
-
-def _tokenize_arrow(df, vocab, max_length, text_col, id_col):
+             text_col: str = "clinical_text", id_col: str = "doc_id") -> DataFrame:
+    """(id, input_ids, attention_mask, n_tokens), ``max_length`` wide;
+    one row per input row."""
     spark = df.sparkSession
     # bounded by the vocabulary size (a model parameter)
-    table = {r["token"]: r["token_id"] for r in vocab.select("token", "token_id").collect()}
-    bc = spark.sparkContext.broadcast(table)
+    words = vocab.where(~reserved(F.col("token"))).select("token", "token_id")
+    bc = spark.sparkContext.broadcast({r["token"]: r["token_id"] for r in words.collect()})
 
     @F.pandas_udf("array<int>")
-    def lookup(words: pd.Series) -> pd.Series:
+    def lookup(lists: pd.Series) -> pd.Series:
         d = bc.value
-        return pd.Series([[d.get(w, UNK_ID) for w in ws] for ws in words])
+        return pd.Series([[d.get(w, UNK_ID) for w in ws] for ws in lists])
 
-    ids = lookup(truncated_words(F.col(text_col), max_length))
-    input_ids, mask, n = frame_ids(ids, max_length)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    input_ids, mask, n = frame_ids(lookup(truncated_words(text, max_length)), max_length)
     return df.select(id_col, input_ids.alias("input_ids"), mask.alias("attention_mask"),
                      n.alias("n_tokens"))
 
@@ -148,7 +136,7 @@ def tokenize_with(df: DataFrame, encode, max_length: int = 128,
     def enc(texts: pd.Series) -> pd.Series:
         return pd.Series([list(x)[:max_length] for x in encode(texts.tolist())])
 
-    ids = enc(F.col(text_col))
+    ids = enc(F.coalesce(F.col(text_col), F.lit("")))
     n = F.size(ids)
     pad = F.greatest(F.lit(max_length) - n, F.lit(0))
     return df.select(id_col, F.concat(ids, F.array_repeat(F.lit(PAD_ID), pad)).alias("input_ids"),
@@ -157,14 +145,22 @@ def tokenize_with(df: DataFrame, encode, max_length: int = 128,
                      n.alias("n_tokens"))
 
 
+def token_counts(df: DataFrame, max_length: int = 512, text_col: str = "clinical_text") -> DataFrame:
+    """``n_tokens`` (after truncation) in place of the text, ahead of numbering
+    and batching, so that text is not shuffled to get one number a row."""
+    n = F.least(F.size(split_words(F.coalesce(F.col(text_col), F.lit("")))) + 2, F.lit(max_length))
+    return df.withColumn("n_tokens", n.cast("int")).drop(text_col)
+
+
 def batch_padding(df: DataFrame, batch_size: int = 64, max_length: int = 512,
                   text_col: str = "clinical_text", pos_col: str = "pos") -> DataFrame:
     """W3 + W4: contiguous batches; each row padded to the longest member of
     its batch after truncation at ``max_length``.  Batches are bounded
-    (``batch_size`` rows), so the per-batch max is a small window."""
+    (``batch_size`` rows), so the per-batch max is a small window.  Takes rows
+    with ``n_tokens`` or, failing that, with text."""
     from pyspark.sql import Window
-    n = F.least(F.size(split_words(F.col(text_col))) + 2, F.lit(max_length))
-    b = assign_batches(df.withColumn("n_tokens", n.cast("int")), batch_size, pos_col)
+    counted = df if "n_tokens" in df.columns else token_counts(df, max_length, text_col)
+    b = assign_batches(counted, batch_size, pos_col)
     return b.withColumn("padded_length", F.max("n_tokens").over(Window.partitionBy("batch_id")))
 
 

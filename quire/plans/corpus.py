@@ -1,8 +1,9 @@
 """Corpus build (U1 + W1): six sources in fixed order -> one typed corpus.
 
-``doc_id`` is assigned at ingest (note id, PMID, code) and the total order
-is ``(source_rank, doc_id)``; ``pos`` numbers the rows 0..n-1 in that order
-without a single-partition window.
+The total order is input order: ``(source_rank, file, block, row)``, where
+``block`` is the place of a split in its file (0 for files read whole).  ``pos``
+numbers the rows 0..n-1 in that order without a single-partition window.
+``doc_id`` is assigned at ingest (note id, PMID, code) and need not be unique.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ def read_source(spark: SparkSession, source: str, path) -> DataFrame:
         df = read_code_table(spark, path, source)
     else:
         raise ValueError(f"unknown source {source!r}")
-    return df.select("doc_id", "source", "clinical_text")
+    block = F.col("block") if "block" in df.columns else F.lit(0).cast("long")
+    extra = ["code_key"] if "code_key" in df.columns else []
+    return df.select("doc_id", "source", "clinical_text", "file", block.alias("block"), "row", *extra)
 
 
 def union_sources(frames: dict[str, DataFrame]) -> DataFrame:
@@ -37,7 +40,7 @@ def union_sources(frames: dict[str, DataFrame]) -> DataFrame:
     for rank, src in enumerate(SOURCE_ORDER):
         if src not in frames:
             continue
-        f = frames[src].withColumn("source_rank", F.lit(rank))
+        f = frames[src].drop("code_key").withColumn("source_rank", F.lit(rank))
         out = f if out is None else out.unionByName(f)
     if out is None:
         raise ValueError("no sources given")
@@ -47,5 +50,5 @@ def union_sources(frames: dict[str, DataFrame]) -> DataFrame:
 def build_corpus(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     frames = {s: read_source(spark, s, p) for s, p in paths.items()}
     # sources are parsed once: the union is written, then numbered from it
-    corpus = with_positions(union_sources(frames), ["source_rank", "doc_id"], materialize=True)
+    corpus = with_positions(union_sources(frames), ["source_rank", "file", "block", "row"])
     return corpus.select("doc_id", "source", "source_rank", "pos", "clinical_text")

@@ -12,7 +12,7 @@ from quire.plans.corpus import build_corpus, read_source
 from quire.plans.registry import register, sql_clean
 from quire.session import scratch_path
 from quire.sources import fixtures as fx
-from quire.sources.articles import parsed_records
+from quire.sources.articles import parsed_records, read_articles_quarantined
 from quire.sources.notes import read_notes
 from quire.sources.patients import read_patients
 from quire.sources.sinks import read_corpus, write_corpus
@@ -20,13 +20,16 @@ from quire.sources.sinks import read_corpus, write_corpus
 _NA = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
 
 
+SQL_DISCHARGE = "coalesce(lang IN (" + ", ".join(f"'{x}'" for x in fx.DISCHARGE_LANGS) + "), FALSE)"
+
+
 def sql_note(source: str, rank: int | None, clean: bool = True) -> str:
-    langs = ", ".join(f"'{x}'" for x in fx.NOTE_LANGS[source])
     body = sql_clean("text") if clean else "text"
     r = f", {rank} AS source_rank" if rank is not None else ""
+    which = SQL_DISCHARGE if source == "discharge" else f"NOT {SQL_DISCHARGE}"
     return (f"SELECT doc_id, '{source}' AS source{r}, "
             f"CASE WHEN text IN ({_NA}) THEN NULL ELSE {body} END AS clinical_text "
-            f"FROM documents WHERE lang IN ({langs})")
+            f"FROM documents WHERE {which}")
 
 
 SQL_ARTICLE_PARTS = r"""
@@ -66,8 +69,8 @@ SQL_CORPUS = ("SELECT doc_id, source, source_rank, row_number() OVER (ORDER BY s
 def _notes(spark, sf_dir, clean=True):
     docs = fx.table(spark, sf_dir, "documents")
     frames = []
-    for src, langs in fx.NOTE_LANGS.items():
-        path = fx.render_notes(docs, scratch_path(spark, f"notes-{src}"), langs)
+    for src in fx.NOTE_SOURCES:
+        path = fx.render_notes(docs, scratch_path(spark, f"notes-{src}"), src)
         frames.append(read_notes(spark, path, src, clean=clean)
                       .select("doc_id", "source", "clinical_text"))
     return frames[0].unionByName(frames[1])
@@ -97,7 +100,7 @@ def _article_parts(spark, sf_dir):
 def q_s2(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents")
     path = fx.render_articles(docs, scratch_path(spark, "articles"))
-    return read_source(spark, "articles", path)
+    return read_source(spark, "articles", path).select("doc_id", "source", "clinical_text")
 
 
 @register("t2", f"SELECT doc_id, nullif(title, '') AS title FROM ({SQL_ARTICLE_PARTS})")
@@ -122,7 +125,7 @@ def q_s3(spark, sf_dir):
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out
+    return out.select("doc_id", "source", "clinical_text")
 
 
 @register("t5", " UNION ALL ".join(
@@ -197,7 +200,7 @@ def q_w3(spark, sf_dir):
 # ---- S4 / P6-P10 / E4: patients -------------------------------------------------
 
 SQL_PATIENTS = """
-SELECT CAST(c_custkey AS VARCHAR) AS patient_id,
+SELECT concat_ws('-', c_custkey, o_orderkey) AS patient_id,
   CASE WHEN c_custkey % 11 <> 0 THEN 'Patient ' || c_name || ' arrived by walk-in. ' END AS arrival,
   'Triage segment ' || c_mktsegment || '. ' AS triage,
   CASE WHEN c_custkey % 7 <> 0 THEN 'Codes N' || c_nationkey || '. ' END AS codes,
@@ -209,9 +212,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS patient_id,
   'Admission ' || c_custkey AS admission,
   'Discharge ' || c_custkey AS discharge,
   o_orderstatus AS eddischarge_category
-FROM customer LEFT JOIN (
-  SELECT o.* FROM orders o JOIN (SELECT o_custkey AS ck, min(o_orderkey) AS k FROM orders GROUP BY 1) f
-  ON o.o_orderkey = f.k) fo ON fo.o_custkey = c_custkey
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey
 """
 SQL_FILLED = f"""
 SELECT patient_id, arrival, triage,
@@ -279,15 +280,75 @@ def q_t4(spark, sf_dir):
             .where(F.col("clinical_text") != ""))
 
 
-@register("s5", "SELECT doc_id, lang IN ('en', 'de') AS from_discharge FROM documents")
+@register("s5", f"SELECT doc_id, {SQL_DISCHARGE} AS from_discharge FROM documents")
 def q_s5(spark, sf_dir):
-    """Files discovered by a glob over two rendered note folders, with
-    the file path kept for lineage (``_metadata``)."""
+    """Files discovered by a glob over two rendered note folders; the reader
+    keeps each row's file."""
     docs = fx.table(spark, sf_dir, "documents")
     root = scratch_path(spark, "notes-glob")
-    for src, langs in fx.NOTE_LANGS.items():
-        fx.render_notes(docs, f"{root}/{src}", langs)
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-           .csv(f"{root}/*/part-*.csv.gz").select("note_id", "_metadata.file_path"))
-    return raw.select(F.expr("try_cast(note_id AS BIGINT)").alias("doc_id"),
-                      F.col("file_path").contains("/discharge/").alias("from_discharge"))
+    for src in fx.NOTE_SOURCES:
+        fx.render_notes(docs, f"{root}/{src}", src)
+    rows = read_notes(spark, f"{root}/*/part-*.csv.gz", "notes")
+    return rows.select("doc_id", F.col("file").contains("/discharge/").alias("from_discharge"))
+
+
+# ---- files of mixed headers, keys, quarantine, the object layout -------------
+
+@register("s1_headers", f"""
+SELECT CASE WHEN doc_id % 3 = 2 THEN NULL ELSE doc_id END AS doc_id, doc_id % 3 AS layout,
+       CASE WHEN text IN ({_NA}) THEN NULL ELSE {sql_clean('text')} END AS clinical_text FROM documents
+""")
+def q_s1_headers(spark, sf_dir):
+    """S1 over three layouts in one folder: the usual header, columns in another
+    order with an extra one, and no id column."""
+    docs = fx.table(spark, sf_dir, "documents")
+    root = scratch_path(spark, "notes-headers")
+    n = fx.notes_frame(docs).withColumn("layout", F.col("note_id").cast("long") % 3)
+    shapes = [["note_id", "subject_id", "text"], ["extra", "text", "subject_id", "note_id"], ["text", "subject_id"]]
+    for k, columns in enumerate(shapes):
+        (n.where(F.col("layout") == k).withColumn("extra", F.lit("S9")).select(columns).write.option("header", True)
+         .option("quoteAll", True).option("escape", '"').option("compression", "gzip").csv(f"{root}/layout{k}"))
+    rows = read_notes(spark, f"{root}/*/part-*.csv.gz", "notes")
+    layout = F.regexp_extract("file", "layout([0-9])/", 1).cast("long")
+    return rows.select(F.when(layout != 2, F.col("doc_id")).alias("doc_id"), layout.alias("layout"), "clinical_text")
+
+
+@register("s3_keys", """
+SELECT v || ':' || z || p_partkey AS code_key, p_name AS clinical_text, count(*) OVER () AS n_keys
+FROM part, (VALUES ('9'), ('10')) AS a(v), (VALUES (''), ('0')) AS b(z)
+""")
+def q_s3_keys(spark, sf_dir):
+    """S3 with leading zeros and two versions: every code keeps its own key."""
+    p = fx.table(spark, sf_dir, "part")
+    path = scratch_path(spark, "codes-keys")
+    rows = p.select(F.explode(F.array(F.lit("9"), F.lit("10"))).alias("version"), "p_partkey", "p_name").select(
+        "version", F.explode(F.array(F.lit(""), F.lit("0"))).alias("z"), "p_partkey", "p_name")
+    (rows.select("version", F.concat("z", F.col("p_partkey").cast("string")).alias("code"), F.col("p_name").alias("text"))
+     .write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path))
+    got = read_source(spark, "diagnosis", path)
+    n = got.agg(F.countDistinct("code_key").alias("n_keys"))
+    return got.select("code_key", "clinical_text").join(n)
+
+
+@register("s2_quarantine", f"""
+SELECT doc_id, FALSE AS is_error, clinical_text FROM ({sql_articles(None)}) WHERE doc_id % 10 <> 0
+UNION ALL SELECT doc_id, TRUE, NULL FROM documents WHERE doc_id % 10 = 0
+""")
+def q_s2_quarantine(spark, sf_dir):
+    """S2 with every tenth record malformed: good rows and an error table."""
+    docs = fx.table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "articles-broken")
+    broken = F.when(F.regexp_extract("value", "<PMID[^>]*>([0-9]+)<", 1).cast("long") % 10 == 0,
+                    F.regexp_replace("value", "</ArticleTitle>", "")).otherwise(F.col("value"))
+    fx.article_records(docs).select(broken.alias("value")).write.text(path)
+    good, errors = read_articles_quarantined(spark, path)
+    return good.select("doc_id", F.lit(False).alias("is_error"), "clinical_text").unionByName(errors.select(
+        F.regexp_extract("xml", "<PMID[^>]*>([0-9]+)<", 1).cast("long").alias("doc_id"), F.lit(True).alias("is_error"),
+        F.lit(None).cast("string").alias("clinical_text")))
+
+
+@register("s4_object", SQL_PATIENTS)
+def q_s4_object(spark, sf_dir):
+    """S4 in the layout of one JSON object per file."""
+    path = fx.render_patients(spark, sf_dir, scratch_path(spark, "patients-object"), layout="object")
+    return read_patients(spark, path, layout="object")

@@ -69,8 +69,8 @@ def q_x1(spark, sf_dir):
     on one checkpoint to show a restart adds nothing."""
     docs = fx.table(spark, sf_dir, "documents")
     out = None
-    for src, langs in fx.NOTE_LANGS.items():
-        src_dir = fx.render_notes(docs, scratch_path(spark, f"stream-src-{src}"), langs, n_files=4)
+    for src in fx.NOTE_SOURCES:
+        src_dir = fx.render_notes(docs, scratch_path(spark, f"stream-src-{src}"), src, n_files=4)
         sink, ckpt = scratch_path(spark, f"stream-sink-{src}"), scratch_path(spark, f"stream-ckpt-{src}")
         ingest_notes_stream(spark, src_dir, sink, ckpt, src)
         df = ingest_notes_stream(spark, src_dir, sink, ckpt, src)

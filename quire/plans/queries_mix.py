@@ -14,25 +14,23 @@ from quire.sources.fixtures import table
 PACK_T = 8192
 
 
-def _pack_sql(scoped: bool) -> str:
-    grp = "source, " if scoped else ""
-    same = "s.source = w.source AND " if scoped else ""
-    carry = ", s.source" if scoped else ""
-    carry0 = ", source" if scoped else ""
-    wcols = "(pos, cur, bin, source)" if scoped else "(pos, cur, bin)"
-    out_grp = ", min(s.source) AS source" if scoped else ""
+def _pack_sql(scope: str | None, order: str = "doc_id", src: str = "source", label: bool = True) -> str:
+    """Next-fit as a recursive walk; ``scope`` is the SQL of the scope column."""
+    first = f"{scope} NULLS FIRST, " if scope else ""
+    same = "s.g IS NOT DISTINCT FROM w.g AND " if scope else ""
+    out = ", min(s.g) AS source" if scope else ""
     return f"""
 WITH RECURSIVE s AS (
-  SELECT row_number() OVER (ORDER BY {grp}doc_id) - 1 AS pos, source, t, length(t) AS l
-  FROM (SELECT doc_id, source, {sql_clean('text')} AS t FROM documents WHERE text IS NOT NULL)),
-walk{wcols} AS (
-  SELECT pos, l + 1, CAST(0 AS BIGINT){carry0} FROM s WHERE pos = 0
+  SELECT row_number() OVER (ORDER BY {first}{order}) - 1 AS pos, {scope or 'NULL'} AS g, t, length(t) AS l
+  FROM (SELECT doc_id, n_chars, {src} AS source, {sql_clean('text')} AS t FROM documents WHERE text IS NOT NULL)),
+walk(pos, cur, bin, g) AS (
+  SELECT pos, l + 1, CAST(0 AS BIGINT), g FROM s WHERE pos = 0
   UNION ALL
   SELECT s.pos,
          CASE WHEN {same}w.cur + s.l <= {PACK_T} THEN w.cur + s.l + 1 ELSE s.l + 1 END,
-         CASE WHEN {same}w.cur + s.l <= {PACK_T} THEN w.bin ELSE w.bin + 1 END{carry}
+         CASE WHEN {same}w.cur + s.l <= {PACK_T} THEN w.bin ELSE w.bin + 1 END, s.g
   FROM walk w JOIN s ON s.pos = w.pos + 1)
-SELECT w.bin AS bin_id{out_grp}, count(*) AS n_docs, min(s.pos) AS first_pos,
+SELECT w.bin AS bin_id{out}, count(*) AS n_docs, min(s.pos) AS first_pos,
        trim(string_agg(s.t, ' ' ORDER BY s.pos)) AS text
 FROM walk w JOIN s ON s.pos = w.pos GROUP BY w.bin
 """
@@ -43,18 +41,40 @@ def _docs(spark, sf_dir):
     return d.select("doc_id", "source", clean_text("text").alias("clinical_text"))
 
 
-@register("g1", _pack_sql(False))
+@register("g1", _pack_sql(None))
 def q_g1(spark, sf_dir):
     """Global next-fit packing at 8,192 characters in doc_id order."""
     return pack_contexts(_docs(spark, sf_dir), PACK_T, order_cols=["doc_id"])
 
 
-@register("g1_scoped", _pack_sql(True))
+@register("g1_scoped", _pack_sql("source"))
 def q_g1_scoped(spark, sf_dir):
     """Packing within each source (bins never span sources)."""
     return pack_contexts(_docs(spark, sf_dir), PACK_T, order_cols=["doc_id"], scope=["source"])
 
 
+@register("g1_null_scope", _pack_sql("source", src="nullif(source, 'src3')"))
+def q_g1_null_scope(spark, sf_dir):
+    """Packing where one scope is null: a group like the others."""
+    d = _docs(spark, sf_dir).withColumn("source", F.nullif("source", F.lit("src3")))
+    return pack_contexts(d, PACK_T, order_cols=["doc_id"], scope=["source"])
+
+
+@register("g1_ties", _pack_sql(None, order="floor(n_chars / 1000), doc_id"))
+def q_g1_ties(spark, sf_dir):
+    """Packing by a key with many ties, settled by doc_id."""
+    d = table(spark, sf_dir, "documents")
+    d = d.select("doc_id", F.floor(F.col("n_chars") / 1000).alias("size"), clean_text("text").alias("clinical_text"))
+    return pack_contexts(d, PACK_T, order_cols=["size", "doc_id"])
+
+
+@register("g1_hashed_ids", _pack_sql(None, order="md5(CAST(doc_id AS VARCHAR))"))
+def q_g1_hashed_ids(spark, sf_dir):
+    """Packing in the order of hashed ids, far apart and not dense."""
+    d = _docs(spark, sf_dir).withColumn("key", F.md5(F.col("doc_id").cast("string")))
+    return pack_contexts(d, PACK_T, order_cols=["key"])
+
+
 SQL_QUALITY = "(SELECT DISTINCT doc_id FROM labels WHERE quality = 1)"
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators.tokens import (DEFAULT_VOCAB_SIZE, SPECIALS, batch_padding,
-                                    build_vocabulary, pad_vocabulary, tokenize)
+                                    build_vocabulary, dynamic_pad, pad_vocabulary, token_counts,
+                                    tokenize)
 from quire.operators.ordering import with_positions
 from quire.plans.queries_mix import _docs
 from quire.plans.registry import register, sql_clean
@@ -59,9 +60,9 @@ def q_t7(spark, sf_dir):
     return pad_vocabulary(build_vocabulary(_docs(spark, sf_dir)))
 
 
-def _tokenized(spark, sf_dir, max_length, method="join"):
+def _tokenized(spark, sf_dir, max_length):
     docs = _docs(spark, sf_dir)
-    t = tokenize(docs, build_vocabulary(docs), max_length, method=method)
+    t = tokenize(docs, build_vocabulary(docs), max_length)
     return t.select("doc_id", "n_tokens", F.array_join("input_ids", " ").alias("input_ids"))
 
 
@@ -72,8 +73,8 @@ def q_t9(spark, sf_dir):
 
 @register("t9_arrow", sql_tokenized(128))
 def q_t9_arrow(spark, sf_dir):
-    """T9 with the Arrow-batch lookup (no regroup shuffle)."""
-    return _tokenized(spark, sf_dir, 128, method="arrow")
+    """T9's Arrow-batch lookup, which is now the only one (kept as a query)."""
+    return _tokenized(spark, sf_dir, 128)
 
 
 @register("t10", sql_tokenized(512))
@@ -100,10 +101,53 @@ SELECT doc_id, batch_id, n_tokens, max(n_tokens) OVER (PARTITION BY batch_id) AS
   FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id, text FROM documents))
 """)
 def q_w4(spark, sf_dir):
-    docs = with_positions(_docs(spark, sf_dir), ["doc_id"])
+    docs = with_positions(token_counts(_docs(spark, sf_dir), 512), ["doc_id"])
     return batch_padding(docs, 64, 512).select("doc_id", "batch_id", "n_tokens", "padded_length")
 
 
+@register("w4_arrays", f"""
+WITH t AS ({sql_token_lists(512)}),
+p AS (SELECT t.*, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 64) AS BIGINT) AS batch_id FROM t),
+m AS (SELECT *, max(n_tokens) OVER (PARTITION BY batch_id) AS padded_length FROM p)
+SELECT doc_id, batch_id, padded_length, array_to_string(list_slice(ids, 1, padded_length), ' ') AS input_ids,
+       n_tokens AS n_mask FROM m
+""")
+def q_w4_arrays(spark, sf_dir):
+    """W4 on the arrays themselves: batches cut to their longest member."""
+    docs = _docs(spark, sf_dir)
+    t = with_positions(tokenize(docs, build_vocabulary(docs), 512), ["doc_id"])
+    return dynamic_pad(t, 64).select(
+        "doc_id", "batch_id", "padded_length", F.array_join("input_ids", " ").alias("input_ids"),
+        F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_mask"))
+
+
+_EDGES = ("CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '[MASK] [PAD] <dummy_extra_token_0> ' || {t} "
+          "WHEN 2 THEN '' ELSE {t} END")
+
+
+@register("t9_edges", f"""
+WITH docs AS (SELECT doc_id, {_EDGES.format(t=sql_clean('text'))} AS t FROM documents),
+v AS (SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, token) + 4 AS INTEGER) AS token_id FROM (
+  SELECT token, count(*) AS cnt FROM (SELECT unnest(string_split(t, ' ')) AS token FROM docs)
+  WHERE token NOT IN ('', {', '.join(f"'{t}'" for t in SPECIALS)}) AND token NOT LIKE '<dummy_extra_token_%>'
+  GROUP BY token) QUALIFY token_id < {DEFAULT_VOCAB_SIZE}),
+d AS (SELECT doc_id, list_slice(list_filter(string_split(coalesce(t, ''), ' '), lambda x: x <> ''), 1, 30) AS toks FROM docs),
+e AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS i FROM d),
+g AS (SELECT doc_id, list(coalesce(token_id, 1) ORDER BY i) AS ids FROM e LEFT JOIN v ON tok = token GROUP BY doc_id)
+SELECT doc_id % 7 AS doc_id, 32 AS width, CAST(len(coalesce(ids, []::INTEGER[])) + 2 AS INTEGER) AS n_tokens,
+       array_to_string(list_resize(list_concat([2], coalesce(ids, []::INTEGER[]), [3]), 32, 0), ' ') AS input_ids
+FROM d LEFT JOIN g USING (doc_id)
+""")
+def q_t9_edges(spark, sf_dir):
+    """T9 with special tokens in texts, null and empty texts, and equal ids."""
+    t = F.col("clinical_text")
+    docs = _docs(spark, sf_dir).withColumn("clinical_text", F.when(F.col("doc_id") % 5 == 0, None).when(
+        F.col("doc_id") % 5 == 1, F.concat(F.lit("[MASK] [PAD] <dummy_extra_token_0> "), t)).when(
+        F.col("doc_id") % 5 == 2, "").otherwise(t))
+    out = tokenize(docs.withColumn("doc_id", F.col("doc_id") % 7), build_vocabulary(docs), 32)
+    return out.select("doc_id", F.size("input_ids").alias("width"), "n_tokens", F.array_join("input_ids", " ").alias("input_ids"))
+
+
 @register("f2", sql_tokenized(128))
 def q_f2(spark, sf_dir):
     """a pluggable tokenizer (Rust WordLevel over the same vocabulary)

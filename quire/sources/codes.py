@@ -2,6 +2,8 @@
 
 Only the rendered ``text`` column is used; it is copied unchanged (no
 whitespace cleaning, as for the reference's code tables) after NA nulling.
+A code is identified by its version and code string (``code_key``): ``010``,
+``10`` and another version's ``10`` are three codes.
 """
 
 from __future__ import annotations
@@ -9,17 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions.text import na_to_null
+from quire.sources.csv_rows import canonical_number, csv_reader, rows_by_header
+
+CODE_COLUMNS = ["version", "code", "text"]
 
 
 def read_code_table(spark: SparkSession, path, label: str) -> DataFrame:
-    raw = (spark.read.option("header", True).option("escape", '"')
-           .option("multiLine", True).option("inferSchema", False).csv(path))
-    if "text" not in raw.columns:
-        raise ValueError(f"code table at {path} has no 'text' column")
-    # numeric codes keep their value as key; others (e.g. "250.00") hash
-    doc_id = (F.coalesce(F.expr("try_cast(code AS BIGINT)"), F.xxhash64("code"))
-              if "code" in raw.columns
-              else F.monotonically_increasing_id())
-    return raw.select(doc_id.alias("doc_id"),
-                      na_to_null(F.col("text")).alias("clinical_text"),
-                      F.lit(label).alias("source"))
+    """doc_id, clinical_text, source, code_key, file, row.  ``doc_id`` is a
+    canonical decimal code's value, otherwise a hash of (source, version,
+    code), or of (file, row) without a code; ``code_key`` is the exact key."""
+    raw = rows_by_header(csv_reader(spark.read).csv(path), CODE_COLUMNS)
+    other = F.when(F.col("code").isNotNull(), F.xxhash64(F.lit(label), "version", "code"))
+    return raw.select(F.coalesce(canonical_number("code"), other, F.xxhash64("file", "row")).alias("doc_id"),
+                      na_to_null(F.col("text")).alias("clinical_text"), F.lit(label).alias("source"),
+                      F.concat_ws(":", F.coalesce("version", F.lit("")), "code").alias("code_key"), "file", "row")

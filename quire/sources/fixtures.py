@@ -5,12 +5,17 @@ so round-trip queries (write a format, read it back with the operator) grow
 with the tables.  Rules (FIXTURES.md §3):
 
 * notes CSV (gz): ``note_id = doc_id``, constant metadata, all cells quoted,
-  quotes doubled;
+  quotes doubled; English and German documents are discharge notes, all others
+  (no language included) radiology notes;
 * article XML: first text line -> ``ArticleTitle``, every later line -> one
   ``AbstractText``; ``& < >`` escaped;
 * code tables: ``ICD {version} code for {code}: {description}``;
-* patients: customer joined with its first order (lowest key), as JSON lines
-  or as one ``{patient_id: {field: text}}`` object.
+* patients: one visit per order of a customer, and one without an order for
+  customers that have none, as JSON lines or as ``{patient_id: {field: text}}``
+  objects.
+
+Notes, articles and codes are written in key order over ascending files, so
+input order (file, row) is key order.
 """
 
 from __future__ import annotations
@@ -20,8 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quire.functions.text import code_text
 from quire.session import ensure_parallelism, scratch_path
 
-# Note split by language, code-table versions per source.
-NOTE_LANGS = {"discharge": ["en", "de"], "radiology": ["es", "fr"]}
+# Languages of discharge notes (all else is radiology),
+# code-table versions per source.
+DISCHARGE_LANGS = ["en", "de"]
+NOTE_SOURCES = ["discharge", "radiology"]
 CODE_TABLES = {"diagnosis": ("part", "9", "p_partkey", "p_name"),
                "procedure": ("nation", "10", "n_nationkey", "n_name"),
                "hcpcs": ("region", "11", "r_regionkey", "r_name")}
@@ -34,9 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
-def notes_frame(documents: DataFrame, langs=None) -> DataFrame:
-    d = documents if langs is None else documents.where(F.col("lang").isin(langs))
-    return d.select(
+def notes_of(documents: DataFrame, source: str) -> DataFrame:
+    """The documents that are notes of a source; every document is in one."""
+    discharge = F.coalesce(F.col("lang").isin(DISCHARGE_LANGS), F.lit(False))
+    return documents.where(discharge if source == "discharge" else ~discharge)
+
+
+def notes_frame(documents: DataFrame) -> DataFrame:
+    return documents.select(
         F.col("doc_id").cast("string").alias("note_id"),
         F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("subject_id"),
         F.lit("H0").alias("hadm_id"), F.lit("DS").alias("note_type"),
@@ -44,11 +56,16 @@ def notes_frame(documents: DataFrame, langs=None) -> DataFrame:
         F.lit("2180-01-01 00:00:00").alias("storetime"), F.col("text"))
 
 
-def render_notes(documents: DataFrame, path: str, langs=None, n_files: int | None = None) -> str:
-    df = notes_frame(documents, langs)
-    if n_files:
-        df = df.repartition(n_files)
-    (df.write.mode("overwrite").option("header", True).option("quoteAll", True)
+def in_order(df: DataFrame, key: str, n_files: int | None = None) -> DataFrame:
+    """Rows by key over ascending output files."""
+    ranged = df.repartitionByRange(n_files, key) if n_files else df.repartitionByRange(key)
+    return ranged.sortWithinPartitions(key)
+
+
+def render_notes(documents: DataFrame, path: str, source: str | None = None, n_files: int | None = None) -> str:
+    """Notes of one source (all documents if None)."""
+    d = documents if source is None else notes_of(documents, source)
+    (notes_frame(in_order(d, "doc_id", n_files)).write.mode("overwrite").option("header", True).option("quoteAll", True)
      .option("escape", '"').option("compression", "gzip").csv(path))
     return path
 
@@ -75,13 +92,13 @@ def article_records(documents: DataFrame) -> DataFrame:
 
 
 def render_articles(documents: DataFrame, path: str, n_files: int = 3) -> str:
-    article_records(documents).repartition(n_files).write.mode("overwrite").text(path)
+    article_records(in_order(documents, "doc_id", n_files)).write.mode("overwrite").text(path)
     return path
 
 
 def code_frame(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     name, version, key, desc = CODE_TABLES[source]
-    t = table(spark, sf_dir, name)
+    t = in_order(table(spark, sf_dir, name), key)
     return t.select(F.lit(version).alias("version"), F.col(key).cast("string").alias("code"),
                     F.col(desc).alias("description"),
                     code_text(F.lit(version), F.col(key), F.col(desc)).alias("text"))
@@ -94,12 +111,12 @@ def render_code_table(spark: SparkSession, sf_dir: str, source: str, path: str)
 
 
 def patient_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per customer with ten text fields (nulls by key rule)."""
+    """One row per visit (order, or customer without one) with ten text fields
+    (nulls by key rule)."""
     c = table(spark, sf_dir, "customer")
-    o = table(spark, sf_dir, "orders")
-    first = o.groupBy("o_custkey").agg(F.min(F.struct(
-        "o_orderkey", "o_orderstatus", "o_orderpriority")).alias("o"))
-    j = c.join(first, c.c_custkey == first.o_custkey, "left")
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.struct(
+        "o_orderkey", "o_orderstatus", "o_orderpriority").alias("o"))
+    j = c.join(o, c.c_custkey == o.o_custkey, "left")
     k = F.col("c_custkey")
     gap7 = (k % 7) == 0
     gap11 = (k % 11) == 0
@@ -113,7 +130,7 @@ def patient_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         disp_text = (F.when(disp == code, F.lit(text)) if disp_text is None
                      else disp_text.when(disp == code, F.lit(text)))
     return j.select(
-        k.cast("string").alias("patient_id"),
+        F.concat_ws("-", k.cast("string"), F.col("o.o_orderkey").cast("string")).alias("patient_id"),
         unless(gap11, F.concat(F.lit("Patient "), F.col("c_name"), F.lit(" arrived by walk-in. "))).alias("arrival"),
         F.concat(F.lit("Triage segment "), F.col("c_mktsegment"), F.lit(". ")).alias("triage"),
         unless(gap7, F.concat(F.lit("Codes N"), F.col("c_nationkey").cast("string"), F.lit(". "))).alias("codes"),
@@ -126,8 +143,18 @@ def patient_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         disp.alias("eddischarge_category"))
 
 
-def render_patients(spark: SparkSession, sf_dir: str, path: str) -> str:
-    patient_frame(spark, sf_dir).write.mode("overwrite").json(path)
+def render_patients(spark: SparkSession, sf_dir: str, path: str, layout: str = "lines") -> str:
+    """``lines``: one JSON object a line; ``object``: files that are one
+    ``{patient_id: {field: text}}`` object each."""
+    p = patient_frame(spark, sf_dir)
+    if layout == "lines":
+        p.write.mode("overwrite").json(path)
+        return path
+    entry = F.concat(F.to_json(F.struct("patient_id")), F.lit("|"), F.to_json(F.struct(*p.columns[1:]), {"ignoreNullFields": "false"}))
+    pair = F.concat(F.regexp_extract(entry, r'^\{"patient_id":(".*?")\}\|', 1), F.lit(":"), F.regexp_extract(entry, r"\|(.*)$", 1))
+    (p.select(pair.alias("pair"), F.pmod(F.xxhash64("patient_id"), F.lit(8)).alias("object"))
+     .groupBy("object").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("pair"), ","), F.lit("}")).alias("value"))
+     .write.mode("overwrite").partitionBy("object").text(path))
     return path
 
 
@@ -135,8 +162,8 @@ def render_all_sources(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """Render the six corpus sources; returns source -> path."""
     docs = table(spark, sf_dir, "documents")
     out = {}
-    for src, langs in NOTE_LANGS.items():
-        out[src] = render_notes(docs, scratch_path(spark, f"notes-{src}"), langs)
+    for src in NOTE_SOURCES:
+        out[src] = render_notes(docs, scratch_path(spark, f"notes-{src}"), src)
     out["articles"] = render_articles(docs, scratch_path(spark, "articles"))
     for src in CODE_TABLES:
         out[src] = render_code_table(spark, sf_dir, src, scratch_path(spark, f"codes-{src}"))

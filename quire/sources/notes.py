@@ -1,12 +1,12 @@
 """Clinical notes as (gzipped) CSV.
 
-Columns are named by the header and read as strings (no type inference).
+Every file is bound to its own header (``csv_rows``); columns are strings.
 Metadata columns are dropped when present (P1); ``text`` becomes
 ``clinical_text`` after NA-token nulling and whitespace cleaning (P2, T1).
-Quoted cells may hold newlines, so files are parsed whole (``multiLine``):
-one task per file, and gzip is unsplittable anyway, so a scan with fewer
-partitions than the cluster's parallelism is spread before the per-row
-cleaning (``num_partitions`` sets the count explicitly).
+Rows keep their ``file`` and ``row`` (lineage and input order).  Quoted cells
+may hold newlines and gzip is unsplittable, so a file is one task; a scan with
+fewer partitions than the cluster's parallelism is spread after the rows have
+their identity (``num_partitions`` sets the count explicitly).
 """
 
 from __future__ import annotations
@@ -14,13 +14,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions.text import clean_text, na_to_null
-from quire.schemas import NOTE_META
+from quire.session import ensure_parallelism
+from quire.sources.csv_rows import canonical_number, csv_reader, rows_by_header
+
+NOTE_COLUMNS = ["note_id", "text"]
 
 
 def note_key(c: str):
-    """Numeric ids keep their value; others (e.g. '10000032-DS-21') hash to a
-    stable 64-bit key."""
-    return F.coalesce(F.expr(f"try_cast({c} AS BIGINT)"), F.xxhash64(F.col(c)))
+    """Ids in canonical decimal form keep their value; others (e.g.
+    '10000032-DS-21', '007') hash to a stable 64-bit key; a row without an id
+    is named by its file and row."""
+    return F.coalesce(canonical_number(c), F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c))),
+                      F.xxhash64("file", "row"))
 
 
 def drop_if_present(df: DataFrame, cols) -> DataFrame:
@@ -34,31 +39,15 @@ def drop_prefixed(df: DataFrame, prefix: str = "__") -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(prefix)])
 
 
-def read_notes(spark: SparkSession, path, label: str, clean: bool = True,
-               keep_id: bool = True, num_partitions: int | None = None) -> DataFrame:
-    raw = (spark.read.option("header", True).option("multiLine", True)
-           .option("escape", '"').option("inferSchema", False).csv(path))
-    if "text" not in raw.columns:
-        raise ValueError(f"notes at {path} have no 'text' column: {raw.columns}")
-    # whole-file parsing gives one task per file: spread few large files
-    # before the per-row cleaning (no-op when files outnumber cores)
-    raw = _spread(raw, num_partitions)
-    num_partitions = None
-    doc_id = (note_key("note_id") if "note_id" in raw.columns
-              else F.monotonically_increasing_id())
-    if keep_id:
-        raw = raw.withColumn("doc_id", doc_id)
-    df = drop_if_present(raw, NOTE_META)
+def note_rows(rows: DataFrame, label: str, clean: bool = True) -> DataFrame:
+    """doc_id, source, clinical_text, file, row of note rows."""
     text = na_to_null(F.col("text"))
-    df = df.withColumn("clinical_text", clean_text(text) if clean else text).drop("text")
-    df = df.withColumn("source", F.lit(label))
-    if num_partitions:
-        df = df.repartition(num_partitions)
-    return df
+    return rows.select(note_key("note_id").alias("doc_id"), F.lit(label).alias("source"),
+                       (clean_text(text) if clean else text).alias("clinical_text"), "file", "row")
 
 
-def _spread(raw: DataFrame, num_partitions: int | None) -> DataFrame:
-    from quire.session import ensure_parallelism
-    if num_partitions:
-        return raw.repartition(num_partitions)
-    return ensure_parallelism(raw)
+def read_notes(spark: SparkSession, path, label: str, clean: bool = True,
+               num_partitions: int | None = None) -> DataFrame:
+    rows = rows_by_header(csv_reader(spark.read).csv(path), NOTE_COLUMNS)
+    rows = rows.repartition(num_partitions) if num_partitions else ensure_parallelism(rows)
+    return note_rows(rows, label, clean)

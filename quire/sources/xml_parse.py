@@ -1,57 +1,106 @@
-"""Article-record parsing in Arrow batches (the default S2 parser).
-
-Each record is parsed once by the standard-library expat parser; the fields
-follow the element-``.text`` convention (text before the first child),
-stripped.  Spark's ``xpath`` builds a new DOM parser per call and needs
-three calls per record; this path measured ~2.7x faster on the given data
-with identical output, and it keeps text after a CDATA section as the
-reference's parser does.  ``strict=True`` fails the job on a malformed
-record (as the reference does); ``strict=False`` returns an ``error``
-column instead (quarantine).
+"""Article records parsed by events, one Arrow batch at a time.
+
+A record is a stream of expat events; a small state machine keeps the open
+element path and at most one *capture*, the text at the start of an element of
+interest.  A capture ends at the element's first child of any kind (element,
+comment or processing instruction) or at its end, so ``T <i>x</i> tail`` gives
+``T`` and text around a CDATA section is kept whole.  Names in a namespace do
+not match.  No tree is built, so a long record costs no more than its text.
+
+A malformed record yields its error message instead of fields; the caller
+decides whether that fails the job or is set aside.
 """
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
+from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SCHEMA = "pmid string, title string, abstract string, error string"
+from quire.session import ship_package
+
+SCHEMA = ("pmid string, title string, abstract string, error string, xml string, "
+          "file string, block long, row long")
+# Elements whose first occurrence counts, and their columns.
+FIRST = {"PMID": "pmid", "ArticleTitle": "title"}
+# ... and the element of which every occurrence counts, under its parent.
+EVERY, PARENT = "AbstractText", "Abstract"
+
+
+class _Events:
+    """The fields of one record, filled in while its events pass by."""
+
+    def __init__(self):
+        self.path: list[str] = []
+        self.fields: dict[str, str | None] = {"pmid": None, "title": None}
+        self.seen: set[str] = set()
+        self.parts: list[str] = []
+        self.target: str | None = None    # column or EVERY while a capture is open
+        self.text: list[str] = []
 
+    def start(self, name, _attributes):
+        self.close()
+        parent = self.path[-1] if self.path else None
+        self.path.append(name)
+        if name == EVERY and parent == PARENT:
+            self.target = EVERY
+        elif name in FIRST and name not in self.seen:
+            self.seen.add(name)
+            self.target = FIRST[name]
 
-def _lead(el):
-    if el is None or el.text is None:
-        return None
-    return el.text.strip()
+    def end(self, _name):
+        self.close()
+        self.path.pop()
 
+    def chars(self, data):
+        if self.target:
+            self.text.append(data)
 
-def parse_one(rec: str):
-    # comments and processing instructions stay nodes, so an element's
-    # leading text ends at them (the reference's parser keeps them too)
-    parser = ET.XMLParser(target=ET.TreeBuilder(insert_comments=True, insert_pis=True))
+    def close(self, *_):
+        if self.target and self.text:
+            leading = "".join(self.text)
+            if self.target == EVERY:
+                self.parts.append(leading.strip())
+            else:
+                self.fields[self.target] = leading.strip()
+        self.target, self.text = None, []
+
+
+def fields_of(record: str) -> tuple[str | None, str | None, str | None, str | None]:
+    """(pmid, title, abstract, error) of one record."""
+    events = _Events()
+    parser = expat.ParserCreate(namespace_separator="}")
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler = events.start, events.end
+    parser.CharacterDataHandler = events.chars
+    parser.CommentHandler = parser.ProcessingInstructionHandler = events.close
     try:
-        parser.feed(rec)
-        root = parser.close()
-    except ET.ParseError as e:
+        parser.Parse(record, True)
+    except expat.ExpatError as e:
         return None, None, None, str(e)
-    pmid = _lead(root.find(".//PMID"))
-    title = _lead(root.find(".//ArticleTitle"))
-    parts = [a.text.strip() for a in root.findall(".//Abstract/AbstractText") if a.text]
-    return pmid, title, " ".join(parts), None
-
-
-def _batches(strict: bool):
-    def fn(it):
-        for pdf in it:
-            rows = [parse_one(r) for r in pdf["xml"]]
-            if strict:
-                bad = next((r[3] for r in rows if r[3] is not None), None)
-                if bad is not None:
-                    raise ValueError(f"malformed article record: {bad}")
-            yield pd.DataFrame(rows, columns=["pmid", "title", "abstract", "error"])
-    return fn
-
-
-def parse_records(records: DataFrame, xml_col: str = "xml", strict: bool = True) -> DataFrame:
-    return records.select(records[xml_col].alias("xml")).mapInPandas(_batches(strict), SCHEMA)
+    return events.fields["pmid"], events.fields["title"], " ".join(events.parts), None
+
+
+def _parse(batches):
+    place, row = None, 0
+    for b in batches:
+        xml, file, block = (b.column(c).to_pylist() for c in ("xml", "file", "block"))
+        columns = list(zip(*map(fields_of, xml), strict=True)) or [[]] * 4
+        kept = [x if e is not None else None for x, e in zip(xml, columns[3], strict=True)]
+        rows = []
+        for here in zip(file, block, strict=True):  # records number from 0 in each split
+            row = row + 1 if here == place else 0
+            place = here
+            rows.append(row)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(c, pa.string()) for c in columns), pa.array(kept, pa.string()), b.column("file"),
+             b.column("block"), pa.array(rows, pa.int64())],
+            ["pmid", "title", "abstract", "error", "xml", "file", "block", "row"])
+
+
+def parse_records(records: DataFrame) -> DataFrame:
+    """``records``: xml, file, block.  Adds pmid, title, abstract, error and
+    row (the record's number in its split); xml stays on malformed ones."""
+    ship_package(records.sparkSession)
+    return records.select("xml", "file", "block").mapInArrow(_parse, SCHEMA)

@@ -4,48 +4,31 @@ The batch readers' transformations run unchanged on a file stream; each
 trigger picks up only new files, and the Parquet sink with a checkpoint
 gives exactly-once output, so a restart adds no duplicates.
 ``trigger(availableNow=True)`` processes everything present, in bounded
-micro-batches (``maxFilesPerTrigger``, default 1000 files), then stops.  The
-notes schema is taken from the files' header once, as the batch reader does.
+micro-batches (``maxFilesPerTrigger``, default 1000 files), then stops.  Every
+note file is bound to its own header, as in the batch reader, and rows without
+an id get the same (file, row) key; a file without a text column fails loudly.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.functions.text import clean_text, na_to_null
-from quire.schemas import NOTE_SCHEMA
-from quire.sources.notes import note_key
-from quire.sources.articles import END_TAG, _START, to_corpus_rows
+from quire.sources.articles import END_TAG, corpus_columns, records_of
+from quire.sources.csv_rows import csv_reader, rows_by_header
+from quire.sources.notes import NOTE_COLUMNS, note_rows
 from quire.sources.xml_parse import parse_records
 
 
 DEFAULT_FILES_PER_TRIGGER = 1000
 
 
-def _header_schema(spark: SparkSession, src_dir: str):
-    """Column names from the files' header (all strings), as the batch
-    reader sees them; the fixed note schema when no file exists yet."""
-    try:
-        schema = (spark.read.option("header", True).option("multiLine", True)
-                  .option("escape", '"').csv(src_dir).schema)
-        return schema if "text" in schema.fieldNames() else NOTE_SCHEMA
-    except Exception:  # empty or missing folder
-        return NOTE_SCHEMA
-
-
 def notes_stream(spark: SparkSession, src_dir: str, label: str, clean: bool = True,
                  max_files_per_trigger: int | None = DEFAULT_FILES_PER_TRIGGER) -> DataFrame:
-    schema = _header_schema(spark, src_dir)
-    r = (spark.readStream.schema(schema).option("header", True).option("multiLine", True)
-         .option("escape", '"'))
+    r = csv_reader(spark.readStream)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = r.csv(src_dir)
-    text = na_to_null(F.col("text"))
-    key = note_key("note_id") if "note_id" in schema.fieldNames() else F.xxhash64(F.col("text"))
-    return raw.select(key.alias("doc_id"),
-                      F.lit(label).alias("source"),
-                      (clean_text(text) if clean else text).alias("clinical_text"))
+    rows = note_rows(rows_by_header(r.csv(src_dir), NOTE_COLUMNS), label, clean)
+    return rows.select("doc_id", "source", "clinical_text")
 
 
 def articles_stream(spark: SparkSession, src_dir: str,
@@ -54,10 +37,10 @@ def articles_stream(spark: SparkSession, src_dir: str,
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = r.text(src_dir)
-    rec = F.regexp_extract("value", _START, 1)
-    recs = raw.select(F.when(rec != "", F.concat(rec, F.lit(END_TAG))).alias("xml")).where(F.col("xml").isNotNull())
-    parsed = parse_records(recs).drop("error")
-    return to_corpus_rows(parsed).select("doc_id", "source", "clinical_text")
+    parsed = parse_records(records_of(raw))
+    rows = parsed.select(*corpus_columns(), F.lit("articles").alias("source"), "error", "xml")
+    return (rows.where((F.col("clinical_text") != "") | F.col("error").isNotNull())
+            .select("doc_id", "source", "clinical_text", "error", "xml"))
 
 
 def run_to_parquet(stream: DataFrame, sink_dir: str, checkpoint_dir: str) -> None:
@@ -75,5 +58,13 @@ def ingest_notes_stream(spark: SparkSession, src_dir: str, sink_dir: str, checkp
 
 def ingest_articles_stream(spark: SparkSession, src_dir: str, sink_dir: str, checkpoint_dir: str,
                            **kw) -> DataFrame:
+    """Corpus rows ingested so far.  A malformed record does not stop the
+    stream: it lands in the same exactly-once sink with its error
+    (``article_stream_errors``)."""
     run_to_parquet(articles_stream(spark, src_dir, **kw), sink_dir, checkpoint_dir)
-    return spark.read.parquet(sink_dir)
+    return spark.read.parquet(sink_dir).where(F.col("error").isNull()).select("doc_id", "source", "clinical_text")
+
+
+def article_stream_errors(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """(xml, error) of the malformed records a stream has met."""
+    return spark.read.parquet(sink_dir).where(F.col("error").isNotNull()).select("xml", "error")

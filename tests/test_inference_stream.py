@@ -48,7 +48,7 @@ def test_cluster_report_separated_labels(spark):
 
 def test_stream_equals_batch_and_restart_adds_nothing(spark):
     docs = fx.table(spark, SF_SMALL, "documents")
-    src = fx.render_notes(docs, scratch_path(spark, "t-src"), ["en", "de"], n_files=3)
+    src = fx.render_notes(docs, scratch_path(spark, "t-src"), "discharge", n_files=3)
     sink, ckpt = scratch_path(spark, "t-sink"), scratch_path(spark, "t-ckpt")
     first = ingest_notes_stream(spark, src, sink, ckpt, "discharge").count()
     again = ingest_notes_stream(spark, src, sink, ckpt, "discharge").count()

@@ -15,14 +15,14 @@ def test_positions_match_sorted_order_for_any_partitioning(spark):
     expected = {(a, b): i for i, (a, b, _) in enumerate(sorted(rows))}
     for parts, buckets in [(1, 1), (4, 3), (17, 17), (5, 100)]:   # 100: binary-search path
         df = spark.createDataFrame(rows, "g int, k long, v long").repartition(parts)
-        got = {(r.g, r.k): r.pos for r in with_positions(df, ["g", "k"], n_buckets=buckets).collect()}
+        got = {(r.g, r.k): r.pos for r in with_positions(df, ["g", "k"], n_partitions=buckets).collect()}
         assert got == expected
 
 
 def test_positions_string_keys_and_materialize(spark):
     words = ["b", "a", "é", "Z", "aa", "", "zz", "ab"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    got = [r.w for r in with_positions(df, ["w"], n_buckets=3, materialize=True).orderBy("pos").collect()]
+    got = [r.w for r in with_positions(df, ["w"], n_partitions=3, materialize=True).orderBy("pos").collect()]
     assert got == sorted(words, key=lambda s: s.encode("utf-8"))
 
 
@@ -50,27 +50,20 @@ def test_epoch_order_is_a_permutation_and_epoch_dependent(spark):
     assert again == e0
 
 
-def test_positions_null_keys_first(spark, monkeypatch):
-    from quire.operators import ordering
+def test_positions_null_keys_first(spark):
     rows = [(None, 5), (1, None), (1, 2), (0, 9), (None, None), (2, 1), (0, None), (3, 3)]
     df = spark.createDataFrame(rows, "a long, b long")
     exp = [(r.a, r.b) for r in df.orderBy(F.asc_nulls_first("a"), F.asc_nulls_first("b")).collect()]
-    for case_max in (48, 0):                     # CASE tree, then the binary search
-        monkeypatch.setattr(ordering, "CASE_TREE_MAX", case_max)
-        for nb in (2, 4):
-            got = [(r.a, r.b) for r in with_positions(df, ["a", "b"], n_buckets=nb).orderBy("pos").collect()]
-            assert got == exp
+    for n in (1, 2, 4):
+        got = [(r.a, r.b) for r in with_positions(df, ["a", "b"], n_partitions=n).orderBy("pos").collect()]
+        assert got == exp
 
 
-def test_buckets_balanced_when_one_source_dominates(spark, monkeypatch):
-    from quire.operators import ordering
-    # 60% of rows share source_rank 0; keys (source_rank, doc_id) are unique
+def test_positions_of_equal_keys_and_a_dominant_source(spark):
     df = spark.range(0, 40000).select(
-        F.when(F.col("id") % 10 < 6, 0).otherwise(F.col("id") % 10).alias("source_rank"),
-        F.col("id").alias("doc_id"))
-    for case_max in (48, 0):
-        monkeypatch.setattr(ordering, "CASE_TREE_MAX", case_max)
-        bounds = ordering.range_bounds(df, ["source_rank", "doc_id"], 16)
-        sizes = [r["count"] for r in ordering.with_bucket(df, ["source_rank", "doc_id"], bounds, "b")
-                 .groupBy("b").count().collect()]
-        assert len(sizes) == 16 and max(sizes) < 2.0 * 40000 / 16, sizes
+        F.when(F.col("id") % 10 < 6, 0).otherwise(F.col("id") % 10).alias("rank"), F.col("id").alias("doc_id"))
+    by_rank = with_positions(df, ["rank"], n_partitions=16)
+    assert by_rank.select("pos").distinct().count() == 40000
+    assert by_rank.agg(F.min("pos"), F.max("pos")).first() == (0, 39999)
+    both = with_positions(df, ["rank", "doc_id"], n_partitions=16)
+    assert both.where("rank = 0").agg(F.max("pos")).first()[0] == 23999

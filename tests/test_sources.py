@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators.patients import patient_documents
-from quire.sources.articles import read_articles
+from quire.sources.articles import read_articles, read_articles_quarantined
 from quire.sources.codes import read_code_table
 from quire.sources.notes import read_notes
 from quire.sources.patients import read_patients
@@ -30,7 +30,7 @@ def test_notes_csv_quotes_newlines_na(spark, tmpdir_path):
     with gzip.open(p, "wt", encoding="utf-8") as f:
         f.write(NOTES_CSV)
     df = read_notes(spark, p, "discharge")
-    assert set(df.columns) == {"doc_id", "clinical_text", "source"}  # metadata dropped (P1)
+    assert set(df.columns) == {"doc_id", "clinical_text", "source", "file", "row"}  # metadata dropped (P1)
     got = {r.doc_id: r.clinical_text for r in df.collect()}
     assert got == {1: 'He said "hi", then left. Second line', 2: None, 3: None, 4: None,
                    5: None, 6: "NA", 7: "a, b ,c"}
@@ -38,6 +38,29 @@ def test_notes_csv_quotes_newlines_na(spark, tmpdir_path):
     assert raw[1] == 'He said "hi", then left.\nSecond   line' and raw[6] == " NA "
 
 
+def test_files_of_one_source_keep_their_own_headers(spark, tmpdir_path):
+    for name, body in (("a.csv", 'note_id,subject_id,text\n7,S7,seven\n007,S8,"double, oh\nseven"\n'),
+                       ("b.csv", 'subject_id,text,note_id\nS9,nine,77\n'), ("c.csv", 'text\nfirst\nsecond\n')):
+        with open(os.path.join(tmpdir_path, name), "w") as f:
+            f.write(body)
+    rows = read_notes(spark, tmpdir_path, "notes").collect()
+    by = {r.clinical_text: r for r in rows}
+    assert set(by) == {"seven", "double, oh seven", "nine", "first", "second"}
+    assert by["seven"].doc_id == 7 and by["nine"].doc_id == 77 and len({r.doc_id for r in rows}) == 5
+    assert [by[t].row for t in ("seven", "double, oh seven", "nine", "first", "second")] == [0, 1, 0, 0, 1]
+    with open(os.path.join(tmpdir_path, "d.csv"), "w") as f:
+        f.write("note_id,body\n1,x\n")
+    with pytest.raises(Exception, match="no column 'text'"):
+        read_notes(spark, tmpdir_path, "notes").collect()
+
+
+def test_codes_of_two_versions_and_leading_zeros(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "icd.csv")
+    with open(p, "w") as f:
+        f.write("version,code,text\n9,10,a\n9,010,b\n10,10,c\n")
+    assert sorted(r.code_key for r in read_code_table(spark, p, "diagnosis").collect()) == ["10:10", "9:010", "9:10"]
+
+
 def test_code_table_copies_text(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "icd.csv")
     with open(p, "w") as f:
@@ -115,7 +138,9 @@ def test_malformed_record_strict_and_quarantine(spark, tmpdir_path):
     with open(p, "w") as f:
         f.write("<PubmedArticle><PMID>1</PMID><ArticleTitle>ok</ArticleTitle></PubmedArticle>\n"
                 "<PubmedArticle><PMID>2</PMID><ArticleTitle>broken<b></ArticleTitle></PubmedArticle>\n")
-    assert [r.doc_id for r in read_articles(spark, p, quarantine=True).collect()] == [1]
+    good, errors = read_articles_quarantined(spark, p)
+    assert [r.doc_id for r in good.collect()] == [1]
+    assert [("<PMID>2<" in r.xml, "mismatched" in r.error) for r in errors.collect()] == [(True, True)]
     with pytest.raises(Exception):
         read_articles(spark, p).collect()
 

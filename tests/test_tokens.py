@@ -35,12 +35,11 @@ def test_vocabulary_padding(spark):
 def test_tokenize_truncate_pad_unknown(spark):
     docs = _docs(spark)
     vocab = build_vocabulary(docs, vocab_size=8)          # d b a : c e zz are unknown
-    for method in ("join", "arrow"):
-        t = {r.doc_id: r for r in tokenize(docs, vocab, 5, method=method).collect()}
-        assert t[1].input_ids == [CLS_ID, 6, 7, 6, SEP_ID] and t[1].n_tokens == 5
-        assert t[2].input_ids == [CLS_ID, 7, 6, SEP_ID, PAD_ID] and list(t[2].attention_mask) == [1, 1, 1, 1, 0]
-        assert t[3].input_ids == [CLS_ID, SEP_ID, PAD_ID, PAD_ID, PAD_ID] and t[3].n_tokens == 2
-        assert t[5].input_ids == [CLS_ID, UNK_ID, SEP_ID, PAD_ID, PAD_ID]
+    t = {r.doc_id: r for r in tokenize(docs, vocab, 5).collect()}
+    assert t[1].input_ids == [CLS_ID, 6, 7, 6, SEP_ID] and t[1].n_tokens == 5
+    assert t[2].input_ids == [CLS_ID, 7, 6, SEP_ID, PAD_ID] and list(t[2].attention_mask) == [1, 1, 1, 1, 0]
+    assert t[3].input_ids == [CLS_ID, SEP_ID, PAD_ID, PAD_ID, PAD_ID] and t[3].n_tokens == 2
+    assert t[5].input_ids == [CLS_ID, UNK_ID, SEP_ID, PAD_ID, PAD_ID]
 
 
 def test_user_tokenizer_matches_builtin(spark):
@@ -66,3 +65,17 @@ def test_dynamic_pad_arrays(spark):
     assert len(out[1].input_ids) == 6 and len(out[2].input_ids) == 6
     assert len(out[3].input_ids) == 7 and out[3].input_ids[:2] == [CLS_ID, SEP_ID]
     assert out[5].input_ids == [CLS_ID, 10, SEP_ID] and list(out[5].attention_mask) == [1, 1, 1]
+
+
+def test_special_tokens_null_texts_and_equal_ids(spark):
+    docs = spark.createDataFrame([(1, "[MASK] a [PAD] a"), (1, "a <dummy_extra_token_3>"), (None, None), (2, "")],
+                                 "doc_id long, clinical_text string")
+    vocab = build_vocabulary(docs, vocab_size=None)
+    tokens = [r.token for r in vocab.collect()]
+    assert len(tokens) == len(set(tokens)) == 6
+    rows = tokenize(docs, vocab, 5).collect()
+    assert len(rows) == 4 and {len(r.input_ids) for r in rows} == {5}
+    assert sorted(r.input_ids for r in rows) == sorted([
+        [CLS_ID, UNK_ID, 5, UNK_ID, SEP_ID], [CLS_ID, 5, UNK_ID, SEP_ID, PAD_ID], [CLS_ID, SEP_ID, PAD_ID, PAD_ID, PAD_ID],
+        [CLS_ID, SEP_ID, PAD_ID, PAD_ID, PAD_ID]])
+    assert all(r.n_tokens == sum(r.attention_mask) for r in rows)
