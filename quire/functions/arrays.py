@@ -13,7 +13,7 @@ def label_rank(scores, label) -> Column:
     """0-based rank of ``scores[label]``: strictly larger scores, plus equal
     scores at a lower index.  Null when the label is outside the vector."""
     s, lab = _c(scores), _c(label)
-    target = F.element_at(s, lab + 1)
+    target = F.get(s, lab)
     ranked = F.size(F.filter(
         s, lambda x, i: (x > target) | ((x == target) & (i < lab))))
     return F.when((lab >= 0) & (lab < F.size(s)), ranked)
@@ -31,7 +31,7 @@ def masked_lm_loss(scores, label) -> Column:
     m = F.array_max(s).cast("double")
     sumexp = F.aggregate(s, F.lit(0.0).cast("double"),
                          lambda acc, x: acc + F.exp(x.cast("double") - m))
-    return m + F.log(sumexp) - F.element_at(s, lab + 1).cast("double")
+    return m + F.log(sumexp) - F.get(s, lab).cast("double")
 
 
 def pad_right(arr, length, pad_value) -> Column:

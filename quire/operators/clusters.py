@@ -1,21 +1,23 @@
 """E5: label clustering report for embeddings.
 
 Centroid per label (``posexplode`` + partial ``avg`` per (label, dim): the
-pre-aggregation keeps shuffle size at labels x dims per task), then every
-vector's cosine to its own centroid and to the nearest other centroid.  The
-centroid table is one row per label; it reaches the vectors as a
-scalar subquery (one value holding every centroid, evaluated once per
-query) after a checked bound on the label count -- no join.
+pre-aggregation keeps shuffle size at labels x dims per task), made a unit
+vector once, then every vector's cosine to its own centroid and to the nearest
+other one.  Labels are dealt into blocks of about ``BLOCK``; a block of centroids
+reaches the vectors as one scalar-subquery value (at most BLOCK x dim numbers),
+and a vector keeps its best per block, so neither the number of labels nor any
+broadcast is capped or unbounded.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
-from quire.functions.arrays import cosine
 from quire.session import materialize
 
-MAX_LABELS = 100_000
+BLOCK = 1024
 
 
 def centroids(df: DataFrame, vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -25,22 +27,37 @@ def centroids(df: DataFrame, vec_col: str = "embedding", label_col: str = "label
         .select(label_col, F.transform("__p", lambda p: p["__c"]).alias("centroid"))
 
 
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _unit(a):
+    norm = F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    return F.transform(a, lambda x: x.cast("double") / norm)
+
+
 def cluster_report(df: DataFrame, vec_col: str = "embedding", label_col: str = "label",
                    id_col: str = "vec_id") -> DataFrame:
-    c = materialize(centroids(df, vec_col, label_col), "centroids")   # read twice below
-    n_labels = c.limit(MAX_LABELS + 1).count()
-    if n_labels > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels; centroids would not be a bounded broadcast")
-    table = c.agg(F.collect_list(F.struct(F.col(label_col).alias("l"), "centroid")).alias("__cs"))
-    # all (bounded) centroids as one value: a scalar subquery, evaluated once
-    v = df.select(id_col, label_col, vec_col).withColumn("__cs", table.scalar())
-    sims = F.transform("__cs", lambda s: F.struct(s["l"].alias("l"), cosine(F.col(vec_col), s["centroid"]).alias("cs")))
-    per = v.select(id_col, label_col, sims.alias("__s"))
-    own = F.aggregate(F.filter("__s", lambda s: s["l"] == F.col(label_col)), F.lit(None).cast("double"),
-                      lambda acc, s: F.coalesce(s["cs"], acc))
-    other = F.array_max(F.transform(F.filter("__s", lambda s: s["l"] != F.col(label_col)), lambda s: s["cs"]))
-    scored = per.select(label_col, own.alias("own"), other.alias("other"))
-    return scored.groupBy(label_col).agg(
+    """Per label: n_vectors, mean_own_cosine, mean_nearest_other_cosine.  Vectors
+    are told apart by ``id_col`` and label."""
+    c = centroids(df, vec_col, label_col).select(F.col(label_col).alias("l"), _unit(F.col("centroid")).alias("u"))
+    c = materialize(c, "centroids")
+    blocks = c.count() // BLOCK + 1
+    v = df.select(id_col, label_col, _unit(F.col(vec_col)).alias("__u"))
+
+    def against(block: int) -> DataFrame:
+        mine = c.where(F.pmod(F.xxhash64("l"), F.lit(blocks)) == block)
+        all_of = mine.agg(F.collect_list(F.struct("l", "u")).alias("cs"))
+        sims = F.transform("__cs", lambda s: F.struct(s["l"].alias("l"), _dot(F.col("__u"), s["u"]).alias("cs")))
+        own = F.filter("__s", lambda s: s["l"].eqNullSafe(F.col(label_col)))
+        other = F.filter("__s", lambda s: ~s["l"].eqNullSafe(F.col(label_col)))
+        return (v.withColumn("__cs", all_of.scalar()).withColumn("__s", sims)
+                .select(id_col, label_col, F.array_max(F.transform(own, lambda s: s["cs"])).alias("own"),
+                        F.array_max(F.transform(other, lambda s: s["cs"])).alias("other")))
+
+    best = reduce(DataFrame.unionByName, [against(b) for b in range(blocks)])
+    best = best.groupBy(id_col, label_col).agg(F.max("own").alias("own"), F.max("other").alias("other"))
+    return best.groupBy(label_col).agg(
         F.count(F.lit(1)).alias("n_vectors"),
         F.round(F.avg("own"), 6).alias("mean_own_cosine"),
         F.round(F.avg("other"), 6).alias("mean_nearest_other_cosine"))

@@ -17,11 +17,14 @@ with the same spec.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from quire.session import ship_package
+
 
 def first_token_pool(hidden: np.ndarray) -> np.ndarray:
     """[batch, seq, dim] -> [batch, dim] (the first token's state)."""
@@ -34,14 +37,19 @@ def first_token_column(flat, dim: int):
     return F.slice(c, 1, dim)
 
 
-def _hash_vec(tokens, dim: int) -> np.ndarray:
-    import xxhash
-    v = np.zeros(dim, dtype=np.float32)
-    for t in tokens:
-        h = xxhash.xxh64_intdigest(str(t))
-        v[h % dim] += 1.0 if (h >> 63) & 1 else -1.0
-    n = float(np.linalg.norm(v))
-    return v / n if n > 0 else v
+def hashed_bags(rows: list[list[str]], dim: int) -> np.ndarray:
+    """Unit signed hashed bags of a batch of token lists.  A token's first eight
+    MD5 digits h give its place, ``h % dim``, and sign (+ if ``h // dim`` is odd);
+    each distinct token of the batch is hashed once."""
+    out = np.zeros((len(rows), dim))
+    flat = [t for r in rows for t in r]
+    if flat:
+        kinds, at = np.unique(np.array(flat, dtype=object), return_inverse=True)
+        h = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for t in kinds], dtype=np.int64)[at]
+        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        np.add.at(out, (owner, h % dim), np.where(h // dim % 2 == 1, 1.0, -1.0))
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
 @dataclass
@@ -57,8 +65,7 @@ class HashedBagEncoder:
         dim, keep = self.dim, max(0, self.max_length - 2)
 
         def predict(texts: np.ndarray) -> np.ndarray:
-            return np.stack([_hash_vec(("" if t is None else str(t)).split()[:keep], dim)
-                             for t in texts]).astype(np.float32)
+            return hashed_bags([("" if t is None else str(t)).split()[:keep] for t in texts], dim)
         return predict
 
 
@@ -76,11 +83,8 @@ class HashedIdsEncoder:
         dim, ns = self.dim, self.n_specials
 
         def predict(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
-            out = []
-            for row_ids, row_mask in zip(ids, mask):
-                keep = [int(i) for i, m in zip(row_ids, row_mask) if m and i >= ns]
-                out.append(_hash_vec(keep, dim))
-            return np.stack(out).astype(np.float32)
+            live = (np.asarray(mask) != 0) & (np.asarray(ids) >= ns)
+            return hashed_bags([[str(int(i)) for i in row[ok]] for row, ok in zip(np.asarray(ids), live)], dim)
         return predict
 
 
@@ -94,17 +98,21 @@ def project_inputs(df: DataFrame, encoder, keep=()) -> DataFrame:
 def embed(df: DataFrame, encoder=None, batch_size: int = 64, max_length: int = 512,
           text_col: str = "clinical_text", id_col: str = "doc_id") -> DataFrame:
     """(id, embedding array<float>) from text; the built-in encoder
-    truncates at ``max_length`` tokens like the reference's tokenizer call."""
+    truncates at ``max_length`` tokens like the reference's tokenizer call.  A row
+    without text keeps its place with a null embedding."""
+    ship_package(df.sparkSession)
     from pyspark.ml.functions import predict_batch_udf
     encoder = encoder or HashedBagEncoder(max_length=max_length)
     udf = predict_batch_udf(encoder.make_predict_fn, return_type=T.ArrayType(T.FloatType()),
                             batch_size=batch_size)
-    return df.select(id_col, udf(F.col(text_col)).alias("embedding"))
+    text = F.col(text_col)
+    return df.select(id_col, F.when(text.isNotNull(), udf(F.coalesce(text, F.lit("")))).alias("embedding"))
 
 
 def embed_tokens(df: DataFrame, encoder=None, batch_size: int = 64, max_length: int = 512,
                  id_col: str = "doc_id") -> DataFrame:
     """(id, embedding) from pre-tokenised fixed-width rows."""
+    ship_package(df.sparkSession)
     from pyspark.ml.functions import predict_batch_udf
     encoder = encoder or HashedIdsEncoder()
     df = project_inputs(df, encoder)

@@ -34,10 +34,13 @@ def argmax(scores):
 
 def topk_report(df: DataFrame, scores: str = "scores", label: str = "label",
                 group_cols=(), ks=TOP_KS, with_loss: bool = True) -> DataFrame:
-    """A6 (+A7): accuracy@k and mean loss over masked positions, per group."""
+    """A6 (+A7): accuracy@k and mean loss over masked positions, per group.  A
+    label outside its score vector (or null scores) has no rank: it is counted
+    in ``n_invalid`` and left out of the means."""
     m = masked_only(df, label).withColumn("__rank", label_rank(F.col(scores), F.col(label)))
-    aggs = [F.count(F.lit(1)).alias("n_masked")]
-    aggs += [F.avg(F.when(F.col("__rank") < k, 1.0).otherwise(0.0)).alias(f"top{k}_accuracy") for k in ks]
+    valid = F.col("__rank").isNotNull()
+    aggs = [F.count(F.lit(1)).alias("n_masked"), F.count_if(~valid).alias("n_invalid")]
+    aggs += [F.avg(F.when(valid, (F.col("__rank") < k).cast("double"))).alias(f"top{k}_accuracy") for k in ks]
     if with_loss:
-        aggs.append(F.avg(masked_lm_loss(F.col(scores), F.col(label))).alias("mlm_loss"))
+        aggs.append(F.avg(F.when(valid, masked_lm_loss(F.col(scores), F.col(label)))).alias("mlm_loss"))
     return m.groupBy(*group_cols).agg(*aggs)

@@ -34,10 +34,15 @@ def corpus_profile(df: DataFrame, text_col: str = "clinical_text",
         return rows.agg(*aggs)
     out = rows.rollup(group_col).agg(F.grouping(group_col).alias("_g"), *aggs)
     return out.select(
-        F.when(F.col("_g") == 1, F.lit("all")).otherwise(F.lit("source")).alias("level"),
-        group_col, "n_docs", "n_texts", "avg_words", "n_chars", "size_mb")
+        level(F.col("_g")), group_col, "n_docs", "n_texts", "avg_words", "n_chars", "size_mb")
 
 
 def row_counts(df: DataFrame, group_col: str = "source") -> DataFrame:
-    """A1 alone: rows per group plus the total (group null)."""
-    return df.rollup(group_col).agg(F.count(F.lit(1)).alias("n_rows"))
+    """A1 alone: rows per group (``level`` 'source') plus the total ('all'), so
+    that a null group and the total stay apart."""
+    out = df.rollup(group_col).agg(F.grouping(group_col).alias("_g"), F.count(F.lit(1)).alias("n_rows"))
+    return out.select(level(F.col("_g")), group_col, "n_rows")
+
+
+def level(grouping):
+    return F.when(grouping == 1, F.lit("all")).otherwise(F.lit("source")).alias("level")

@@ -4,7 +4,7 @@ side): JSON -> documents (E4) -> optional prefix (W2) -> batched embedding
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 from quire.operators.inference import embed
 from quire.operators.ordering import take_prefix, with_positions
@@ -15,7 +15,8 @@ from quire.sources.patients import read_patients
 def embed_patients(spark: SparkSession, json_path: str, out_path: str, layout: str = "lines",
                    limit_rows: int | None = None, encoder=None, batch_size: int = 64,
                    max_length: int = 512) -> str:
-    docs = patient_documents(read_patients(spark, json_path, layout)).where(F.col("info").isNotNull())
+    # a patient without a complete document stays, with a null embedding
+    docs = patient_documents(read_patients(spark, json_path, layout))
     if limit_rows is not None:
         docs = take_prefix(with_positions(docs, ["patient_id"]), limit_rows)
     embed(docs, encoder, batch_size, max_length, text_col="info", id_col="patient_id") \

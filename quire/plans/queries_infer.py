@@ -8,8 +8,9 @@ from quire.operators.clusters import cluster_report
 from quire.operators.inference import embed, embed_tokens, first_token_column
 from quire.operators.patients import patient_documents
 from quire.operators.tokens import build_vocabulary, tokenize
-from quire.plans.queries_corpus import _patients, sql_articles, sql_note
+from quire.plans.queries_corpus import SQL_FILLED, _patients, sql_articles, sql_note
 from quire.plans.queries_mix import _docs
+from quire.plans.queries_tokens import sql_token_lists
 from quire.plans.registry import register
 from quire.session import scratch_path
 from quire.sources import fixtures as fx
@@ -17,21 +18,48 @@ from quire.sources.fixtures import table
 from quire.streaming.ingest import ingest_articles_stream, ingest_notes_stream
 
 
-@register("e1")
+def _sql_bags(rows: str, key: str) -> str:
+    """Signed hashed bags (64 places, four digits) of ``rows``: key, toks (null
+    toks: null embedding)."""
+    return f"""
+WITH r AS ({rows}),
+t AS (SELECT {key}, unnest(toks) AS tok FROM r),
+h AS (SELECT {key}, CAST('0x' || substr(md5(CAST(tok AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM t),
+s AS (SELECT {key}, h % 64 AS d, sum(CASE WHEN (h // 64) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY 1, 2),
+n AS (SELECT {key}, sqrt(sum(v * v)) AS n FROM s GROUP BY 1),
+f AS (SELECT r.{key}, r.toks IS NULL AS none, g.d FROM r, (SELECT unnest(range(0, 64)) AS d) g)
+SELECT f.{key}, CASE WHEN NOT any_value(f.none) THEN string_agg(
+         CAST(CAST(round(coalesce(s.v / nullif(n.n, 0), 0) * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY f.d) END AS embedding
+FROM f LEFT JOIN s ON s.{key} = f.{key} AND s.d = f.d LEFT JOIN n ON n.{key} = f.{key} GROUP BY f.{key}
+"""
+
+
+def _four_digits(embedding: str = "embedding"):
+    return F.array_join(F.transform(embedding, lambda x: F.round(x.cast("double") * 10000).cast("long").cast("string")), ",")
+
+
+_SQL_INFO = """SELECT patient_id, CASE WHEN info IS NOT NULL THEN list_slice(list_filter(
+  regexp_split_to_array(info, '\\s+'), lambda x: x <> ''), 1, 510) END AS toks FROM (
+  SELECT patient_id, arrival || codes || triage || vitals || pyxis || medrecon AS info FROM ({filled}))"""
+
+
+@register("e1", _sql_bags(_SQL_INFO.format(filled=SQL_FILLED), "patient_id"))
 def q_e1(spark, sf_dir):
     """Patient documents (E4) embedded in batches of 64 with the stand-in
-    encoder (no oracle: model output)."""
-    docs = patient_documents(_patients(spark, sf_dir)).where(F.col("info").isNotNull())
-    return embed(docs, batch_size=64, text_col="info", id_col="patient_id")
+    encoder; patients without a complete document keep a null embedding."""
+    docs = patient_documents(_patients(spark, sf_dir))
+    return embed(docs, batch_size=64, text_col="info", id_col="patient_id").select("patient_id", _four_digits().alias("embedding"))
 
 
-@register("e2")
+@register("e2", _sql_bags(f"SELECT doc_id, list_filter(list_slice(ids, 1, n_tokens), lambda x: x >= 5) AS toks "
+                          f"FROM ({sql_token_lists(512)})", "doc_id"))
 def q_e2(spark, sf_dir):
-    """Pre-tokenised documents (T10, 512) embedded from ids + mask."""
+    """Pre-tokenised documents (T10, 512) embedded from ids + mask; the input
+    type the encoder does not take is dropped (P12)."""
     docs = _docs(spark, sf_dir)
     tok = tokenize(docs, build_vocabulary(docs), 512).withColumn(
         "token_type_ids", F.array_repeat(F.lit(0), 512))
-    return embed_tokens(tok, batch_size=64, max_length=512)
+    return embed_tokens(tok, batch_size=64, max_length=512).select("doc_id", _four_digits().alias("embedding"))
 
 
 _E3 = ", ".join(f"embedding[{i + 1}] AS d{i}" for i in range(8))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators.downcast import FLOAT16_MAX, FLOAT32_MAX, INT_LIMITS, downcast_plan
+from quire.operators.downcast import FLOAT16_MAX, FLOAT32_MAX, INT_LIMITS, downcast, downcast_plan
 from quire.operators.masking import mask_probability
 from quire.operators.plan import training_plan
 from quire.plans.registry import register
@@ -42,16 +42,29 @@ def q_a4(spark, sf_dir):
     return downcast_plan(li)
 
 
+@register("a4_applied", "SELECT l_orderkey, l_linenumber, " + ", ".join(
+    f"CAST({c} AS FLOAT) AS {c}" if t in ("double", "float") else f"CAST({c} AS BIGINT) AS {c}"
+    for c, t in LINEITEM_NUMERIC if c not in ("l_orderkey", "l_linenumber")) + " FROM lineitem")
+def q_a4_applied(spark, sf_dir):
+    """A4's cast carried out: integers read back as long, to compare values."""
+    li = table(spark, sf_dir, "lineitem").select(*[c for c, _ in LINEITEM_NUMERIC])
+    out, changes = downcast(li)
+    assert changes and dict(out.dtypes) != dict(li.dtypes)
+    return out.select(*[F.col(c).cast("float" if t in ("double", "float") else "long" if c not in (
+        "l_orderkey", "l_linenumber") else t).alias(c) for c, t in LINEITEM_NUMERIC])
+
+
 SQL_EPOCHS = ("CAST(CASE WHEN n < 10000 THEN 100 WHEN n < 100000 THEN 50 "
               "WHEN n < 1000000 THEN 25 ELSE 12 END AS BIGINT)")
 SQL_PLAN = f"""
-SELECT source, n AS total_samples, n * 512 AS total_tokens, CAST(128 AS BIGINT) AS batch_size,
+SELECT level, source, n AS total_samples, n * 512 AS total_tokens, CAST(128 AS BIGINT) AS batch_size,
        epochs, spe AS steps_per_epoch, spe * epochs AS total_steps,
        greatest(CAST(trunc(0.1::DOUBLE * (spe * epochs)) AS BIGINT), 100) AS warmup_steps,
        (n * epochs) // 128 AS num_training_steps,
        CAST(trunc(0.1::DOUBLE * ((n * epochs) // 128)) AS BIGINT) AS num_warmup_steps
-FROM (SELECT source, n, {SQL_EPOCHS} AS epochs, (n + 127) // 128 AS spe
-      FROM (SELECT source, count(*) AS n FROM documents GROUP BY ROLLUP (source)))
+FROM (SELECT level, source, n, {SQL_EPOCHS} AS epochs, (n + 127) // 128 AS spe
+      FROM (SELECT CASE WHEN grouping(source) = 1 THEN 'all' ELSE 'source' END AS level, source, count(*) AS n
+            FROM documents GROUP BY ROLLUP (source)))
 """
 
 
@@ -94,7 +107,7 @@ SELECT step, round(CASE WHEN step < w THEN step::DOUBLE / greatest(1.0, w::DOUBL
                                                        / greatest(1.0, n::DOUBLE - w::DOUBLE))))) END, 9)
          AS lr_multiplier
 FROM (SELECT num_training_steps AS n, num_warmup_steps AS w, unnest(range(0, num_training_steps)) AS step
-      FROM ({SQL_PLAN}) WHERE source IS NULL)
+      FROM ({SQL_PLAN}) WHERE level = 'all')
 """)
 def q_lr_schedule(spark, sf_dir):
     """Cosine schedule with warm-up over the whole corpus' training steps."""

@@ -71,7 +71,8 @@ def q_t6(spark, sf_dir):
 
 
 @register("a1", """
-SELECT source, count(*) AS n_rows FROM documents GROUP BY ROLLUP (source)
+SELECT CASE WHEN grouping(source) = 1 THEN 'all' ELSE 'source' END AS level, source, count(*) AS n_rows
+FROM documents GROUP BY ROLLUP (source)
 """)
 def q_a1(spark, sf_dir):
     return row_counts(table(spark, sf_dir, "documents"), "source")

@@ -33,7 +33,8 @@ def prepare_training_data(spark: SparkSession, source_paths: dict[str, str], out
     docs = corpus.where(F.col("clinical_text").isNotNull())
     tok = tokenize(docs, spark.read.parquet(out["vocabulary"]), max_length, id_col="pos")
     write_tokenized(tok, out["tokenized"])
-    training_plan(corpus, "source", batch_size=batch_size, base_epochs=base_epochs) \
+    # steps come from the examples there are: texts, not rows without one
+    training_plan(docs, "source", batch_size=batch_size, base_epochs=base_epochs) \
         .write.mode("overwrite").parquet(out["plan"])
     return out
 

@@ -1,27 +1,17 @@
-"""Fixed schemas: no inference at read time."""
+"""Fixed column names and schemas.  CSV readers bind each file to its own
+header (``sources.csv_rows``); JSON is read with the schemas below."""
 
 from pyspark.sql import types as T
 
+# Metadata columns of note files, in the files' order.
 NOTE_META = ["note_id", "subject_id", "hadm_id", "note_type", "note_seq",
              "charttime", "storetime"]
-NOTE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in NOTE_META + ["text"]])
-
-CODE_SCHEMA = T.StructType([T.StructField(c, T.StringType())
-                            for c in ["version", "code", "description", "text"]])
-
+# Fields of a patient record, in the records' order.
 PATIENT_FIELDS = ["arrival", "triage", "codes", "vitals", "pyxis", "medrecon",
                   "eddischarge", "admission", "discharge", "eddischarge_category"]
 PATIENT_STRUCT = T.StructType([T.StructField(c, T.StringType()) for c in PATIENT_FIELDS])
 PATIENT_LINES_SCHEMA = T.StructType(
     [T.StructField("patient_id", T.StringType())] + list(PATIENT_STRUCT.fields))
 
-CORPUS_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("source", T.StringType()),
-    T.StructField("source_rank", T.IntegerType()),
-    T.StructField("pos", T.LongType()),
-    T.StructField("clinical_text", T.StringType()),
-])
-
 # The six corpus sources in union order.
 SOURCE_ORDER = ["discharge", "radiology", "articles", "diagnosis", "procedure", "hcpcs"]
