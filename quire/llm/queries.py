@@ -24,7 +24,32 @@ def op2(spark, sf_dir):
                          "doc_tokens", "sequence_id", "offset")
 
 
-@register("op3_decontamination")
+_LOWER = "translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATION_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all({_LOWER.format(c='text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER.format(c='text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+      FROM benchmark),
+bw AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(10, len(words)) AS k, array_to_string(words[i:i + least(10, len(words)) - 1], ' ') AS w
+  FROM (SELECT *, unnest(generate_series(1, greatest(1, len(words) - 9))) AS i FROM b WHERE len(words) > 0)),
+dw AS (
+  SELECT rid, i, k, array_to_string(words[i:i + k - 1], ' ') AS w
+  FROM (SELECT rid, words, k, unnest(generate_series(1, len(words) - k + 1)) AS i
+        FROM d, (SELECT DISTINCT k FROM bw) WHERE len(words) >= k)),
+hit AS MATERIALIZED (SELECT rid, i, dw.k, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.w = bw.w),
+n AS (SELECT rid, count(DISTINCT i + o) AS n FROM hit, (SELECT unnest(range(0, 10)) AS o) WHERE o < k GROUP BY rid),
+t AS (SELECT rid, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hit GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_hit,
+       CAST(len(coalesce(items, []::VARCHAR[])) AS BIGINT) AS n_items,
+       sha256(array_to_string(coalesce(items, []::VARCHAR[]), ',')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)
+"""
+
+
+@register("op3_decontamination", DECONTAMINATION_SQL)
 def op3(spark, sf_dir):
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -38,7 +63,25 @@ def op4(spark, sf_dir):
                          F.coalesce(F.col("n_tokens") > 1024, F.lit(False)).alias("over_limit"))
 
 
-@register("op6_jaccard_join")
+JACCARD_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format(c='text')}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + least(5, len(words)) - 1], ' ') AS g
+  FROM (SELECT *, unnest(generate_series(1, greatest(1, len(words) - 4))) AS i FROM d WHERE len(words) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x, min(y) AS least_id FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.least_id, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id
+"""
+
+
+@register("op6_jaccard_join", JACCARD_SQL)
 def op6(spark, sf_dir):
     return jaccard_classes(read(spark, sf_dir, "documents"), k=5, percent=80).select(
         "doc_id", "n_shingles", "component_id")
