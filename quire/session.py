@@ -26,12 +26,19 @@ _DEFAULTS = {
 
 
 def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                app: str = "quire", extra: dict | None = None) -> SparkSession:
+                app: str = "quire", extra: dict | None = None,
+                checkpoint_dir: str | None = None) -> SparkSession:
+    """A session with the library's defaults.  ``checkpoint_dir`` (or
+    ``QUIRE_CHECKPOINT_DIR``) names the scratch folder; on a cluster it must be
+    one that the driver and all executors share."""
     b = SparkSession.builder.master(master).appName(app)
     for k, v in _DEFAULTS.items():
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = b.config("spark.driver.memory", os.environ.get("QUIRE_DRIVER_MEMORY", "16g"))
+    checkpoint_dir = checkpoint_dir or os.environ.get("QUIRE_CHECKPOINT_DIR")
+    if checkpoint_dir:
+        b = b.config("spark.checkpoint.dir", checkpoint_dir)
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()

@@ -26,3 +26,24 @@ def test_ship_package_is_idempotent(spark):
     ship_package(spark)
     ship_package(spark)
     assert spark.sparkContext.applicationId in _SHIPPED
+
+
+def test_a_cluster_that_shares_no_folder_is_refused(monkeypatch):
+    from quire import session
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    import pytest
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(Session())
