@@ -1,45 +1,81 @@
-"""Connected components of a link table by alternating star contraction
-(large-star, small-star), entirely in DataFrames.
+"""Connected components of a link table.
 
-Every round rewrites each node's links towards the smallest neighbour it
+Links are read in blocks of about ``BLOCK``; a task contracts its block to a
+forest (every node to the smallest node it reaches in the block) by hooking and
+pointer jumping in numpy.  If there was more than one block, alternating star
+contraction (large-star, small-star) over the forests' links finishes the work
+in DataFrames: each round points every node at the smallest neighbour it
 knows, so a chain of any length shrinks in a logarithmic number of rounds.
-Rounds are written to the shared scratch folder, which cuts the lineage.
+Rounds are written to the shared scratch folder, which cuts the lineage; no
+links or components reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quire.session import materialize
+from quire.session import materialize, ship_package
 
+BLOCK = 1 << 20
 
-def _least(edges: DataFrame) -> DataFrame:
-    """Per left node: its smallest right node."""
-    return edges.groupBy("a").agg(F.min("b").alias("m"))
+
+def _forest(batches):
+    """One block's links -> (node, smallest node reached), without roots."""
+    a, b = [], []
+    for x in batches:
+        a.append(x.column("a"))
+        b.append(x.column("b"))
+    if not a or not sum(map(len, a)):
+        return
+    ends = pa.chunked_array(a + b).combine_chunks().dictionary_encode()
+    names = ends.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    at = rank[ends.indices.to_numpy()]
+    u, v = at[:len(at) // 2], at[len(at) // 2:]
+    root = np.arange(len(names))
+    while True:
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, root[u], low)
+        np.minimum.at(new, root[v], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, root):
+            break
+        root = new
+    child = np.flatnonzero(root != np.arange(len(names)))
+    place = pa.array(order)
+    yield pa.RecordBatch.from_arrays([ends.dictionary.take(place.take(pa.array(child))),
+                                      ends.dictionary.take(place.take(pa.array(root[child])))], ["a", "b"])
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links``; root is the smallest node of
     the component.  Links may repeat, point both ways or be loops; null ends
     are dropped."""
-    e = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct()
-    e = materialize(e, "links")
+    ship_package(links.sparkSession)
+    e = materialize(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b")
+                    .distinct(), "links")
+    blocks = e.count() // BLOCK + 1
+    e = materialize(e.coalesce(blocks).mapInArrow(_forest, e.schema), "links")
     last = None
-    for _ in range(rounds):
+    for _ in range(rounds if blocks > 1 else 0):
+        low = F.min("b").over(W.partitionBy("a"))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = (both.join(_least(both), "a").where("b > a")
-                 .select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
-        large = large.where("a > b").distinct()
-        low = _least(large)
-        small = (large.join(low, "a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
-                 .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        e = materialize(small, "links")
+        large = (both.withColumn("m", low).where("b > a")
+                 .select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a > b"))
+        e = (large.withColumn("m", low)
+             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
+                                       F.struct("a", F.col("m").alias("b")))).alias("e"))
+             .select("e.a", "e.b").where("a > b").distinct())
+        e = materialize(e, "links")
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == last:
             break
         last = mark
-    else:
-        raise RuntimeError("components: no fixed point")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+        e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -5,8 +5,8 @@ Two texts link when their sets of distinct ``k``-word shingles have
 *class*; all work is on classes.
 
 1. *Points.*  A class's shingles are hashed into groups; its point is the
-   count per group.  The number of groups is a power of two near an eighth of
-   the set's size, so points of comparable sets have the same or a neighbouring
+   count per group.  The number of groups is a power of two between half
+   of the set's size and the size, so points of comparable sets have the same or a neighbouring
    resolution, and a finer point folds exactly into a coarser one by adding.
    ``sum(min(a_g, b_g))`` bounds the overlap from above.
 2. *Cells.*  Points lie sparsely in the space of single shingles, so the space
@@ -15,14 +15,16 @@ Two texts link when their sets of distinct ``k``-word shingles have
    common order.  The order puts widely shared shingles last, so a passage
    that many texts hold makes no cell unless a text has little else.  Cells of
    one class vanish; cells with the same members count once.
-3. *Tree links.*  Inside a cell, classes in the tree's packing order are
-   paired with their predecessor and the heads of their nodes (at most a few
-   pairs per class); pairs met in several cells are verified exactly and
+3. *Tree links.*  Inside a cell, each class is paired with its parent in a
+   binary tree over the packing order (one pair per class, mostly the same in
+   every cell); pairs met in several cells are verified exactly and
    contracted.  This merges groups of near copies without listing their pairs.
 4. *R-tree join.*  In every cell that still holds more than one component, an
    R-tree over the members' points is descended with the summed-minima bound;
-   all surviving pairs across components are verified exactly.  So no link
-   between different components is missed, and none inside one is needed.
+   surviving pairs across components are verified exactly: first a few partners
+   per class, then, after contracting again, all pairs of the cells that had
+   more.  So no link between different components is missed, none inside one is
+   needed, and a large group of near copies does not list its pairs.
 
 Nothing depends on the shared-shingle list but speed; it has a fixed maximum
 size.  A cell larger than ``CELL`` members is dealt to salted blocks in step 3
@@ -47,10 +49,10 @@ from quire.llm.components import components
 from quire.llm.wordhash import NON_SPACE, mix, shingles, slices_by_bytes, words
 from quire.session import materialize, ship_package, shuffle_partitions
 
-FREQUENT = 64           # a shingle counted in so many texts goes last
+FREQUENT = 8            # a shingle counted in so many texts goes last
 FREQUENT_MOST = 1 << 20  # ... and at most so many do (8 MB broadcast)
 CELL = 50_000           # members of a cell in one block
-BUCKET = 1 << 20        # cell entries handled by one task
+BUCKET = 1 << 19        # cell entries handled by one task
 FANOUT = 16
 _STEP = 2 << 20
 _SLOTS = 1 << 24
@@ -71,13 +73,34 @@ def _uid(s: np.ndarray) -> bytes | None:
 
 
 def resolution(n: int) -> int:
-    """Groups for a set of n shingles: a power of two, at least 16."""
-    return max(16, 1 << max(0, int(n - 1).bit_length() - 3))
+    """Groups for a set of n shingles: a power of two between half of n and n,
+    at least 16.  So fine a point tells sets apart whose similarity is a little
+    too low, and its counts are small numbers."""
+    return max(16, 1 << max(0, int(n - 1).bit_length() - 1))
 
 
 def point(s: np.ndarray) -> np.ndarray:
     g = resolution(len(s))
-    return np.bincount((s >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g).astype("<u2")
+    return np.bincount((s >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g)
+
+
+def pack_point(counts: np.ndarray) -> bytes:
+    """A point as bytes: a width mark, then its counts in the least width of a
+    half, one or four bytes that holds them all."""
+    top = int(counts.max()) if len(counts) else 0
+    if top < 16:
+        c = counts.astype(np.uint8)
+        return b"\0" + (c[0::2] | (c[1::2] << np.uint8(4))).tobytes()
+    return b"\1" + counts.astype(np.uint8).tobytes() if top < 256 else b"\2" + counts.astype("<u4").tobytes()
+
+
+def unpack_point(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(packed, np.uint8, offset=1)
+    if packed[0] == 0:
+        out = np.empty(2 * len(raw), np.int32)
+        out[0::2], out[1::2] = raw & 15, raw >> 4
+        return out
+    return (raw if packed[0] == 1 else raw.view("<u4")).astype(np.int32)
 
 
 def fold(p: np.ndarray, groups: int) -> np.ndarray:
@@ -111,7 +134,7 @@ def _frequent(docs: DataFrame, k: int) -> DataFrame:
             h, of = np.unique(every, return_inverse=True)
             n = np.zeros(len(h), np.int64)
             np.add.at(n, of, np.concatenate([c for _, c in met]) if met else np.empty(0, np.int64))
-            often = n >= 4
+            often = n > 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h[often].view(np.int64)), pa.array(n[often])], ["h", "n"])
 
@@ -139,7 +162,7 @@ def _signatures(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                     prefix.append(None)
                     continue
                 seen.add(u)
-                points.append(point(s).tobytes())
+                points.append(pack_point(point(s)))
                 if len(last):
                     late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                     s = np.concatenate((s[~late], s[late]))
@@ -157,7 +180,7 @@ def _deal(signed: DataFrame, buckets: int, frequent) -> DataFrame:
     """Cell entries, packed: one row per batch and bucket."""
     def deal(batches):
         hot, hot_n = frequent.value
-        for b in batches:
+        for b in (whole.slice(i, 2000) for whole in batches for i in range(0, whole.num_rows, 2000)):
             prefixes = b.column("prefix").to_pylist()
             uids = np.frombuffer(b"".join(b.column("uid").to_pylist()), dtype="V16")
             sizes = np.array(b.column("n").to_pylist(), dtype=np.uint32)
@@ -201,25 +224,41 @@ def _runs(*sorted_columns) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-def tree_links(m: int) -> np.ndarray:
-    """(later, earlier) places in packing order: each with its predecessor and
-    with the heads of the nodes above it.  At most a few per place."""
-    i = np.arange(1, m)
-    pairs, step = [np.stack([i, i - 1], 1)], FANOUT
-    heads = i
-    while len(heads):
-        up = heads - heads % step
-        pairs.append(np.stack([heads, up], 1)[heads > up])
-        heads = up[(up > 0) & (up == heads)]
-        step *= FANOUT
-    return np.unique(np.concatenate(pairs), axis=0)
+def tree_links(edge: np.ndarray, priority: np.ndarray):
+    """(place, parent) of the binary tree that each run ``edge[i]:edge[i+1]`` of
+    places forms under the places' priorities: a place's parent is the nearer
+    in rank of the next greater priorities to its left and right.  Priorities
+    belong to the classes, so a class mostly has the same parent in every cell,
+    and a cell of m classes gives m - 1 links."""
+    n = len(priority)
+    run = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    left = _next_greater(priority, run)
+    right = n - 1 - _next_greater(priority[::-1], run[::-1])[::-1]
+    left_p = np.where(left >= 0, priority[left], np.uint64(2**64 - 1))
+    right_p = np.where(right < n, priority[np.minimum(right, n - 1)], np.uint64(2**64 - 1))
+    parent = np.where(left_p <= right_p, left, right)
+    child = np.flatnonzero((left >= 0) | (right < n))
+    return child, parent[child]
+
+
+def _next_greater(priority: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """For each place, the nearest one before it in its run with a greater
+    priority, or -1: one walk with a stack."""
+    out, stack, before = [], [], None
+    values = priority.tolist()
+    for i, (p, r) in enumerate(zip(values, run.tolist(), strict=True)):
+        if r != before:
+            stack, before = [], r
+        while stack and values[stack[-1]] < p:
+            stack.pop()
+        out.append(stack[-1] if stack else -1)
+        stack.append(i)
+    return np.array(out, np.int64)
 
 
 def _read_cells(percent: int):
     """A bucket's cells of two classes or more: member rows (one cell for each
     distinct membership) and weighted tree-link rows."""
-    links: dict[int, np.ndarray] = {}
-
     def cells(table: pa.Table) -> pa.Table:
         def col(name, kind):
             return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
@@ -241,7 +280,16 @@ def _read_cells(percent: int):
         cell, salt, blocks, who = cell[once], salt[once], blocks[once], who[once]
         edge = _runs(cell, salt)
         size = np.diff(edge)
-        # a split cell keeps every member (its other blocks are elsewhere)
+        # members lie in size order: one whose neighbours are both too small or too
+        # large for it has no partner in the cell (a split cell keeps every member,
+        # its other blocks being elsewhere)
+        if len(who):
+            n_at = sizes[first][who]
+            close = (cell[1:] == cell[:-1]) & (salt[1:] == salt[:-1]) & (n_at[:-1] * 100 >= n_at[1:] * percent)
+            some = np.concatenate((close, [False])) | np.concatenate(([False], close)) | (blocks > 1)
+            cell, salt, blocks, who = cell[some], salt[some], blocks[some], who[some]
+            edge = _runs(cell, salt)
+            size = np.diff(edge)
         live = np.flatnonzero((size > 1) | (blocks[edge[:-1]] > 1))
         if len(live):
             total = np.add.reduceat(mix(head[first][who]), edge[:-1])[live]
@@ -249,19 +297,13 @@ def _read_cells(percent: int):
             _, pick, back, copies = np.unique(np.where(whole, total, mix(cell[edge[live]] + salt[edge[live]])),
                                               return_index=True, return_inverse=True, return_counts=True)
             live = live[pick]
-        rows, pa_, pb, pw = [], [], [], []
-        for c, w in zip(live, copies if len(live) else (), strict=True):
-            m = size[c]
-            rows.append(np.arange(edge[c], edge[c + 1]))
-            if m > 1:
-                if m not in links:
-                    links[m] = tree_links(m)
-                pair = who[edge[c] + links[m]]
-                pa_.append(pair[:, 0])
-                pb.append(pair[:, 1])
-                pw.append(np.full(len(pair), w))
-        at = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        a, b, w = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (pa_, pb, pw))
+        length = size[live]
+        at = np.repeat(edge[live], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        place = who[at]
+        child, parent = tree_links(np.concatenate(([0], np.cumsum(length))), mix(head[first][place])) if len(at) else (at, at)
+        a = np.maximum(place[child], place[parent])   # the later in packing order
+        b = np.minimum(place[child], place[parent])
+        w = np.repeat(copies if len(live) else length, length)[child]
         n = sizes[first]
         fits = n[b] * 100 >= n[a] * percent          # a is the larger or equal one
         a, b, w = a[fits], b[fits], w[fits]
@@ -336,45 +378,120 @@ class CountRTree:
         return q, node
 
 
-def cell_pairs(points: list, sizes: np.ndarray, label: np.ndarray, percent: int):
-    """Pairs of different labels within one cell that pass the bound."""
+def _near_pairs(tree: CountRTree, sizes: np.ndarray, label: np.ndarray, count: int):
+    """Passing pairs of different labels among neighbours in packing order, for
+    the first ``count`` points."""
+    q, p = [], []
+    for d in range(1, FANOUT + 1):
+        i = np.arange(min(count, len(sizes) - d))
+        i = i[label[i] != label[i + d]]
+        i = i[tree._passes(i, sizes[i], i + d, 0)]
+        q.append(i)
+        p.append(i + d)
+    return np.concatenate(q), np.concatenate(p)
+
+
+def _at_most(q: np.ndarray, p: np.ndarray, limit: int):
+    """At most ``limit`` pairs per query, and the queries that had more."""
+    order = np.lexsort((p, q))
+    q, p = q[order], p[order]
+    nth = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[nth < limit], p[nth < limit], len(q) > 0 and bool((nth >= limit).any())
+
+
+def cell_pairs(points: list, sizes: np.ndarray, label: np.ndarray, percent: int, limit: int | None = None):
+    """(a, b, cut): pairs of different labels within one cell that pass the
+    bound.  With ``limit``, at most so many partners per point, first from its
+    neighbours in packing order; ``cut`` tells whether any were left out."""
     groups = np.array([len(p) for p in points])
     order = np.argsort(sizes, kind="stable")
     for g in np.unique(groups):
         mine = order[groups[order] == g]
-        finer = order[groups[order] == 2 * g]
-        at = np.concatenate((mine, finer))
-        coarse = [np.stack([points[i] for i in part]).astype(np.int32) for part in (mine, finer) if len(part)]
-        tree = CountRTree(np.concatenate([fold(c, g) for c in coarse]), sizes[at], percent)
-        queries, nq = np.stack([points[i] for i in mine]).astype(np.int32), sizes[mine]
-        for i in range(0, len(mine), 512):
-            q, p = tree.join(queries[i:i + 512], nq[i:i + 512])
-            a, b = mine[q + i], at[p]
-            ok = (label[a] != label[b]) & ((p > q + i))
-            yield a[ok], b[ok]
-
-
-def _join_cells(percent: int):
+        at = np.concatenate((mine, order[groups[order] == 2 * g]))
+        coarse = [np.stack([points[i] for i in part]).astype(np.int32) for part in (mine, at[len(mine):]) if len(part)]
+        every = np.concatenate([fold(c, g) for c in coarse])
+        tree = CountRTree(every, sizes[at], percent)
+        tree.queries = every
+        todo, cut = np.arange(len(mine)), False
+        if limit and len(at) > FANOUT:
+            q, p, cut = _at_most(*_near_pairs(tree, sizes[at], label[at], len(mine)), limit)
+            full = np.bincount(q, minlength=len(mine)) >= limit
+            cut = cut or bool(full.any())
+            yield at[q], at[p], cut
+            todo = todo[~full]
+        for i in range(0, len(todo), 256):
+            mine_now = todo[i:i + 256]
+            q, p = tree.join(every[mine_now], sizes[at][mine_now])
+            q = mine_now[q]
+            ok = (label[at[q]] != label[at[p]]) & (p > q)
+            q, p, more = _at_most(q[ok], p[ok], limit) if limit else (q[ok], p[ok], False)
+            yield at[q], at[p], more
+
+
+def _small_cells(percent, edge, order, size, label, points):
+    """Passing pairs of all cells no larger than a leaf, together."""
+    length = np.diff(edge)
+    pairs = [np.empty((0, 2), np.int64)]
+    for m in range(2, FANOUT + 1):
+        start = edge[:-1][length == m]
+        i, j = np.triu_indices(m, 1)
+        pairs.append(np.stack([order[start[:, None] + i].ravel(), order[start[:, None] + j].ravel()], 1))
+    a, b = np.concatenate(pairs).T
+    swap = size[a] > size[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    ok = (label[a] != label[b]) & (size[a] * 100 >= size[b] * percent)
+    a, b = a[ok], b[ok]
+    groups = np.array([len(p) for p in points], dtype=np.int64)
+    out = []
+    for g in np.unique(groups[a]) if len(a) else ():
+        x, y = a[groups[a] == g], b[groups[a] == g]
+        for i in range(0, len(x), step := max(1, _STEP // (4 * g))):
+            p = np.stack([points[k] for k in x[i:i + step]]).astype(np.int32)
+            q = np.stack([points[k].reshape(-1, g).sum(0) for k in y[i:i + step]]).astype(np.int32)
+            need = percent * (size[x[i:i + step]] + size[y[i:i + step]])
+            ok = (100 + percent) * np.minimum(p, q).sum(1) >= need
+            out.append(np.stack([x[i:i + step][ok], y[i:i + step][ok]], 1))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+
+def _join_cells(percent: int, limit: int | None):
+    """A part's cells: pairs (a, b) across components that pass the bound; with
+    ``limit``, also the cells (a row of their own) that had more."""
     def joined(table: pa.Table) -> pa.Table:
-        uid = np.array(table.column("uid").to_pylist(), dtype=object)
-        _, label = np.unique(np.array(table.column("root").to_pylist(), dtype="S16"), return_inverse=True)
-        points = [np.frombuffer(p, "<u2") for p in table.column("point").to_pylist()]
+        uid, who = np.unique(np.array(table.column("uid").to_pylist(), dtype="V16"), return_inverse=True)
+        _, label = np.unique(np.array(table.column("root").to_pylist(), dtype="V16"), return_inverse=True)
+        points = [unpack_point(p) for p in table.column("point").to_pylist()]
         size = table.column("n").to_numpy().astype(np.int64)
         cell, lo, hi, salt = (table.column(c).to_numpy() for c in ("cell", "lo", "hi", "salt"))
         order = np.lexsort((hi, lo, cell))
         edge = _runs(cell[order], lo[order], hi[order])
-        found = set()
-        for i, j in zip(edge[:-1], edge[1:], strict=True):
-            at = order[i:j]
+        small = np.diff(edge) <= FANOUT
+        # one block of a split cell may be small too, but must keep its blocks apart
+        small &= (lo[order] == hi[order])[edge[:-1]] if len(order) else small
+        found, cut_cells = [np.empty((0, 2), np.int64)], []
+        keep = np.flatnonzero(small)
+        if len(keep):
+            lengths = np.diff(edge)[keep]
+            rows = np.concatenate([order[edge[k]:edge[k + 1]] for k in keep])
+            found.append(_small_cells(percent, np.concatenate(([0], np.cumsum(lengths))), rows, size, label, points))
+        for k in np.flatnonzero(~small):
+            at = order[edge[k]:edge[k + 1]]
             if len(np.unique(label[at])) < 2:
                 continue
-            for a, b in cell_pairs([points[x] for x in at], size[at], label[at], percent):
+            for a, b, cut in cell_pairs([points[x] for x in at], size[at], label[at], percent, limit):
                 a, b = at[a], at[b]
                 across = (salt[a] != salt[b]) | (lo[a] == hi[a])
-                for x, y in zip(uid[a[across]], uid[b[across]], strict=True):
-                    found.add((x, y) if x < y else (y, x))
-        cols = list(zip(*found, strict=True)) or [[], []]
-        return pa.table({"a": pa.array(cols[0], pa.binary()), "b": pa.array(cols[1], pa.binary())})
+                found.append(np.stack([a[across], b[across]], 1))
+                if cut:
+                    cut_cells.append(cell[at[0]])
+        a, b = who[np.concatenate(found)].T
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        pair = pair[pair[:, 0] != pair[:, 1]]
+        more = np.unique(np.array(cut_cells, np.int64))
+        ids = lambda x: pa.concat_arrays([pa.array([uid[i].tobytes() for i in x], pa.binary()),
+                                          pa.nulls(len(more), pa.binary())])
+        return pa.table({"a": ids(pair[:, 0]), "b": ids(pair[:, 1]),
+                         "cell": pa.concat_arrays([pa.nulls(len(pair), pa.int64()), pa.array(more)])})
 
     return joined
 
@@ -412,8 +529,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else [], pa.int64()))],
                 ["uid", "s"])
 
-    sets = materialize(docs.mapInArrow(chosen, "uid binary, s array<long>")
-                       .groupBy("uid").agg(F.first("s").alias("s")), "sets")
+    # both joins read the sets through the exchange of this grouping, made once
+    sets = docs.mapInArrow(chosen, "uid binary, s array<long>").groupBy("uid").agg(F.first("s").alias("s"))
     both = (pairs.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b"))
     shared_n = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -421,6 +538,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return materialize(links.select("a", "b"), "links")
 
 
+def _follow(roots: DataFrame, later: DataFrame) -> DataFrame:
+    """Nodes' roots after their roots have been joined."""
+    nxt = later.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    moved = roots.join(nxt, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return moved.unionByName(later.join(roots, "node", "left_anti"))
+
+
 # ---- the operator ----------------------------------------------------------
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
@@ -448,22 +572,35 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     links = _verify(near, docs, k, percent)
     roots = materialize(components(links), "roots")
 
-    labelled = (members.join(roots.withColumnRenamed("node", "uid"), "uid", "left")
-                .withColumn("root", F.coalesce("root", "uid")))
-    mixed = labelled.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    points = signed.where("point is not null").groupBy("uid").agg(F.first("n").alias("n"), F.first("point").alias("point"))
-    rest = materialize(labelled.join(mixed.select("cell"), "cell", "left_semi"), "mixed")
-    rows = rest.count()
-    if rows:
-        parts = max(shuffle_partitions(spark), rows // 100_000 + 1)
-        pairs = (rest.join(points, "uid")
+    points = materialize(signed.where("point is not null").groupBy("uid").agg(
+        F.first("n").alias("n"), F.first("point").alias("point")), "points")
+    # first with few partners per class, which joins what is left of the groups
+    # of near copies; then every pair of the cells that had more
+    for limit in (3, None):
+        labelled = (members.join(roots.withColumnRenamed("node", "uid"), "uid", "left")
+                    .withColumn("root", F.coalesce("root", "uid")))
+        mixed = labelled.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        rest = materialize(labelled.join(mixed.select("cell", "x"), "cell"), "mixed")
+        rows = rest.count()
+        if not rows:
+            break
+        parts = max(shuffle_partitions(spark), rows // 20_000 + 1)
+        found = (rest.join(points, "uid")
                  .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                  .select("cell", F.least("salt", "with").alias("lo"), F.greatest("salt", "with").alias("hi"),
-                         "salt", "uid", "root", "n", "point")
-                 .withColumn("part", F.pmod(F.xxhash64("cell", "lo", "hi"), F.lit(parts)))
-                 .groupBy("part").applyInArrow(_join_cells(percent), "a binary, b binary"))
-        links = links.unionByName(_verify(pairs, docs, k, percent))
-        roots = materialize(components(links), "roots")
+                         "salt", "uid", "root", "n", "point", "x")
+                 # cells of one group meet in a few parts, where a pair is listed once
+                 .withColumn("part", F.pmod(F.xxhash64("x", F.pmod("cell", F.lit(8)), "lo", "hi"), F.lit(parts)))
+                 .drop("x")
+                 .groupBy("part").applyInArrow(_join_cells(percent, limit), "a binary, b binary, cell long"))
+        found = materialize(found, "found")
+        # the links between components, as links between their roots
+        of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        late = (_verify(found.where("cell is null").select("a", "b"), docs, k, percent)
+                .join(of("a"), "a", "left").join(of("b"), "b", "left")
+                .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+        roots = materialize(_follow(roots, materialize(components(late), "roots")), "roots")
+        members = members.join(found.where("cell is not null").select("cell").distinct(), "cell", "left_semi")
 
     least = (signed.where("uid is not null").groupBy("uid").agg(F.min("key").alias("least"))
              .join(roots.withColumnRenamed("node", "uid"), "uid", "left")

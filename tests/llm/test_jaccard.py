@@ -99,8 +99,10 @@ def test_rtree_join_misses_nothing():
     sets += [np.unique(np.concatenate((s[:int(len(s) * 0.92)], s[:0]))) for s in sets[:40]]
     sizes = np.array([len(s) for s in sets])
     found = set()
-    for a, b in jj.cell_pairs([jj.point(s) for s in sets], sizes, np.arange(len(sets)), 80):
+    points = [jj.point(s) for s in sets]
+    for a, b, cut in jj.cell_pairs(points, sizes, np.arange(len(sets)), 80):
         found |= {(min(x, y), max(x, y)) for x, y in zip(a, b)}
+        assert not cut
     for i in range(len(sets)):
         for j in range(i):
             c = len(np.intersect1d(sets[i], sets[j]))
@@ -109,7 +111,9 @@ def test_rtree_join_misses_nothing():
     assert len(found) < 300
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [1 << 20, 100])
+def test_components(spark, monkeypatch, block):
+    monkeypatch.setattr("quire.llm.components.BLOCK", block)
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(300)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(300)]
     links += [(1000, n) for n in range(1001, 1100)] + [(5, 5)]
@@ -117,3 +121,22 @@ def test_components(spark):
     want = roots({x for p in links for x in p}, links)
     assert got == {n: r for n, r in want.items() if n in got}
     assert all(n in got for p in links if p[0] != p[1] for n in p)
+
+
+def test_limited_join_says_what_it_cut():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[:290], rng.integers(0, 1 << 63, 10).astype(np.uint64)))) for _ in range(200)]
+    sizes = np.array([len(s) for s in sets])
+    got = list(jj.cell_pairs([jj.point(s) for s in sets], sizes, np.arange(200), 80, limit=3))
+    assert any(cut for _, _, cut in got) and 200 <= sum(len(a) for a, _, _ in got) <= 600
+    assert len(set(roots(range(200), [(x, y) for a, b, _ in got for x, y in zip(a, b)]).values())) == 1
+
+
+def test_points_pack_in_any_width():
+    for top in (3, 15, 16, 255, 256, 70_000):
+        c = np.arange(16) * top // 15
+        assert np.array_equal(jj.unpack_point(jj.pack_point(c)), c)
+    a = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 900).astype(np.uint64))
+    p = jj.point(a)
+    assert p.sum() == len(a) and np.array_equal(jj.fold(p[None], len(p) // 4)[0], p.reshape(4, -1).sum(0))
