@@ -590,7 +590,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
                  .select("cell", F.least("salt", "with").alias("lo"), F.greatest("salt", "with").alias("hi"),
                          "salt", "uid", "root", "n", "point", "x")
                  # cells of one group meet in a few parts, where a pair is listed once
-                 .withColumn("part", F.pmod(F.xxhash64("x", F.pmod("cell", F.lit(8)), "lo", "hi"), F.lit(parts)))
+                 .withColumn("part", F.pmod(F.xxhash64("x", F.pmod("cell", F.lit(4)), "lo", "hi"), F.lit(parts)))
                  .drop("x")
                  .groupBy("part").applyInArrow(_join_cells(percent, limit), "a binary, b binary, cell long"))
         found = materialize(found, "found")
