@@ -163,3 +163,22 @@ def test_scores_prefer_the_corpus_order_and_edges(spark):
     assert (by[902].n_tokens, by[902].log_prob, by[902].mean_log_prob) == (0, 0.0, None) and by[903].n_tokens == 0
     assert pl.pseudo_likelihood(docs.limit(0)).count() == 0
     assert abs(by[900].mean_log_prob * by[900].n_tokens - by[900].log_prob) < 1e-6
+
+
+def test_every_counted_word_has_its_own_share(spark):
+    many = [f"w{i}" for i in range(pl.WORDS + 500)]
+    rows = [(i, " ".join(many[j:j + 400])) for i, j in enumerate(list(range(0, len(many), 400)) * 6)]
+    rows += [(10_000 + i, "w1 w2 often w3 w4") for i in range(5)] + [(20_000, "w1 w2 once w3 w4")]
+    got = {r.doc_id: r.log_prob for r in pl.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[10_000] > got[20_000] + 0.5
+    sizes = [pl.class_count(n) for n in (10, 10**5, 10**6, 10**8)]
+    assert sizes[0] == pl.CLASSES and sizes == sorted(set(sizes))
+
+
+def test_second_neighbours_count(spark):
+    import random
+    rng, pairs = random.Random(5), [("red", "apple"), ("blue", "berry"), ("green", "leaf")]
+    rows = [(i, " ".join(f"{a} of {b} and then" for a, b in rng.choices(pairs, k=12))) for i in range(300)]
+    rows += [(900, "so red of apple and then"), (901, "so red of berry and then")]
+    got = {r.doc_id: r.log_prob for r in pl.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[900] > got[901] + 1
