@@ -48,8 +48,9 @@ WIDE = {
     "card": BASE["card"],
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,5}\)?(?:[\x20./-][0-9]{2,5}){2,4}",
 }
-#: what a text must hold before a pattern is run over it
-HINT = {"email": r"[@\(\[](?:[A-Za-z0-9]|at[\)\]])", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]",
+#: what a text must hold before a pattern is run over it; every span of BASE that
+#: passes its check and every match of WIDE holds it
+HINT = {"email": r"[@\(\[](?:[A-Za-z0-9-]|at[\)\]])", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]",
         "phone": r"[0-9][\x20().0-9/-]{3}"}
 GAZETTEER = {
     "email": r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$",

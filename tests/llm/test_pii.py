@@ -105,3 +105,11 @@ def test_redact(spark, text, want):
     d = pii.pii_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep=("text",))
     got = d.select(pii.redact(F.col("text"), F.col("spans")).alias("t")).first().t
     assert got == want if want is not None else "1111" not in got
+
+
+def test_a_domain_may_begin_with_a_hyphen(spark):
+    texts = ["write to ann@-mail.example.com today", "a@-.-", "x@--b.c-d, y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.base] for r in pii.pii_spans(docs).collect()}
+    assert got == {i: base(t) for i, t in enumerate(texts)} and all(got.values())
+    assert re.search(pii.HINT["email"], "ann (at)-mail.example") and re.search(pii.HINT["email"], "ann[at]-mail")
