@@ -16,7 +16,7 @@ from quire.llm.inverted_index import contamination
 from quire.llm.jaccard_join import jaccard_classes
 from quire.llm.packing import pack_tokens
 from quire.llm.pii import pii_spans, redact
-from quire.llm.quality import quality_rules
+from quire.llm.quality import kept_documents
 from quire.session import materialize
 
 #: Expectation-maximisation, near-duplicate components and tokenising are not
@@ -40,10 +40,8 @@ def _among(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    verdicts = quality_rules(docs)
-    bad = verdicts.where(~F.col("kept")).select(F.col("source").alias("bad_source"), F.col("digest").alias("bad_digest")).distinct()
-    return docs.join(bad, docs["source"].eqNullSafe(bad["bad_source"]) & (_digest(docs) == bad["bad_digest"]), "left_anti")
+    """Documents that the quality rules keep, without their lines above the limit."""
+    return kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ costs n log n.
 one space, trimmed, digit runs to one ``0``) and hashed with its host.  Each
 line counts once per distinct text of a host, so copies of one text do not make
 its lines boilerplate.  A line above the host's limit -- more than
-``max(least, share * distinct texts of the host)`` texts -- is removed, and a
-text is *depleted* when fewer than ``min_words`` words, or less than
+``max(least, share * distinct texts of the host)`` texts -- is removed
+(``kept_documents`` gives the texts without such lines), and a text is *depleted* when fewer than ``min_words`` words, or less than
 ``left_share`` of them, remain.
 
 Verdicts belong to (host, text), so no row identity is needed: the measured
@@ -105,20 +105,23 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
                   min_words: int = 20, repeat_percent: int = 30, share: float = 0.2,
                   least: int = 20, left_share: float = 0.3) -> DataFrame:
     """Per row: ``key``, ``host``, digest (MD5 of the text), the measures,
-    base_failed, n_line_words (words in removed lines), kept."""
+    base_failed, n_line_words (words in removed lines), kept, and removed (the
+    removed lines' places among the text's lines with words; null if none), which
+    ``without_lines`` takes."""
     measured = materialize(measures(docs, key, text, host), "measured")
     texts = measured.select("host", "digest", "lines").groupBy("host", "digest").agg(
         F.first("lines").alias("lines"))
     texts = materialize(texts, "texts")
     hosts = texts.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("texts"))
-    lines = texts.select("host", "digest", F.explode("lines").alias("l")).select(
-        "host", "digest", "l.line", "l.n")
+    lines = texts.select("host", "digest", F.posexplode("lines").alias("at", "l")).select(
+        "host", "digest", "at", "l.line", "l.n")
     above = (texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda l: l["line"]))).alias("line"))
              .groupBy("host", "line").agg(F.count("*").alias("held")).where(F.col("held") > least)
              .join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("held") > share * F.col("texts"))
              .select("line"))
-    removed = (lines.join(above, "line").groupBy("host", "digest").agg(F.sum("n").alias("gone")))
-    r = removed.select(F.col("host").alias("r_host"), F.col("digest").alias("r_digest"), "gone")
+    gone_lines = lines.join(above, "line").groupBy("host", "digest").agg(
+        F.sum("n").alias("gone"), F.collect_list("at").alias("removed"))
+    r = gone_lines.select(F.col("host").alias("r_host"), F.col("digest").alias("r_digest"), "gone", "removed")
     out = measured.drop("lines").join(
         r, F.col("host").eqNullSafe(F.col("r_host")) & (F.col("digest") == F.col("r_digest")), "left")
     gone = F.coalesce("gone", F.lit(0)).cast("long")
@@ -128,4 +131,32 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
     return (out.withColumn("n_line_words", gone).withColumn("base_failed", failed)
             .withColumn("kept", ~F.col("base_failed") & ~depleted)
             .select(F.col("key").alias(key), F.col("host").alias(host), "digest", "n_words", "word_chars",
-                    "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept"))
+                    "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept", "removed"))
+
+
+def without_lines(text: Column, removed: Column) -> Column:
+    """``text`` without the lines at these places among its lines with words."""
+    def rest(lines: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        worded = F.filter(every, lambda i: F.get(lines, i).rlike(A_WORD))
+        left = let(worded, lambda w: F.array_except(every, F.transform(removed, lambda i: F.get(w, i))))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    return F.when(removed.isNull(), text).otherwise(let(F.split(text, "\n", -1), rest))
+
+
+def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
+                   length: str = "n_chars") -> DataFrame:
+    """The rows that the rules keep, with the lines above the limit taken out of
+    ``text`` and ``length`` counted anew where a line went; all other columns stay."""
+    verdicts = quality_rules(docs, key, text, host).where(~F.col("kept") | F.col("removed").isNotNull())
+    # one row for each (host, text): all rows of a text have the same verdict
+    v = verdicts.select(F.col(host).alias("v_host"), F.col("digest").alias("v_digest"), F.col("kept").alias("v_kept"),
+                        F.array_sort("removed").alias("v_removed")).dropDuplicates(["v_host", "v_digest"])
+    digest = F.unhex(F.md5(F.coalesce(docs[text], F.lit(""))))
+    found = docs.join(v, docs[host].eqNullSafe(v["v_host"]) & (digest == v["v_digest"]), "left").where(
+        F.coalesce("v_kept", F.lit(True)))
+    changed = F.col("v_removed").isNotNull()
+    found = found.withColumn(text, without_lines(F.col(text), F.col("v_removed")))
+    return found.withColumn(length, F.when(changed, F.length(text).cast(docs.schema[length].dataType))
+                            .otherwise(F.col(length))).select(docs.columns)

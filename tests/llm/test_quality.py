@@ -58,3 +58,21 @@ def test_boilerplate_copies_and_edges(spark):
     by = {r[0]: r for r in want}
     assert by[5][7] and not by[105][7] and by[205][7]  # header removed; depleted; copies stay
     assert quality_rules(docs.limit(0)).count() == 0
+
+
+def test_lines_above_the_limit_leave_the_text(spark):
+    import corpus_pipeline as P
+    letters = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    long = " ".join("w" + letters(i) for i in range(30))
+    own = lambda i: f"{long} x{letters(i)} y"
+    rows = [(i, f"\n Site  header {i}\n\n{own(i)}\nsite HEADER 7\n", "en", "a") for i in range(60)]
+    rows += [(100 + i, "Site header 7 " + "z" * i + "\n" + own(i), "en", "b") for i in range(15)]
+    rows += [(200 + i, "\n Site  header 3\n\n" + own(3), None, None) for i in range(40)]
+    rows += [(0, rows[0][1], "en", "a"), (300, "Site header 1\nshort " + own(1)[:40], "en", "a")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars int")
+    got = P.quality(spark, docs, "")
+    assert got.schema == docs.schema
+    want = [(i, f"\n\n{own(i)}\n", "en", "a") for i in [*range(60), 0]] + rows[60:115]
+    assert sorted(tuple(r) for r in got.fillna("", ["lang", "source"]).collect()) == sorted(
+        (i, t, lang or "", s or "", len(t)) for i, t, lang, s in want)
