@@ -1,40 +1,49 @@
 """Global order without a single-partition window.
 
-``with_positions`` numbers rows 0..n-1 by order keys.  Spark's range partitioner
-deals the rows to ordered partitions once, each sorts its own, and the result is
-written to the scratch folder with each row's place in its partition (the low 33
-bits of ``monotonically_increasing_id``).  Reading it back, one count per
-partition gives the offsets -- a table of as many rows as partitions -- and a
-position is offset + place.  Everything after the write reads the same files, so
-every branch of a plan and every retried task sees one order, ties included.
-
-The data moves through one shuffle and no window; a range partition is one
-task's sort, so their number follows the data (``ROWS_PER_PARTITION``).
+``with_positions`` numbers rows 0..n-1 by order keys.  The input is evaluated
+once: it is written to the scratch folder, and the count, the sample of the
+range partitioner and the shuffle all read that table.  Spark's range
+partitioner deals the rows to ordered partitions, each sorts its own, and the
+result is written with each row's place in its partition (the low 33 bits of
+``monotonically_increasing_id``).  One count per partition gives the offsets --
+a table of as many rows as partitions -- and a position is offset + place.
+Everything after the write reads the same files, so every branch of a plan and
+every retried task sees one order, ties included.
+
+Rows of equal keys are told apart by the place they were written at, which is
+part of the range keys: a key that a third of the rows share is dealt to a third
+of the ranges.  The data moves through one shuffle and no window; a range
+partition is one task's sort, so their number follows the data
+(``ROWS_PER_PARTITION``).
+
+``number_in_input_order`` numbers rows as they were read.  A split of an input
+file is read by one task from its start to its end, so one count per split,
+summed up in input order, places every row: no sort and no shuffle of the rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quire.session import materialize as _materialize, shuffle_partitions
+from quire.session import materialize, shuffle_partitions
 
 ROWS_PER_PARTITION = 1_000_000
+BROADCAST_SPLITS = 1 << 17   # more splits than this (some 20 MB) are joined by a shuffle
 _PLACE_BITS = 33
 
 
 def with_positions(df: DataFrame, order_cols: list[str], name: str = "pos",
-                   n_partitions: int | None = None, materialize: bool = False) -> DataFrame:
+                   n_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row in ``order_cols`` order
     (nulls first).  Equal keys get adjacent positions in an order fixed once,
-    when the ranges are written; add columns to settle it.  ``materialize=True``
-    writes an expensive input before the count that sizes the ranges."""
-    if materialize:
-        df = _materialize(df, "positions-input")
+    when the input is written; add columns to settle it."""
     spark = df.sparkSession
-    n = n_partitions or max(shuffle_partitions(spark), -(-df.count() // ROWS_PER_PARTITION))
-    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    written = materialize(df.withColumn("__tie", F.monotonically_increasing_id()), "positions-input")
+    n = n_partitions or max(shuffle_partitions(spark), -(-written.count() // ROWS_PER_PARTITION))
+    keys = [*order_cols, "__tie"]
+    ranged = (written.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("__tie")
               .withColumn("__place", F.monotonically_increasing_id()))
-    ranged = _materialize(ranged, "positions")
+    ranged = materialize(ranged, "positions")
     part = F.shiftright("__place", _PLACE_BITS)
     counts = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(  # one row per range partition
@@ -45,6 +54,33 @@ def with_positions(df: DataFrame, order_cols: list[str], name: str = "pos",
             .drop("__part", "__place", "__off"))
 
 
+def number_in_input_order(df: DataFrame, split_cols: list[str], name: str = "pos") -> DataFrame:
+    """Add ``name`` = 0-based position of each row, splits in ``split_cols``
+    order, rows of a split as they were read.
+
+    ``df`` must come from its scans by narrow steps only, each split (one value
+    of ``split_cols``) whole in one task.  It is evaluated once, while it is
+    written; a split that is in two tasks after all fails the job."""
+    written = materialize(df.withColumn("__place", F.monotonically_increasing_id()), "input-order")
+    splits = written.groupBy(*split_cols).agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__lo"),
+                                              F.max("__place").alias("__hi"))
+    before = Window.orderBy(*split_cols).rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    torn = F.col("__hi") - F.col("__lo") + 1 != F.col("__n")
+    splits = splits.select(
+        *[F.col(c).alias(f"__{c}") for c in split_cols],
+        F.when(torn, F.raise_error(F.lit("a split was read by more than one task")).cast("long")).otherwise(
+            F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__lo")).alias("__shift"))
+    splits = materialize(splits, "input-splits")
+    if splits.count() <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in split_cols]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return (written.join(splits, on).withColumn(name, (F.col("__place") + F.col("__shift")).cast("long"))
+            .drop("__place", "__shift", *[f"__{c}" for c in split_cols]))
+
+
 def take_prefix(df: DataFrame, n: int, pos_col: str = "pos") -> DataFrame:
     """First n rows in position order (W2): a pushed-down filter, not a limit."""
     return df.where(F.col(pos_col) < F.lit(n))

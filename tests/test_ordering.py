@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators.ordering import (assign_batches, epoch_order, prefix_series, take_prefix,
-                                      with_positions)
+                                      number_in_input_order, with_positions)
+from quire.operators.fold import block_states
 
 
 def test_positions_match_sorted_order_for_any_partitioning(spark):
@@ -22,7 +24,7 @@ def test_positions_match_sorted_order_for_any_partitioning(spark):
 def test_positions_string_keys_and_materialize(spark):
     words = ["b", "a", "é", "Z", "aa", "", "zz", "ab"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    got = [r.w for r in with_positions(df, ["w"], n_partitions=3, materialize=True).orderBy("pos").collect()]
+    got = [r.w for r in with_positions(df, ["w"], n_partitions=3).orderBy("pos").collect()]
     assert got == sorted(words, key=lambda s: s.encode("utf-8"))
 
 
@@ -67,3 +69,64 @@ def test_positions_of_equal_keys_and_a_dominant_source(spark):
     assert by_rank.agg(F.min("pos"), F.max("pos")).first() == (0, 39999)
     both = with_positions(df, ["rank", "doc_id"], n_partitions=16)
     assert both.where("rank = 0").agg(F.max("pos")).first()[0] == 23999
+
+
+def counted_rows(spark, n, columns="id"):
+    """A Python source of n rows and the count of rows it has produced."""
+    made = spark.sparkContext.accumulator(0)
+
+    def produce(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return spark.range(0, n, 1, 4).mapInArrow(produce, "id long"), made
+
+
+def test_an_input_is_evaluated_once(spark):
+    df, made = counted_rows(spark, 1000)
+    got = with_positions(df.withColumn("k", -F.col("id")), ["k"])
+    assert [r.id for r in got.orderBy("pos").collect()] == list(range(999, -1, -1))
+    assert got.agg(F.sum("pos")).first()[0] == 999 * 500
+    assert made.value == 1000
+    df, made = counted_rows(spark, 1000)
+    got = number_in_input_order(df.withColumn("part", F.spark_partition_id()), ["part"])
+    assert [r.id for r in got.orderBy("pos").collect()] == list(range(1000))
+    assert got.count() == 1000 and made.value == 1000
+
+
+def test_equal_keys_are_spread_over_ranges(spark):
+    df = spark.range(0, 100_000, 1, 8).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    got = with_positions(df, ["k"], n_partitions=16)
+    files = sorted(set(got.inputFiles()))
+    rows = [spark.read.parquet(f).count() for f in files]
+    assert len(rows) >= 15 and max(rows) < 10_000
+    assert got.select("pos").distinct().count() == 100_000
+
+
+def test_input_order_moves_no_rows_and_refuses_torn_splits(spark):
+    df = spark.range(0, 500, 1, 5).select("id", (4 - F.spark_partition_id()).alias("split"), F.lit("x").alias("text"))
+    got = number_in_input_order(df, ["split"])
+    assert [r.id // 100 for r in got.orderBy("pos").collect()] == [4] * 100 + [3] * 100 + [2] * 100 + [1] * 100 + [0] * 100
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+    torn = spark.range(0, 500, 1, 5).select("id", (F.col("id") % 2).alias("split"))
+    with pytest.raises(Exception, match="more than one task"):
+        number_in_input_order(torn, ["split"]).count()
+    assert number_in_input_order(df.where("id < 0"), ["split"]).count() == 0
+
+
+def test_fold_gives_every_block_its_state_at_any_fan(spark):
+    # maps x -> a * x + b modulo a prime, which do not commute
+    p = 10_007
+    maps = [((i * 37 + 5) % p, (i * 91 + 1) % p) for i in range(150)]
+    df = spark.createDataFrame([(i, list(m)) for i, m in enumerate(maps)], "block long, map array<long>").repartition(5)
+    expected, x = [], 12
+    for a, b in maps:
+        expected.append(x)
+        x = (a * x + b) % p
+    for fan in (7, 1024):
+        got = block_states(df, 150, [12], lambda f, g: [f[0] * g[0] % p, (g[0] * f[1] + g[1]) % p],
+                           lambda f, s: [(f[0] * s[0] + f[1]) % p], fan=fan)
+        assert [r.state[0] for r in got.orderBy("block").collect()] == expected
+    assert block_states(df.where("block < 0"), 0, [1], max, max).count() == 0
