@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import langid, toxicity
+from quire.llm import langid, secret_scan, toxicity
 from quire.llm.inverted_index import contamination
 from quire.llm.jaccard_join import jaccard_classes
 from quire.llm.packing import pack_tokens
@@ -233,3 +233,12 @@ def op9(spark, sf_dir):
 @register("op5_lm_scoring")
 def op5(spark, sf_dir):
     return pseudo_likelihood(read(spark, sf_dir, "documents"))
+
+
+@register("op11_secret_scan")
+def op11(spark, sf_dir):
+    found = secret_scan.secret_spans(read(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[of_kind(k) for k in secret_scan.BASE_KINDS],
+                        F.sha2(secret_scan.span_list(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.span_list(F.col("spans")).alias("spans"))
