@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import langid, secret_scan, toxicity
+from quire.llm import conversation_repair as repair, langid, secret_scan, toxicity
 from quire.llm.divergence import source_divergence
 from quire.llm.inverted_index import contamination
 from quire.llm.jaccard_join import jaccard_classes
@@ -15,7 +15,7 @@ from quire.llm.quality import quality_rules
 from quire.llm.registry import read, register
 from quire.llm.token_counts import token_counts
 from quire.llm.warc import resolve_revisits
-from quire.session import scratch_path
+from quire.session import materialize, scratch_path
 
 
 @register("op2_packing")
@@ -280,3 +280,89 @@ FROM r WHERE part = 'pair' OR rank <= 10
 @register("op13_source_divergence", DIVERGENCE_SQL)
 def op13(spark, sf_dir):
     return source_divergence(read(spark, sf_dir, "documents"))
+
+
+def _step_sql(state: int) -> str:
+    """The cheapest (cost, audit, text) of a row in a state, before insertions."""
+    after = ["v2", "v2", "v3", "v2"][state]
+    name = "assistant" if state == 2 else "user"
+    keeps = {0: "WHEN 's' THEN v1 WHEN 'u' THEN v2", 1: "WHEN 'u' THEN v2", 2: "WHEN 'a' THEN v3", 3: "WHEN 'u' THEN v2"}[state]
+    keep = f"(CASE left(x.role, 1) {keeps} END)"
+    line = "chr(10) || x.role || ':' || x.text"
+    return f"""list_min(list_filter([
+      {{'c': 4 + v{state}.c, 'e': 'D' || v{state}.e, 't': v{state}.t}},
+      CASE WHEN NOT gone THEN {{'c': extra + {keep}.c, 'e': 'K' || {keep}.e, 't': {line} || {keep}.t}} END,
+      CASE WHEN NOT gone THEN {{'c': 3 + extra + {after}.c, 'e': 'R' || {after}.e, 't': chr(10) || '{name}:' || x.text || {after}.t}} END
+      ], lambda y: y.c IS NOT NULL))"""
+
+
+def _insert_sql(v: str, w: str, name: str) -> str:
+    return f"list_min([{v}, {{'c': 3 + {w}.c, 'e': 'I' || {w}.e, 't': chr(10) || '{name}:' || {w}.t}}])"
+
+
+REPAIR_SQL = rf"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM (SELECT unnest(range(256)) AS n)),
+h AS MATERIALIZED (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda z: ascii(z)::BIGINT)),
+             lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 20 AS h
+  FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations), crc),
+d AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM h WHERE h <> 0),
+o AS MATERIALIZED (
+  SELECT dense_rank() OVER (ORDER BY conv_id) AS cid, *,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM d),
+f AS MATERIALIZED (
+  SELECT *, CASE WHEN bare = '' THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY cid ORDER BY i) || left(role, 1) AS met,
+         max(i) OVER (PARTITION BY cid) AS n
+  FROM o),
+x AS MATERIALIZED (
+  SELECT cid, i, role, text, fault IS NOT NULL AND fault <> 'truncated' AS gone,
+         CASE WHEN fault IS NOT NULL AND fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM f),
+r(cid, i, v0, v1, v2, v3) AS (
+  SELECT cid, max(i) + 1, {{'c': 0::BIGINT, 'e': '', 't': ''}},
+         {{'c': 6::BIGINT, 'e': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}},
+         {{'c': 3::BIGINT, 'e': 'I', 't': chr(10) || 'assistant:'}}, {{'c': 0::BIGINT, 'e': '', 't': ''}}
+  FROM x GROUP BY cid
+  UNION ALL
+  SELECT cid, i, {_insert_sql("b.v0", "b.v2", "user")}, {_insert_sql("b.v1", "b.v2", "user")}, b.v2, {_insert_sql("b.v3", "b.v2", "user")}
+  FROM (
+    SELECT cid, i, w0 AS v0, w1 AS v1, {_insert_sql("w2", "w3a", "assistant")} AS v2, w3 AS v3
+    FROM (SELECT *, {_insert_sql("w3", "w2", "user")} AS w3a
+          FROM (SELECT x.cid, x.i, {_step_sql(0)} AS w0, {_step_sql(1)} AS w1, {_step_sql(2)} AS w2, {_step_sql(3)} AS w3
+                FROM r JOIN x ON x.cid = r.cid AND x.i = r.i - 1))) b),
+best AS (SELECT cid, v0 FROM r WHERE i = 1),
+counts AS (
+  SELECT cid, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE i > 1 AND coalesce(met, '') NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY cid)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(v0.c, 0) AS cost, coalesce(v0.e, '') AS audit,
+       sha256(substr(coalesce(v0.t, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counts ON c.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN best ON best.cid = counts.cid
+"""
+
+
+@register("op12_conversation_repair", REPAIR_SQL)
+def op12(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations")
+    done = materialize(repair.repair(repair.damaged(rows)), "repaired")
+    found = repair.report(done).join(repair.digests(done).withColumnRenamed("conv_id", "same"), F.col("conv_id").eqNullSafe(F.col("same")))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    every = rows.select(F.col("conv_id").alias("id")).distinct()
+    return every.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
