@@ -22,7 +22,8 @@ All of it is integers: the division is a long division in base 1,000, so that no
 product leaves 64 bits.
 
 Terms are counted inside Arrow batches (a task keeps at most ``HELD`` distinct
-terms before it passes its counts on), then summed with map-side partial sums.
+terms before it passes its counts on), then summed with map-side partial sums; a
+kept term's counts travel as one row, an entry for each source that has it.
 
 Edge cases: null text, language and source are ''; a language without kept terms
 (V = 0) has value 0 for every pair and no terms; a source alone in its language
@@ -41,9 +42,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quire.operators.ordering import with_positions
 from quire.session import materialize, ship_package
 
-HELD = 200_000          # distinct terms a task holds before it passes its counts on
+HELD = 500_000          # distinct terms a task holds before it passes its counts on
 PIECE = 1 << 20         # bytes of a text that are split at once
-SEGMENT = 1 << 16       # terms in a segment
+SEGMENT = 1 << 14       # terms in a segment
 TILE = 32               # sources in a tile, about
 SCALE = 1_000_000_000   # fixed by the definition of p
 
@@ -151,19 +152,19 @@ class Audit:
     def __init__(self, docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text",
                  least: int = 10, segment: int = SEGMENT, tile: int = TILE):
         self.segment, self.tile = segment, tile
-        counts = materialize(term_counts(docs, lang, source, text), "terms")
-        kept = counts.where("term <> ''").groupBy("lang", "term").agg(
+        # a row per kept term, with its counts; and one per language (term '') with its sources
+        counts = term_counts(docs, lang, source, text).groupBy("lang", "term").agg(
             F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.count(F.lit(1)).alias("sources"),
-            F.bit_xor(F.xxhash64("source")).alias("which"), F.bit_xor(F.xxhash64("source", "n")).alias("alike"))
-        kept = kept.where(F.col("docs") >= least).drop("docs")
-        placed = with_positions(kept, ["lang", "sources", "which", "lang_n", "alike", "term"], name="place")
+            F.bit_xor(F.xxhash64("source")).alias("which"), F.bit_xor(F.xxhash64("source", "n")).alias("alike"),
+            F.collect_list(F.struct("source", "n")).alias("cells"))
+        counts = materialize(counts.where((F.col("docs") >= least) | (F.col("term") == "")).drop("docs"), "terms")
+        placed = with_positions(counts.where("term <> ''"), ["lang", "sources", "which", "lang_n", "alike", "term"], name="place")
         #: V and N of each language, and where its terms begin
         langs = placed.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"),
                                            F.min("place").alias("first"))
-        rows = counts.join(placed.select("lang", "term", "lang_n", "place"), ["lang", "term"])
-        self.rows = materialize(rows.select("lang", "source", "term", "n", "lang_n", "place"), "kept-terms")
+        self.rows = placed.select("lang", "term", "lang_n", "place", F.inline("cells"))
         totals = self.rows.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-        groups = counts.where("term = ''").select("lang", "source")
+        groups = counts.where("term = ''").select("lang", F.explode("cells.source").alias("source"))
         groups = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
         self.groups = materialize(groups.select(
             "lang", "source", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("total", F.lit(0)).alias("total"),
