@@ -6,8 +6,8 @@ up by a small map; maps compose.  ``block_states`` composes them in groups of
 ``fan`` neighbours, level by level (one row a group), walks the last level from
 the start state, and hands the states down again: every block of a group is
 walked from the state its parent received.  No group holds more than ``fan``
-rows, nothing passes through the driver, and each level is written, so a lost
-executor repeats one level's tasks.
+rows, nothing passes through the driver, and each level above the blocks is
+written, so a lost executor repeats one level's tasks.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ State = list[int]
 
 def block_states(maps: DataFrame, n_blocks: int, start: State, compose: Callable[[Map, Map], Map],
                  apply: Callable[[Map, State], State], fan: int = FAN) -> DataFrame:
-    """(block, state): the state on entering each block.
+    """(block, state): the state on entering each block; write it if it is used
+    more than once.
 
     ``maps`` has one row (``block`` long, ``map`` array<long>) for each of the
     blocks 0..n_blocks-1.  ``compose(a, b)`` is the map of a, then b;
@@ -64,5 +65,7 @@ def block_states(maps: DataFrame, n_blocks: int, start: State, compose: Callable
             below = below.withColumn("state", F.array(*[F.lit(int(x)).cast("long") for x in start]))
         else:
             below = below.join(states.select(F.col("block").alias("parent"), "state"), "parent")
-        states = materialize(below.groupBy("parent").applyInPandas(walk, "block long, state array<long>"), "fold-states")
+        states = below.groupBy("parent").applyInPandas(walk, "block long, state array<long>")
+        if level is not levels[0]:
+            states = materialize(states, "fold-states")
     return states

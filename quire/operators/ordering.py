@@ -16,13 +16,15 @@ of the ranges.  The data moves through one shuffle and no window; a range
 partition is one task's sort, so their number follows the data
 (``ROWS_PER_PARTITION``).
 
-``number_in_input_order`` numbers rows as they were read.  A split of an input
-file is read by one task from its start to its end, so one count per split,
-summed up in input order, places every row: no sort and no shuffle of the rows.
+``number_in_input_order`` numbers rows as they were read.  Readers number the
+rows of a file or split, so one count per split, summed up in input order, places
+every row: no sort and no shuffle of the rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quire.session import materialize, shuffle_partitions
@@ -54,31 +56,28 @@ def with_positions(df: DataFrame, order_cols: list[str], name: str = "pos",
             .drop("__part", "__place", "__off"))
 
 
-def number_in_input_order(df: DataFrame, split_cols: list[str], name: str = "pos") -> DataFrame:
-    """Add ``name`` = 0-based position of each row, splits in ``split_cols``
-    order, rows of a split as they were read.
+def number_in_input_order(df: DataFrame, split_cols: list[str], row_col: str, name: str = "pos") -> DataFrame:
+    """Add ``name`` = 0-based position of each row, splits (the values of
+    ``split_cols``) in order, rows of a split by ``row_col``, their number in it.
 
-    ``df`` must come from its scans by narrow steps only, each split (one value
-    of ``split_cols``) whole in one task.  It is evaluated once, while it is
-    written; a split that is in two tasks after all fails the job."""
-    written = materialize(df.withColumn("__place", F.monotonically_increasing_id()), "input-order")
-    splits = written.groupBy(*split_cols).agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__lo"),
-                                              F.max("__place").alias("__hi"))
+    The numbers of a split must be without gaps, from wherever they begin: a row
+    number in a file, or ``monotonically_increasing_id`` after the last filter
+    where a split is whole in one task.  The input is evaluated once, while it is
+    written; a split whose numbers have gaps fails the job."""
+    written = materialize(df, "input-order")
+    splits = written.groupBy(*split_cols).agg(F.count(F.lit(1)).alias("__n"), F.min(row_col).alias("__lo"), F.max(row_col).alias("__hi"))
     before = Window.orderBy(*split_cols).rowsBetween(Window.unboundedPreceding, -1)  # one row per split
-    torn = F.col("__hi") - F.col("__lo") + 1 != F.col("__n")
+    gaps = F.col("__hi") - F.col("__lo") + 1 != F.col("__n")
     splits = splits.select(
         *[F.col(c).alias(f"__{c}") for c in split_cols],
-        F.when(torn, F.raise_error(F.lit("a split was read by more than one task")).cast("long")).otherwise(
+        F.when(gaps, F.raise_error(F.lit("the row numbers of a split have gaps")).cast("long")).otherwise(
             F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__lo")).alias("__shift"))
     splits = materialize(splits, "input-splits")
     if splits.count() <= BROADCAST_SPLITS:
         splits = F.broadcast(splits)
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in split_cols]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    return (written.join(splits, on).withColumn(name, (F.col("__place") + F.col("__shift")).cast("long"))
-            .drop("__place", "__shift", *[f"__{c}" for c in split_cols]))
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in split_cols])
+    return (written.join(splits, on).withColumn(name, (F.col(row_col) + F.col("__shift")).cast("long"))
+            .drop("__shift", *[f"__{c}" for c in split_cols]))
 
 
 def take_prefix(df: DataFrame, n: int, pos_col: str = "pos") -> DataFrame:

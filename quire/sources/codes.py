@@ -11,17 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions.text import na_to_null
-from quire.sources.csv_rows import canonical_number, csv_reader, rows_by_header
+from quire.sources.csv_rows import canonical_number, rows_by_header
 
 CODE_COLUMNS = ["version", "code", "text"]
 
 
+def code_id():
+    """A canonical decimal code's value, otherwise a hash of (source, version,
+    code), or of (file, row) without a code."""
+    other = F.when(F.col("code").isNotNull(), F.xxhash64("source", "version", "code"))
+    return F.coalesce(canonical_number("code"), other, F.xxhash64("file", "row"))
+
+
 def read_code_table(spark: SparkSession, path, label: str) -> DataFrame:
-    """doc_id, clinical_text, source, code_key, file, row.  ``doc_id`` is a
-    canonical decimal code's value, otherwise a hash of (source, version,
-    code), or of (file, row) without a code; ``code_key`` is the exact key."""
-    raw = rows_by_header(csv_reader(spark.read).csv(path), CODE_COLUMNS)
-    other = F.when(F.col("code").isNotNull(), F.xxhash64(F.lit(label), "version", "code"))
-    return raw.select(F.coalesce(canonical_number("code"), other, F.xxhash64("file", "row")).alias("doc_id"),
-                      na_to_null(F.col("text")).alias("clinical_text"), F.lit(label).alias("source"),
-                      F.concat_ws(":", F.coalesce("version", F.lit("")), "code").alias("code_key"), "file", "row")
+    """doc_id, clinical_text, source, code_key (the exact key), file, row."""
+    rows = rows_by_header(spark, {label: path}, CODE_COLUMNS)
+    return rows.select(code_id().alias("doc_id"), na_to_null(F.col("text")).alias("clinical_text"), "source",
+                       F.concat_ws(":", F.coalesce("version", F.lit("")), "code").alias("code_key"), "file", "row")

@@ -3,10 +3,9 @@
 Every file is bound to its own header (``csv_rows``); columns are strings.
 Metadata columns are dropped when present (P1); ``text`` becomes
 ``clinical_text`` after NA-token nulling and whitespace cleaning (P2, T1).
-Rows keep their ``file`` and ``row`` (lineage and input order).  Quoted cells
-may hold newlines and gzip is unsplittable, so a file is one task; a scan with
-fewer partitions than the cluster's parallelism is spread after the rows have
-their identity (``num_partitions`` sets the count explicitly).
+Rows keep their ``file`` and ``row`` (lineage and input order).  Uncompressed
+files are read in splits although quoted cells hold newlines; a gzip file is one
+task by nature.
 """
 
 from __future__ import annotations
@@ -14,8 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions.text import clean_text, na_to_null
-from quire.session import ensure_parallelism
-from quire.sources.csv_rows import canonical_number, csv_reader, rows_by_header
+from quire.sources.csv_rows import canonical_number, rows_by_header
 
 NOTE_COLUMNS = ["note_id", "text"]
 
@@ -39,15 +37,12 @@ def drop_prefixed(df: DataFrame, prefix: str = "__") -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(prefix)])
 
 
-def note_rows(rows: DataFrame, label: str, clean: bool = True) -> DataFrame:
-    """doc_id, source, clinical_text, file, row of note rows."""
+def note_text(clean: bool = True):
     text = na_to_null(F.col("text"))
-    return rows.select(note_key("note_id").alias("doc_id"), F.lit(label).alias("source"),
-                       (clean_text(text) if clean else text).alias("clinical_text"), "file", "row")
+    return clean_text(text) if clean else text
 
 
-def read_notes(spark: SparkSession, path, label: str, clean: bool = True,
-               num_partitions: int | None = None) -> DataFrame:
-    rows = rows_by_header(csv_reader(spark.read).csv(path), NOTE_COLUMNS)
-    rows = rows.repartition(num_partitions) if num_partitions else ensure_parallelism(rows)
-    return note_rows(rows, label, clean)
+def read_notes(spark: SparkSession, path, label: str, clean: bool = True, refused: str | None = None) -> DataFrame:
+    """Notes of files; ``refused`` (a path) sets bad files aside there."""
+    rows = rows_by_header(spark, {label: path}, NOTE_COLUMNS, refused=refused)
+    return rows.select(note_key("note_id").alias("doc_id"), "source", note_text(clean).alias("clinical_text"), "file", "row")

@@ -1,34 +1,45 @@
 """Incremental ingest of note CSVs and article XML.
 
-The batch readers' transformations run unchanged on a file stream; each
-trigger picks up only new files, and the Parquet sink with a checkpoint
-gives exactly-once output, so a restart adds no duplicates.
-``trigger(availableNow=True)`` processes everything present, in bounded
-micro-batches (``maxFilesPerTrigger``, default 1000 files), then stops.  Every
-note file is bound to its own header, as in the batch reader, and rows without
-an id get the same (file, row) key; a file without a text column fails loudly.
+Each trigger picks up only new files, in bounded micro-batches
+(``maxFilesPerTrigger``, default 1000 files); ``trigger(availableNow=True)``
+processes everything present, then stops.
+
+*Notes.*  The stream carries file names; a micro-batch is read by the batch
+reader (splits, headers and row identity are the same) and written to its own
+folder of the sink, overwritten if the batch is run again: exactly-once output,
+so a restart adds no duplicates.  A file without a header or a text column does
+not stop the stream; it is set aside with its error (``note_stream_errors``).
+
+*Articles.*  The batch reader's transformations run unchanged on a text stream
+into an exactly-once Parquet sink.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.sources.articles import END_TAG, corpus_columns, records_of
-from quire.sources.csv_rows import csv_reader, rows_by_header
-from quire.sources.notes import NOTE_COLUMNS, note_rows
+from quire.sources.notes import read_notes
 from quire.sources.xml_parse import parse_records
 
-
 DEFAULT_FILES_PER_TRIGGER = 1000
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+NOTE_SCHEMA = "doc_id long, source string, clinical_text string"
+ERROR_SCHEMA = "file string, error string"
 
 
-def notes_stream(spark: SparkSession, src_dir: str, label: str, clean: bool = True,
-                 max_files_per_trigger: int | None = DEFAULT_FILES_PER_TRIGGER) -> DataFrame:
-    r = csv_reader(spark.readStream)
+def file_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: int | None = DEFAULT_FILES_PER_TRIGGER) -> DataFrame:
+    """New files of a folder, by name; their content is not read."""
+    r = spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    rows = note_rows(rows_by_header(r.csv(src_dir), NOTE_COLUMNS), label, clean)
-    return rows.select("doc_id", "source", "clinical_text")
+    return r.load(src_dir).select("path")
+
+
+def _no_glob(path: str) -> str:
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def articles_stream(spark: SparkSession, src_dir: str,
@@ -50,10 +61,26 @@ def run_to_parquet(stream: DataFrame, sink_dir: str, checkpoint_dir: str) -> Non
     q.awaitTermination()
 
 
-def ingest_notes_stream(spark: SparkSession, src_dir: str, sink_dir: str, checkpoint_dir: str,
-                        label: str, **kw) -> DataFrame:
-    run_to_parquet(notes_stream(spark, src_dir, label, **kw), sink_dir, checkpoint_dir)
-    return spark.read.parquet(sink_dir)
+def ingest_notes_stream(spark: SparkSession, src_dir: str, sink_dir: str, checkpoint_dir: str, label: str, clean: bool = True,
+                        max_files_per_trigger: int | None = DEFAULT_FILES_PER_TRIGGER) -> DataFrame:
+    """Corpus rows ingested so far."""
+    def take(batch: DataFrame, batch_id: int) -> None:
+        paths = [_no_glob(r.path) for r in batch.collect()]  # at most max_files_per_trigger names
+        if paths:
+            rows = read_notes(batch.sparkSession, paths, label, clean, refused=f"{sink_dir}/_refused/batch={batch_id}")
+            rows.select("doc_id", "source", "clinical_text").write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
+
+    q = (file_stream(spark, src_dir, max_files_per_trigger).writeStream.foreachBatch(take)
+         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    q.awaitTermination()
+    for schema, at in ((NOTE_SCHEMA, "batch=none"), (ERROR_SCHEMA, "_refused/batch=none")):  # both can be read, also when empty
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{sink_dir}/{at}")
+    return spark.read.schema(NOTE_SCHEMA).option("recursiveFileLookup", True).parquet(sink_dir)
+
+
+def note_stream_errors(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """(file, error) of the note files a stream has set aside."""
+    return spark.read.schema(ERROR_SCHEMA).option("recursiveFileLookup", True).parquet(f"{sink_dir}/_refused")
 
 
 def ingest_articles_stream(spark: SparkSession, src_dir: str, sink_dir: str, checkpoint_dir: str,

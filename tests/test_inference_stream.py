@@ -67,7 +67,6 @@ def test_stream_small_triggers_and_header_schema(spark, tmpdir_path):
         with open(os.path.join(src, f"part{i}.csv"), "w") as f:
             f.write(f'note_id,text\n{i},"note  {i}\nline"\n')   # metadata columns absent
     sink, ckpt = scratch_path(spark, "t2-sink"), scratch_path(spark, "t2-ckpt")
-    from quire.streaming.ingest import notes_stream, run_to_parquet
-    run_to_parquet(notes_stream(spark, src, "discharge", max_files_per_trigger=1), sink, ckpt)
+    ingest_notes_stream(spark, src, sink, ckpt, "discharge", max_files_per_trigger=1)
     got = sorted((r.doc_id, r.clinical_text) for r in spark.read.parquet(sink).collect())
     assert got == [(0, "note 0 line"), (1, "note 1 line"), (2, "note 2 line")]
