@@ -271,7 +271,8 @@ def repair(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str
     backwards = packed.withColumn("at", F.lit(n - 1) - F.col("block"))
     costs = each(as_map(lambda r: cost_map(r["codes"])), backwards, "block long, map array<long>")
     right = block_states(costs, n, list(END), cost_compose, cost_apply, fan)
-    packed = packed.join(right.select((F.lit(n - 1) - F.col("block")).alias("block"), F.col("state").alias("right")), "block")
+    right = right.select((F.lit(n - 1) - F.col("block")).alias("block"), F.col("state").alias("right"))
+    packed = packed.join(materialize(right, "checkpoints"), "block")
     states = each(as_map(lambda r: state_map(r["codes"], tuple(r["right"]))), packed.withColumn("at", F.col("block")),
                   "block long, map array<long>")
     left = block_states(states, n, [START], lambda f, g: [g[s] for s in f], lambda f, s: [f[s[0]]], fan)
