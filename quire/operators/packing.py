@@ -20,8 +20,9 @@ Distributed exactly, with no group larger than one block:
    prefix sums; the block exit and bin count for every possible entry in
    the block's first T+1 rows, by pointer doubling; returned run-length
    encoded (chains merge fast, so this is a few rows per block);
-4. the maps are folded in block order as a stream of rows: one entry and bin
-   number per block is kept;
+4. the maps are composed in block order as a tree (``fold.block_states``): each
+   block learns its entry and the number of its first bin, nothing passes
+   through the driver;
 5. pass 2: walk the chain from the true entry, number bins globally;
 6. text rows and bin ids meet by range of numbers, one shuffle of the text.  A
    range assembles its bins in place; the rows of the few bins that straddle two
@@ -37,6 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quire.functions.text import py_strip
+from quire.operators.fold import FAN, block_states
 from quire.operators.ordering import with_positions
 from quire.session import materialize, ship_package, shuffle_partitions
 
@@ -71,12 +73,12 @@ def _split_block(pdf: pd.DataFrame):
 
 
 def _summary_fn(T_: int):
+    """A block's map: runs of (lo, hi, exit, bins) over its possible entries."""
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, nb, gkey = _split_block(pdf)
         L = pdf["L"].to_numpy()
         m = len(L)
         s_b = int(pdf["__seq"].iloc[0])
-        block = int(pdf["block"].iloc[0])
         nxt = _next_pointers(L, gkey, T_, nb)
         P = np.arange(m + 1, dtype=np.int64)
         P[:nb] = nxt
@@ -86,21 +88,48 @@ def _summary_fn(T_: int):
             C = C + C[P]
             P = P[P]
         e = min(T_ + 1, nb)
-        ex, st = P[:e] + s_b, C[:e]
-        change = np.flatnonzero((ex[1:] != ex[:-1]) | (st[1:] != st[:-1])) + 1
-        lo = np.concatenate([[0], change])
-        hi = np.concatenate([change - 1, [e - 1]])
-        return pd.DataFrame({"block": block, "lo": lo + s_b, "hi": hi + s_b,
-                             "exit": ex[lo], "steps": st[lo]})
+        lo = np.arange(s_b, s_b + e)
+        runs = _merged(np.stack([lo, lo, P[:e] + s_b, C[:e]], axis=1))
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "map": [runs.ravel().tolist()]})
     return fn
 
 
-def _assign_fn(T_: int, entries: dict):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+def _merged(runs: np.ndarray) -> np.ndarray:
+    """Neighbouring runs of equal exit and bins as one."""
+    first = np.concatenate(([True], (runs[1:, 2:] != runs[:-1, 2:]).any(axis=1)))
+    out = runs[first].copy()
+    out[:, 1] = runs[np.concatenate((first[1:], [True])), 1]
+    return out
+
+
+def _through(runs: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exit, bins) of entries; one behind the last run passes by (the bin before
+    a short last block may hold all of it)."""
+    at = np.minimum(np.searchsorted(runs[:, 1], entry), len(runs) - 1)
+    inside = (runs[at, 0] <= entry) & (entry <= runs[at, 1])
+    if not (inside | (entry > runs[-1, 1])).all():
+        raise AssertionError("an entry is not covered by the block's map")
+    return np.where(inside, runs[at, 2], entry), np.where(inside, runs[at, 3], 0)
+
+
+def _compose(a: list[int], b: list[int]) -> list[int]:
+    """The map of block a, then b."""
+    x, y = (np.array(m, np.int64).reshape(-1, 4) for m in (a, b))
+    out, bins = _through(y, x[:, 2])
+    return _merged(np.stack([x[:, 0], x[:, 1], out, x[:, 3] + bins], axis=1)).ravel().tolist()
+
+
+def _enter(m: list[int], state: list[int]) -> list[int]:
+    """(entry, bins before) of the next block."""
+    out, bins = _through(np.array(m, np.int64).reshape(-1, 4), np.array(state[:1], np.int64))
+    return [int(out[0]), state[1] + int(bins[0])]
+
+
+def _assign_fn(T_: int):
+    def fn(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         pdf, nb, gkey = _split_block(pdf)
-        block = int(pdf["block"].iloc[0])
         s_b = int(pdf["__seq"].iloc[0])
-        entry, before = entries[block]
+        entry, before = (int(x) for x in state["state"].iloc[0])
         nxt = _next_pointers(pdf["L"].to_numpy(), gkey, T_, nb)
         marks = np.zeros(nb, dtype=np.int64)
         i = entry - s_b
@@ -111,26 +140,7 @@ def _assign_fn(T_: int, entries: dict):
     return fn
 
 
-def _compose(summary_rows, n_blocks: int) -> dict:
-    """Fold block maps, given in block order: entry of block b+1 = exit of
-    block b.  Keeps one (entry, bins before) per block."""
-    entries, entry, before, here, found, top = {0: (0, 0)}, 0, 0, 0, False, -1
-    for r in summary_rows:
-        if r["block"] != here:
-            if not found or r["block"] != here + 1:
-                raise AssertionError(f"block {here}: entry {entry} not covered")
-            here, found = r["block"], False
-        top = r["hi"]
-        if not found and r["lo"] <= entry <= r["hi"]:
-            entry, before, found = r["exit"], before + r["steps"], True
-            entries[here + 1] = (entry, before)
-    # the bin before a short last block may hold all of it
-    if not (found or entry > top) or here != n_blocks - 1:
-        raise AssertionError(f"block {here}: entry {entry} not covered")
-    return entries
-
-
-def _bins_of(numbered: DataFrame, n: int, T_: int, scope: list[str], block_rows: int | None) -> DataFrame:
+def _bins_of(numbered: DataFrame, n: int, T_: int, scope: list[str], block_rows: int | None, fan: int) -> DataFrame:
     """(__seq, bin_id) of numbered texts (``__seq``, ``L``, scope columns)."""
     B = max(T_ + 2, int(block_rows or DEFAULT_BLOCK_ROWS))
     pos = F.col("__seq")
@@ -140,10 +150,9 @@ def _bins_of(numbered: DataFrame, n: int, T_: int, scope: list[str], block_rows:
     halo = base.where((pos >= B) & (F.pmod(pos, F.lit(B)) <= T_)).select(
         *cols, (F.floor(pos / B) - 1).cast("long").alias("block"), F.lit(True).alias("halo"))
     blocks = main.unionByName(halo)
-    maps = materialize(blocks.groupBy("block").applyInPandas(
-        _summary_fn(T_), "block long, lo long, hi long, exit long, steps long"), "pack-maps")
-    entries = _compose(maps.orderBy("block", "lo").toLocalIterator(), (n + B - 1) // B)
-    return blocks.groupBy("block").applyInPandas(_assign_fn(T_, entries), "__seq long, bin_id long")
+    maps = materialize(blocks.groupBy("block").applyInPandas(_summary_fn(T_), "block long, map array<long>"), "pack-maps")
+    states = block_states(maps, (n + B - 1) // B, [0, 0], _compose, _enter, fan)
+    return blocks.groupBy("block").cogroup(states.groupBy("block")).applyInPandas(_assign_fn(T_), "__seq long, bin_id long")
 
 
 def _bin_text(pieces):
@@ -152,11 +161,11 @@ def _bin_text(pieces):
 
 def pack_contexts(df: DataFrame, max_length: int = 8192, order_cols=("pos",), scope=None,
                   text_col: str = "clinical_text", block_rows: int | None = None,
-                  range_rows: int | None = None) -> DataFrame:
+                  range_rows: int | None = None, fan: int = FAN) -> DataFrame:
     """Packed bins: (bin_id, scope..., n_docs, first_pos, text).  Texts are taken
     in ``(scope..., order_cols...)`` order, nulls first; a null scope is a group
     of its own.  ``range_rows`` fixes the texts per assembling range (by default
-    sized from the total characters)."""
+    sized from the total characters), ``fan`` the blocks folded in one group."""
     spark = df.sparkSession
     ship_package(spark)
     scope, T_ = list(scope or []), int(max_length)
@@ -172,7 +181,7 @@ def pack_contexts(df: DataFrame, max_length: int = 8192, order_cols=("pos",), sc
     tasks = max(shuffle_partitions(spark), chars // RANGE_CHARS + 1)
     rows = range_rows or max(1, n // (4 * tasks))
     rng = F.floor(F.col("__seq") / rows).cast("long").alias("__r")
-    bins = _bins_of(numbered.select("__seq", "L", *scope), n, T_, scope, block_rows)
+    bins = _bins_of(numbered.select("__seq", "L", *scope), n, T_, scope, block_rows, fan)
     ends = Window.partitionBy("bin_id")
     bins = materialize(bins.withColumn("__spans", F.floor(F.min("__seq").over(ends) / rows)
                                        != F.floor(F.max("__seq").over(ends) / rows)), "pack-bins")

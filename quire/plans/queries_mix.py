@@ -75,6 +75,33 @@ def q_g1_hashed_ids(spark, sf_dir):
     return pack_contexts(d, PACK_T, order_cols=["key"])
 
 
+LINE_T = 120
+
+
+@register("g1_blocks", f"""
+WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, i, t, length(t) AS l, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos
+  FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, {sql_clean("unnest(ls)")} AS t FROM d)),
+walk(doc_id, i, cur, bin) AS (
+  SELECT doc_id, i, l + 1, 0 FROM s WHERE i = 1
+  UNION ALL
+  SELECT s.doc_id, s.i, CASE WHEN w.cur + s.l <= {LINE_T} THEN w.cur + s.l + 1 ELSE s.l + 1 END,
+         CASE WHEN w.cur + s.l <= {LINE_T} THEN w.bin ELSE w.bin + 1 END
+  FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.i = w.i + 1),
+b AS (SELECT s.*, dense_rank() OVER (ORDER BY doc_id, bin) - 1 AS bin FROM s JOIN walk USING (doc_id, i))
+SELECT bin AS bin_id, min(doc_id) AS doc_id, count(*) AS n_docs, min(pos) AS first_pos,
+       trim(string_agg(t, ' ' ORDER BY pos)) AS text FROM b GROUP BY bin
+""")
+def q_g1_blocks(spark, sf_dir):
+    """Packing the lines of each document at 120 characters, in blocks of 128
+    lines folded four at a time: over 50 blocks and several levels at any size."""
+    d = table(spark, sf_dir, "documents")
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    lines = lines.select("doc_id", "line", clean_text("text").alias("clinical_text"))
+    return pack_contexts(lines, LINE_T, order_cols=["line"], scope=["doc_id"], block_rows=128, fan=4)
+
+
 SQL_QUALITY = "(SELECT DISTINCT doc_id FROM labels WHERE quality = 1)"
 
 
