@@ -3,21 +3,23 @@
 Centroid per label (``posexplode`` + partial ``avg`` per (label, dim): the
 pre-aggregation keeps shuffle size at labels x dims per task), made a unit
 vector once, then every vector's cosine to its own centroid and to the nearest
-other one.  Labels are dealt into blocks of about ``BLOCK``; a block of centroids
-reaches the vectors as one scalar-subquery value (at most BLOCK x dim numbers),
-and a vector keeps its best per block, so neither the number of labels nor any
-broadcast is capped or unbounded.
+other one.  The vectors are scanned once: each Arrow batch is multiplied with the
+centroids, ``TILE`` rows at a time, and a row carries its two best cosines along,
+so no row is joined or merged by an id.  Centroids reach the tasks in blocks of
+at most ``BLOCK_BYTES``; with more labels than fill one block, the rows pass
+through one step per block in the same scan.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.session import materialize
+from quire.session import materialize, ship_package
 
-BLOCK = 1024
+BLOCK_BYTES = 64 << 20
+TILE = 4096
 
 
 def centroids(df: DataFrame, vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -27,37 +29,60 @@ def centroids(df: DataFrame, vec_col: str = "embedding", label_col: str = "label
         .select(label_col, F.transform("__p", lambda p: p["__c"]).alias("centroid"))
 
 
-def _dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def _unit(a):
-    norm = F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(a, lambda x: x.cast("double") / norm)
+def unit_rows(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows of length one; NaN where a vector is null, of another
+    length, zero, or holds a null."""
+    out = np.full((len(vectors), dim), np.nan)
+    lengths = vectors.value_lengths().fill_null(-1).to_numpy()
+    fits = np.flatnonzero(lengths == dim)
+    if len(fits) and dim:
+        flat = vectors.filter(pa.array(lengths == dim)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        rows = flat.reshape(-1, dim)
+        norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        out[fits] = rows / np.where(norm == 0, np.nan, norm)
+    return out
+
+
+def _closer(shared):
+    """Rows whose own and other cosines take a block of centroids into account."""
+    def step(batches):
+        labels, matrix = shared.value
+        place = {label: i for i, label in enumerate(labels)}
+        for b in batches:
+            own, other = (b.column(c).to_numpy(zero_copy_only=False).copy() for c in ("own", "other"))
+            mine = np.array([place.get(x, -1) for x in b.column("label").to_pylist()], np.int64)
+            for i in range(0, b.num_rows, TILE):
+                j = min(b.num_rows, i + TILE)
+                cosines = unit_rows(b.column("vec").slice(i, j - i), matrix.shape[1]) @ matrix.T
+                here = np.flatnonzero(mine[i:j] >= 0)
+                own[i + here] = cosines[here, mine[i + here]]
+                cosines[here, mine[i + here]] = np.nan
+                other[i:j] = np.fmax(other[i:j], np.fmax.reduce(cosines, axis=1))
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("vec"), pa.array(own), pa.array(other)],
+                                             ["label", "vec", "own", "other"])
+    return step
 
 
 def cluster_report(df: DataFrame, vec_col: str = "embedding", label_col: str = "label",
-                   id_col: str = "vec_id") -> DataFrame:
-    """Per label: n_vectors, mean_own_cosine, mean_nearest_other_cosine.  Vectors
-    are told apart by ``id_col`` and label."""
-    c = centroids(df, vec_col, label_col).select(F.col(label_col).alias("l"), _unit(F.col("centroid")).alias("u"))
-    c = materialize(c, "centroids")
-    blocks = c.count() // BLOCK + 1
-    v = df.select(id_col, label_col, _unit(F.col(vec_col)).alias("__u"))
-
-    def against(block: int) -> DataFrame:
-        mine = c.where(F.pmod(F.xxhash64("l"), F.lit(blocks)) == block)
-        all_of = mine.agg(F.collect_list(F.struct("l", "u")).alias("cs"))
-        sims = F.transform("__cs", lambda s: F.struct(s["l"].alias("l"), _dot(F.col("__u"), s["u"]).alias("cs")))
-        own = F.filter("__s", lambda s: s["l"].eqNullSafe(F.col(label_col)))
-        other = F.filter("__s", lambda s: ~s["l"].eqNullSafe(F.col(label_col)))
-        return (v.withColumn("__cs", all_of.scalar()).withColumn("__s", sims)
-                .select(id_col, label_col, F.array_max(F.transform(own, lambda s: s["cs"])).alias("own"),
-                        F.array_max(F.transform(other, lambda s: s["cs"])).alias("other")))
-
-    best = reduce(DataFrame.unionByName, [against(b) for b in range(blocks)])
-    best = best.groupBy(id_col, label_col).agg(F.max("own").alias("own"), F.max("other").alias("other"))
-    return best.groupBy(label_col).agg(
+                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per label: n_vectors, mean_own_cosine, mean_nearest_other_cosine.  Every
+    row counts, whatever its id; a null, zero or odd-sized vector has no cosines;
+    a null label is a label."""
+    spark = df.sparkSession
+    ship_package(spark)
+    c = materialize(centroids(df.where(F.col(vec_col).isNotNull()), vec_col, label_col).select(
+        F.col(label_col).alias("label"), "centroid"), "centroids")
+    n, dim = c.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("centroid")), F.lit(0))).first()
+    blocks = n * dim * 8 // block_bytes + 1
+    nothing = F.lit(float("nan"))
+    v = df.select(F.col(label_col).alias("label"), F.col(vec_col).alias("vec"), nothing.alias("own"), nothing.alias("other"))
+    for i in range(blocks if n else 0):
+        mine = c.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == i).toArrow()   # at most about block_bytes
+        if mine.num_rows:
+            shared = spark.sparkContext.broadcast((mine["label"].to_pylist(), unit_rows(mine["centroid"].combine_chunks(), dim)))
+            v = v.mapInArrow(_closer(shared), v.schema)
+    known = lambda x: F.when(~F.isnan(x), F.col(x))
+    return v.groupBy(F.col("label").alias(label_col)).agg(
         F.count(F.lit(1)).alias("n_vectors"),
-        F.round(F.avg("own"), 6).alias("mean_own_cosine"),
-        F.round(F.avg("other"), 6).alias("mean_nearest_other_cosine"))
+        F.round(F.avg(known("own")), 6).alias("mean_own_cosine"),
+        F.round(F.avg(known("other")), 6).alias("mean_nearest_other_cosine"))

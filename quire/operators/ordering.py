@@ -117,3 +117,13 @@ def epoch_order(df: DataFrame, epoch: int, seed: int = 42, key_col: str = "doc_i
     keyed = df.withColumn("shuffle_key", uniform(seed, epoch, F.col(key_col), method=method))
     out = with_positions(keyed, ["shuffle_key", key_col], name="pos")
     return assign_batches(out.withColumn("epoch", F.lit(epoch)), batch_size)
+
+
+def epoch_positions(df: DataFrame, n: int, epoch: int, seed: int = 42, number_col: str = "pos", batch_size: int = 128,
+                    method: str = "xxhash64") -> DataFrame:
+    """Epoch shuffle (W6) of a table whose rows are numbered 0..n-1 in
+    ``number_col``: ``shuffled`` and ``batch_id`` come from the number alone, by a
+    keyed permutation, so an epoch costs no sort and no shuffle."""
+    from quire.functions.permute import permuted
+    out = df.withColumn("epoch", F.lit(epoch)).withColumn("shuffled", permuted(F.col(number_col), n, seed, epoch, method=method))
+    return assign_batches(out, batch_size, "shuffled")

@@ -73,8 +73,9 @@ def q_e3(spark, sf_dir):
     return e.select("vec_id", *[F.get(first, i).alias(f"d{i}") for i in range(8)])
 
 
-@register("e5", """
-WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS d FROM embeddings),
+_E5 = """
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS vec_id, label, embedding FROM embeddings),
+x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS d FROM e),
 c AS (SELECT label, d, avg(v) AS c FROM x GROUP BY label, d),
 dots AS (SELECT x.vec_id, x.label, c.label AS cl, sum(x.v * c.c) AS dot FROM x JOIN c ON x.d = c.d GROUP BY 1, 2, 3),
 vn AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM x GROUP BY 1),
@@ -86,11 +87,22 @@ per AS (SELECT vec_id, label, max(CASE WHEN cl = label THEN s END) AS own,
 SELECT label, count(*) AS n_vectors, round(avg(own), 6) AS mean_own_cosine,
        round(avg(other), 6) AS mean_nearest_other_cosine
 FROM per GROUP BY label
-""")
+"""
+
+
+@register("e5", _E5)
 def q_e5(spark, sf_dir):
     return cluster_report(table(spark, sf_dir, "embeddings"))
 
 
+@register("e5_equal_ids", _E5.replace("label, embedding FROM embeddings", "vec_id % 40 - 10 AS label, embedding FROM embeddings"))
+def q_e5_equal_ids(spark, sf_dir):
+    """E5 of vectors that share ids or have none, over more labels: every row counts."""
+    e = table(spark, sf_dir, "embeddings")
+    e = e.select(F.nullif(F.col("vec_id") % 3, F.lit(1)).alias("vec_id"), (F.col("vec_id") % 40 - 10).alias("label"), "embedding")
+    return cluster_report(e, block_bytes=5000)
+
+
 @register("x1", sql_note("discharge", None) + " UNION ALL " + sql_note("radiology", None))
 def q_x1(spark, sf_dir):
     """Notes ingested incrementally (file stream -> Parquet sink); run twice

@@ -101,6 +101,26 @@ def q_w6(spark, sf_dir):
         "doc_id", "epoch", "pos", "batch_id")
 
 
+@register("w6_permuted", """
+WITH RECURSIVE n AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM documents),
+s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM documents, n),
+w(doc_id, n, a, b, x, walk) AS (
+  SELECT doc_id, n, a, b, pos, 0 FROM s
+  UNION ALL
+  SELECT doc_id, n, a, b, list_reduce(list_prepend(x, range(8)), lambda x, k: CASE WHEN k % 2 = 0
+      THEN ((x // b + ('0x' || substr(md5(concat_ws(':', 42, 3, k, x % b)), 1, 8))::BIGINT % a) % a) * b + x % b
+      ELSE (x // b) * b + (x % b + ('0x' || substr(md5(concat_ws(':', 42, 3, k, x // b)), 1, 8))::BIGINT % b) % b END), walk + 1
+  FROM w WHERE walk = 0 OR x >= n)
+SELECT doc_id, 3 AS epoch, x AS pos, x // 128 AS batch_id FROM w WHERE walk > 0 AND x < n
+""")
+def q_w6_permuted(spark, sf_dir):
+    """W6 by a keyed permutation of the rows' numbers."""
+    from quire.operators.ordering import epoch_positions, with_positions
+    d = with_positions(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
+    return epoch_positions(d, d.count(), epoch=3, seed=42, batch_size=128, method="md5").select(
+        "doc_id", "epoch", F.col("shuffled").alias("pos"), "batch_id")
+
+
 @register("lr_schedule", f"""
 SELECT step, round(CASE WHEN step < w THEN step::DOUBLE / greatest(1.0, w::DOUBLE)
             ELSE greatest(0.0, 0.5 * (1.0 + cos(pi() * ((step::DOUBLE - w::DOUBLE)

@@ -46,6 +46,20 @@ def test_cluster_report_separated_labels(spark):
     assert got[1].n_vectors == 10
 
 
+def test_cluster_report_counts_every_row(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 2.0], 0), (None, [3.0, 0.0], 0), (None, [3.0, 0.0], 0), (7, [0.0, 1.0], None),
+            (8, None, 0), (9, [0.0, 0.0], None), (10, None, 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for block_bytes in (1 << 20, 16):
+        got = {r.label: r for r in cluster_report(df, block_bytes=block_bytes).collect()}
+        assert {k: r.n_vectors for k, r in got.items()} == {0: 5, None: 2, 5: 1}
+        u = (1.75 ** 2 + 0.5 ** 2) ** 0.5   # centroid of 0: (7, 2) / 4
+        assert got[0].mean_own_cosine == round((3 * 1.75 / u + 0.5 / u) / 4, 6)
+        assert got[0].mean_nearest_other_cosine == 0.25 and got[None].mean_own_cosine == 1.0
+        assert got[None].mean_nearest_other_cosine == round(0.5 / u, 6) and got[5].mean_own_cosine is None
+    assert cluster_report(df.where("vec_id > 99")).count() == 0
+
+
 def test_stream_equals_batch_and_restart_adds_nothing(spark):
     docs = fx.table(spark, SF_SMALL, "documents")
     src = fx.render_notes(docs, scratch_path(spark, "t-src"), "discharge", n_files=3)

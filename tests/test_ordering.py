@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators.ordering import (assign_batches, epoch_order, prefix_series, take_prefix,
+from quire.operators.ordering import (assign_batches, epoch_order, epoch_positions, prefix_series, take_prefix,
                                       number_in_input_order, with_positions)
 from quire.operators.fold import block_states
 
@@ -132,3 +132,20 @@ def test_fold_gives_every_block_its_state_at_any_fan(spark):
                            lambda f, s: [(f[0] * s[0] + f[1]) % p], fan=fan)
         assert [r.state[0] for r in got.orderBy("block").collect()] == expected
     assert block_states(df.where("block < 0"), 0, [1], max, max).count() == 0
+
+
+def test_keyed_permutation_of_any_size_without_a_shuffle(spark):
+    for n in (1, 2, 3, 7, 97, 500, 1025):
+        df = spark.range(0, n, 1, 3).withColumnRenamed("id", "pos")
+        seen = []
+        for epoch in (0, 1):
+            got = epoch_positions(df, n, epoch, batch_size=10)
+            assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+            seen.append([(r.shuffled, r.batch_id) for r in got.orderBy("pos").collect()])
+            assert sorted(s for s, _ in seen[-1]) == list(range(n)) and all(b == s // 10 for s, b in seen[-1])
+        assert n < 90 or (seen[0] != seen[1] and seen[0] != sorted(seen[0]))
+    with pytest.raises(Exception, match="outside"):
+        epoch_positions(spark.range(5).withColumnRenamed("id", "pos"), 4, 0).collect()
+    big = 10**15 + 37   # whole division: no digits lost
+    got = epoch_positions(spark.range(big - 50, big).withColumnRenamed("id", "pos"), big, 0).collect()
+    assert len({r.shuffled for r in got}) == 50 and all(0 <= r.shuffled < big for r in got)
