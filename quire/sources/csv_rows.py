@@ -173,15 +173,17 @@ def _summary(spark: SparkSession, lines: DataFrame, keep: int) -> DataFrame:
     return lines.mapInArrow(scan, f"source string, file string, block long, header array<string>, outside struct<{fields}>, inside struct<{fields}>")
 
 
-def _compose(a: list[int], b: list[int]) -> list[int]:
-    """Maps are (first of its file, exit and records entered outside, inside)."""
+def compose_splits(a: list[int], b: list[int]) -> list[int]:
+    """The map of split a, then b.  A map is: first of its file; exit and number
+    (of records, or levels) added when entered outside; the same for inside."""
     if b[0]:
         return b
     steps = [(b[1 + 2 * a[1 + 2 * s]], a[2 + 2 * s] + b[2 + 2 * a[1 + 2 * s]]) for s in (OUTSIDE, INSIDE)]
     return [a[0], *steps[0], *(steps[0] if a[0] else steps[1])]
 
 
-def _apply(m: list[int], state: list[int]) -> list[int]:
+def enter_split(m: list[int], state: list[int]) -> list[int]:
+    """(how the next split is entered, number so far in the file)."""
     s, n = (OUTSIDE, 0) if m[0] else state
     return [m[1 + 2 * s], n + m[2 + 2 * s]]
 
@@ -197,7 +199,7 @@ def splits_of(spark: SparkSession, paths: dict, wanted: list[str], required: tup
     near = near.withColumn("n", F.row_number().over(order).cast("long") - 1)
     near = near.withColumn("first", ~F.lag(F.struct("source", "file")).over(order).eqNullSafe(F.struct("source", "file")))
     maps = near.select(F.col("n").alias("block"), F.array(F.col("first").cast("long"), "exit", "records", "exit1", "records1").alias("map"))
-    states = block_states(maps, s.count(), [OUTSIDE, 0], _compose, _apply)
+    states = block_states(maps, s.count(), [OUTSIDE, 0], compose_splits, enter_split)
     entered = near.join(states.select(F.col("block").alias("n"), "state"), "n").select(
         *SPLIT, F.when(F.col("first"), OUTSIDE).otherwise(F.col("state")[0]).cast("int").alias("entry"),
         F.when(F.col("first"), 0).otherwise(F.col("state")[1]).alias("base"))

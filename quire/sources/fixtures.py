@@ -20,6 +20,7 @@ input order (file, row) is key order.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions.text import code_text
@@ -143,6 +144,18 @@ def patient_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         disp.alias("eddischarge_category"))
 
 
+def _one_object(batches):
+    """A partition's pairs as one object, a line at a time."""
+    lead = "{"
+    for b in batches:
+        lines = []
+        for pair in b.column("pair").to_pylist():
+            lines.append(lead + pair)
+            lead = ","
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["{}" if lead == "{" else "}"], pa.string())], ["value"])
+
+
 def render_patients(spark: SparkSession, sf_dir: str, path: str, layout: str = "lines") -> str:
     """``lines``: one JSON object a line; ``object``: files that are one
     ``{patient_id: {field: text}}`` object each."""
@@ -152,9 +165,7 @@ def render_patients(spark: SparkSession, sf_dir: str, path: str, layout: str = "
         return path
     entry = F.concat(F.to_json(F.struct("patient_id")), F.lit("|"), F.to_json(F.struct(*p.columns[1:]), {"ignoreNullFields": "false"}))
     pair = F.concat(F.regexp_extract(entry, r'^\{"patient_id":(".*?")\}\|', 1), F.lit(":"), F.regexp_extract(entry, r"\|(.*)$", 1))
-    (p.select(pair.alias("pair"), F.pmod(F.xxhash64("patient_id"), F.lit(8)).alias("object"))
-     .groupBy("object").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("pair"), ","), F.lit("}")).alias("value"))
-     .write.mode("overwrite").partitionBy("object").text(path))
+    p.select(pair.alias("pair")).mapInArrow(_one_object, "value string").write.mode("overwrite").text(path)
     return path
 
 

@@ -132,6 +132,6 @@ def test_map_composition_is_associative():
     maps = [[rng.random() < 0.2, rng.randrange(2), rng.randrange(9), rng.randrange(2), rng.randrange(9)] for _ in range(60)]
     maps = [[int(f), a, n, *((a, n) if f else (b, m))] for f, a, n, b, m in maps]
     for a, b, c in zip(maps, maps[1:], maps[2:]):
-        assert C._compose(C._compose(a, b), c) == C._compose(a, C._compose(b, c))
+        assert C.compose_splits(C.compose_splits(a, b), c) == C.compose_splits(a, C.compose_splits(b, c))
         for s in ([0, 5], [1, 7]):
-            assert C._apply(C._compose(a, b), s) == C._apply(b, C._apply(a, s))
+            assert C.enter_split(C.compose_splits(a, b), s) == C.enter_split(b, C.enter_split(a, s))
