@@ -150,13 +150,17 @@ def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", hos
     """The rows that the rules keep, with the lines above the limit taken out of
     ``text`` and ``length`` counted anew where a line went; all other columns stay."""
     verdicts = quality_rules(docs, key, text, host).where(~F.col("kept") | F.col("removed").isNotNull())
-    # one row for each (host, text): all rows of a text have the same verdict
-    v = verdicts.select(F.col(host).alias("v_host"), F.col("digest").alias("v_digest"), F.col("kept").alias("v_kept"),
-                        F.array_sort("removed").alias("v_removed")).dropDuplicates(["v_host", "v_digest"])
+    # one row for each (host, text): all rows of a text have the same verdict;
+    # its columns have names that no column of docs has
+    own = "v"
+    while any(c.lower().startswith(own + "_") for c in docs.columns):
+        own += "v"
+    of, mark, stays, lost = (f"{own}_{c}" for c in ("host", "digest", "kept", "removed"))
+    v = verdicts.select(F.col(host).alias(of), F.col("digest").alias(mark), F.col("kept").alias(stays),
+                        F.array_sort("removed").alias(lost)).dropDuplicates([of, mark])
     digest = F.unhex(F.md5(F.coalesce(docs[text], F.lit(""))))
-    found = docs.join(v, docs[host].eqNullSafe(v["v_host"]) & (digest == v["v_digest"]), "left").where(
-        F.coalesce("v_kept", F.lit(True)))
-    changed = F.col("v_removed").isNotNull()
-    found = found.withColumn(text, without_lines(F.col(text), F.col("v_removed")))
+    found = docs.join(v, docs[host].eqNullSafe(v[of]) & (digest == v[mark]), "left").where(F.coalesce(stays, F.lit(True)))
+    changed = F.col(lost).isNotNull()
+    found = found.withColumn(text, without_lines(F.col(text), F.col(lost)))
     return found.withColumn(length, F.when(changed, F.length(text).cast(docs.schema[length].dataType))
                             .otherwise(F.col(length))).select(docs.columns)

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from quire.llm import bpe
 from quire.llm.pii import pii_spans
@@ -70,3 +72,18 @@ def test_stages_keep_the_columns(spark):
         empty = stage(spark, docs.limit(0), SF_SMALL)
         assert empty.columns == docs.columns and empty.count() == 0
     assert len(P.STAGES) == 5
+
+
+def test_columns_of_any_name_go_along(spark):
+    from conftest import SF_SMALL
+    names = ["row_digest", "v_kept", "v_host", "v_removed", "base", "spans", "key", "row", "uid", "component_id", "digest", "kept",
+             "candidates", "beside_0", "keep_text", "contaminated", "items", "with space", "a.b"]
+    given = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(60)
+    docs = given.select("*", *[F.concat(F.lit(n + " of "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF_SMALL)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows, name
+        assert all(r[len(P.COLUMNS) + i] == f"{n} of {r.doc_id}" for r in rows for i, n in enumerate(names))
+    assert P.STAGES[-1][1](spark, docs, SF_SMALL).count() > 0
