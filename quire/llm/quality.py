@@ -102,7 +102,7 @@ def measures(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
-                  min_words: int = 20, repeat_percent: int = 30, share: float = 0.2,
+                  min_words: int = 20, repeat_percent: int = 30, share: float = 0.01,
                   least: int = 20, left_share: float = 0.3) -> DataFrame:
     """Per row: ``key``, ``host``, digest (MD5 of the text), the measures,
     base_failed, n_line_words (words in removed lines), kept, and removed (the

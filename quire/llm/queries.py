@@ -116,7 +116,7 @@ l AS MATERIALIZED (
 hosts AS (SELECT source, count(*) AS texts FROM texts GROUP BY source),
 above AS (
   SELECT l.source, norm FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source
-  GROUP BY l.source, norm, texts HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > 0.2 * texts),
+  GROUP BY l.source, norm, texts HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > 0.01 * texts),
 gone AS (
   SELECT l.source, l.t, sum(n) AS n FROM l JOIN above
     ON l.source IS NOT DISTINCT FROM above.source AND l.norm = above.norm GROUP BY l.source, l.t),

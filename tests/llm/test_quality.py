@@ -10,7 +10,7 @@ from quire.llm.quality import quality_rules
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
 
-def brute(rows, share=0.2, least=20):
+def brute(rows, share=0.01, least=20):
     """rows of (id, text, host) -> sorted result tuples."""
     held, per_host = defaultdict(set), defaultdict(set)
     norm = lambda x: re.sub("[0-9]+", "0", " ".join(WORD.findall(x)).lower())
