@@ -267,7 +267,8 @@ def search(index: DataFrame, items: DataFrame, key: str = "item_id", text: str =
             names, block = shared.value
             win = Windows(block, width)
             for b in batches:
-                for r in b.to_pylist():
+                for i in range(b.num_rows):  # one segment at a time as Python objects
+                    r = {c: b.column(c)[i].as_py() for c in b.schema.names}
                     seg = Segment(r["doc_words"], r["terms"], r["bounds"], r["postings"])
                     hits = (phrase_matches(seg, win) if within is None
                             else proximity_matches(seg, win, within))
