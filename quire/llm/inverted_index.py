@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from quire.llm.memory import batchwise
 from quire.llm.wordhash import ALNUM, slices_by_bytes, words
 from quire.session import materialize, scratch_path, ship_package
 
@@ -74,7 +75,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 n += 1
 
     return (docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-            .mapInArrow(index, schema))
+            .mapInArrow(batchwise(index), schema))
 
 
 class Segment:
@@ -282,7 +283,7 @@ def search(index: DataFrame, items: DataFrame, key: str = "item_id", text: str =
                         ["segment", "ord", "items", "spans"])
 
         (index.select("segment", "doc_words", "terms", "bounds", "postings")
-         .mapInArrow(match, _HITS).write.mode("append").parquet(path))
+         .mapInArrow(batchwise(match), _HITS).write.mode("append").parquet(path))
         shared.unpersist()
     return spark.read.schema(_HITS).parquet(path)
 

@@ -46,6 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from quire.llm.components import components
+from quire.llm.memory import batchwise, tablewise
 from quire.llm.wordhash import NON_SPACE, mix, shingles, slices_by_bytes, words
 from quire.session import materialize, ship_package, shuffle_partitions
 
@@ -138,7 +139,7 @@ def _frequent(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h[often].view(np.int64)), pa.array(n[often])], ["h", "n"])
 
-    return (docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return (docs.mapInArrow(batchwise(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
             .where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(FREQUENT_MOST))
 
 
@@ -171,7 +172,7 @@ def _signatures(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                 [b.column("key"), pa.array(n, pa.int32())]
                 + [pa.array(c, pa.binary()) for c in (uid, points, prefix)], out.fieldNames())
 
-    return docs.mapInArrow(sign, out)
+    return docs.mapInArrow(batchwise(sign), out)
 
 
 # ---- cells -----------------------------------------------------------------
@@ -207,7 +208,7 @@ def _deal(signed: DataFrame, buckets: int, frequent) -> DataFrame:
                                              + [pa.array(c, pa.binary()) for c in cols[1:]],
                                              ["bucket", "uids", "sizes", "cells", "local", "salts", "blocks"])
 
-    return signed.mapInArrow(deal, "bucket int, uids binary, sizes binary, cells binary, "
+    return signed.mapInArrow(batchwise(deal), "bucket int, uids binary, sizes binary, cells binary, "
                                    "local binary, salts binary, blocks binary")
 
 
@@ -530,7 +531,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 ["uid", "s"])
 
     # both joins read the sets through the exchange of this grouping, made once
-    sets = docs.mapInArrow(chosen, "uid binary, s array<long>").groupBy("uid").agg(F.first("s").alias("s"))
+    sets = docs.mapInArrow(batchwise(chosen), "uid binary, s array<long>").groupBy("uid").agg(F.first("s").alias("s"))
     both = (pairs.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b"))
     shared_n = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -564,7 +565,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     entries = signed.where("prefix is not null").agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
     buckets = max(shuffle_partitions(spark), int(entries // BUCKET) + 1)
     dealt = _deal(signed.where("prefix is not null").select("uid", "n", "prefix"), buckets, frequent)
-    cells = materialize(dealt.groupBy("bucket").applyInArrow(_read_cells(percent), _CELLS), "cells")
+    cells = materialize(dealt.groupBy("bucket").applyInArrow(tablewise(_read_cells(percent)), _CELLS), "cells")
     members = cells.where("cell is not null").select("cell", "salt", "blocks", "uid")
 
     near = (cells.where("cell is null").groupBy(F.col("uid").alias("a"), F.col("other").alias("b"))
@@ -592,7 +593,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
                  # cells of one group meet in a few parts, where a pair is listed once
                  .withColumn("part", F.pmod(F.xxhash64("x", F.pmod("cell", F.lit(4)), "lo", "hi"), F.lit(parts)))
                  .drop("x")
-                 .groupBy("part").applyInArrow(_join_cells(percent, limit), "a binary, b binary, cell long"))
+                 .groupBy("part").applyInArrow(tablewise(_join_cells(percent, limit)), "a binary, b binary, cell long"))
         found = materialize(found, "found")
         # the links between components, as links between their roots
         of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))

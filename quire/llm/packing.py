@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from quire.llm import bpe
+from quire.llm.memory import batchwise
 from quire.session import ship_package
 
 
@@ -191,4 +192,4 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str | None = None, key: str = "
             yield flush()
 
     return (docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-            .mapInArrow(pack, out).withColumnRenamed("key", key))
+            .mapInArrow(batchwise(pack), out).withColumnRenamed("key", key))
