@@ -6,15 +6,18 @@ pointer jumping in numpy.  If there was more than one block, alternating star
 contraction (large-star, small-star) over the forests' links finishes the work
 in DataFrames: each round points every node at the smallest neighbour it
 knows, so a chain of any length shrinks in a logarithmic number of rounds.
-Rounds are written to the shared scratch folder, which cuts the lineage; no
-links or components reach the driver.
+Smallest neighbours come from a partial aggregate joined back, so a root with a
+third of all nodes for neighbours is split like any skewed join.  Rounds go on
+until one changes nothing (if none does, the job fails).  They are written to the
+shared scratch folder, which cuts the lineage; no links or components reach the
+driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quire.session import materialize, ship_package
 
@@ -53,6 +56,31 @@ def _forest(batches):
                                       ends.dictionary.take(place.take(pa.array(root[child])))], ["a", "b"])
 
 
+def _with_smallest(links: DataFrame) -> DataFrame:
+    """``links`` with m, the smallest b of the row's a."""
+    return links.join(links.groupBy("a").agg(F.min("b").alias("m")), "a")
+
+
+def _contract(e: DataFrame, rounds: int) -> DataFrame:
+    """Star contraction of links (a > b) until every node points at its root."""
+    last = None
+    for _ in range(rounds):
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = (_with_smallest(both).where("b > a")
+                 .select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a > b").distinct())
+        large = materialize(large, "links")
+        small = (_with_smallest(large)
+                 .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
+                                           F.struct("a", F.col("m").alias("b")))).alias("e"))
+                 .select("e.a", "e.b").where("a > b").distinct())
+        e = materialize(small, "links")
+        mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == last:
+            return e
+        last = mark
+    raise RuntimeError(f"components not settled after {rounds} rounds")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links``; root is the smallest node of
     the component.  Links may repeat, point both ways or be loops; null ends
@@ -62,20 +90,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
                     .distinct(), "links")
     blocks = e.count() // BLOCK + 1
     e = materialize(e.coalesce(blocks).mapInArrow(_forest, e.schema), "links")
-    last = None
-    for _ in range(rounds if blocks > 1 else 0):
-        low = F.min("b").over(W.partitionBy("a"))
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = (both.withColumn("m", low).where("b > a")
-                 .select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a > b"))
-        e = (large.withColumn("m", low)
-             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
-                                       F.struct("a", F.col("m").alias("b")))).alias("e"))
-             .select("e.a", "e.b").where("a > b").distinct())
-        e = materialize(e, "links")
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == last:
-            break
-        last = mark
+    if blocks > 1:  # one block's forest is the answer
+        e = _contract(e, rounds)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -123,6 +123,13 @@ def test_components(spark, monkeypatch, block):
     assert all(n in got for p in links if p[0] != p[1] for n in p)
 
 
+def test_components_that_do_not_settle_fail(spark, monkeypatch):
+    monkeypatch.setattr("quire.llm.components.BLOCK", 10)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        components(chain, rounds=1)
+
+
 def test_limited_join_says_what_it_cut():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
