@@ -9,13 +9,14 @@ from quire.operators.ordering import assign_batches, prefix_series, with_positio
 from quire.operators.patients import (admitted_label, assemble_info, fill_defaults,
                                       patient_documents)
 from quire.plans.corpus import build_corpus, read_source
-from quire.plans.registry import register, sql_clean
+from quire.plans.registry import register, sql_clean, sql_words
 from quire.session import scratch_path
 from quire.sources import fixtures as fx
 from quire.sources.articles import parsed_records, read_articles_quarantined
 from quire.sources.notes import read_notes
 from quire.sources.patients import read_patients
-from quire.sources.sinks import read_corpus, write_corpus
+from quire.sources.sinks import (read_batches, read_corpus, read_positions, write_corpus, write_corpus_profiled,
+                                 write_positions)
 
 _NA = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
 
@@ -197,6 +198,46 @@ def q_w3(spark, sf_dir):
                                      F.max("n_chars").alias("max_chars"))
 
 
+def _laid_out(spark, sf_dir):
+    """Documents numbered by doc_id in a sink of about 64 folders, and how many there are."""
+    p = with_positions(fx.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), ["doc_id"])
+    n = p.count()
+    return write_positions(p, scratch_path(spark, "by-position"), max(1, n // 64)), n
+
+
+@register("w2_chunks", f"SELECT pos, doc_id, n_chars FROM ({SQL_DOC_POS}) "
+          "WHERE pos < (SELECT count(*) // 2 FROM documents)")
+def q_w2_chunks(spark, sf_dir):
+    """The first half of the documents, from the folders that hold it."""
+    path, n = _laid_out(spark, sf_dir)
+    return read_positions(spark, path, 0, n // 2).select("pos", "doc_id", "n_chars")
+
+
+@register("w3_chunks", f"""
+SELECT CAST(floor(pos / 64) AS BIGINT) AS batch_id, count(*) AS n_rows, min(pos) AS first_pos, max(n_chars) AS max_chars
+FROM ({SQL_DOC_POS}) WHERE pos >= (SELECT count(*) // 128 FROM documents) * 64 GROUP BY 1
+""")
+def q_w3_chunks(spark, sf_dir):
+    """Batches of the second half, from the folders that hold them."""
+    path, n = _laid_out(spark, sf_dir)
+    b = read_batches(spark, path, n // 128, -(-n // 64))
+    return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("pos").alias("first_pos"),
+                                     F.max("n_chars").alias("max_chars"))
+
+
+@register("a1_observed", f"""
+SELECT CASE WHEN grouping(source) = 1 THEN 'all' ELSE 'source' END AS level, source, count(*) AS n_docs,
+       count(clinical_text) AS n_texts, avg({sql_words('clinical_text')}) AS avg_words,
+       CAST(sum(length(clinical_text)) AS BIGINT) AS n_chars,
+       coalesce(sum(octet_length(encode(clinical_text))), 0) / 1048576.0 AS size_mb
+FROM ({SQL_CORPUS}) GROUP BY ROLLUP (source)
+""")
+def q_a1_observed(spark, sf_dir):
+    """Profile of the six-source corpus (A1-A3), measured while it is written."""
+    corpus = build_corpus(spark, fx.render_all_sources(spark, sf_dir))
+    return write_corpus_profiled(corpus, scratch_path(spark, "corpus"))
+
+
 # ---- S4 / P6-P10 / E4: patients -------------------------------------------------
 
 SQL_PATIENTS = """

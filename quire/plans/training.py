@@ -15,17 +15,17 @@ from quire.operators.ordering import epoch_order
 from quire.operators.plan import training_plan
 from quire.operators.tokens import build_vocabulary, pad_vocabulary, tokenize
 from quire.plans.corpus import build_corpus
-from quire.sources.sinks import write_corpus, write_tokenized
+from quire.sources.sinks import write_corpus_profiled, write_tokenized
 
 
 def prepare_training_data(spark: SparkSession, source_paths: dict[str, str], out_dir: str,
                           max_length: int = 128, vocab_size: int = 30522,
                           batch_size: int = 128, base_epochs: int = 50) -> dict[str, str]:
-    """Write corpus, vocabulary, tokenised examples and the training plan.
+    """Write corpus, its profile, vocabulary, tokenised examples and the training plan.
     Returns the output paths."""
-    out = {k: f"{out_dir.rstrip('/')}/{k}" for k in ("corpus", "vocabulary", "tokenized", "plan")}
+    out = {k: f"{out_dir.rstrip('/')}/{k}" for k in ("corpus", "profile", "vocabulary", "tokenized", "plan")}
     corpus = build_corpus(spark, source_paths)
-    write_corpus(corpus, out["corpus"])
+    write_corpus_profiled(corpus, out["corpus"]).coalesce(1).write.mode("overwrite").parquet(out["profile"])
     corpus = spark.read.parquet(out["corpus"])
     vocab = pad_vocabulary(build_vocabulary(corpus.where(F.col("clinical_text").isNotNull()),
                                             vocab_size=vocab_size))

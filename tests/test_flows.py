@@ -19,6 +19,8 @@ def test_prepare_training_data(spark):
     assert corpus.count() == tok.count() + corpus.where(F.col("clinical_text").isNull()).count()
     assert vocab.count() % 64 == 0
     assert tok.where(F.size("input_ids") != 32).count() == 0
+    total = spark.read.parquet(out["profile"]).where("level = 'all'").first()
+    assert total.n_docs == corpus.count() and total.n_texts == tok.count()
     plan = {r.source: r for r in spark.read.parquet(out["plan"]).collect()}
     assert plan[None].total_samples == corpus.count()
     e = epoch_batches(tok, 1, vocab.count(), batch_size=16).collect()
