@@ -36,7 +36,7 @@ from quire.llm.memory import batchwise
 from quire.llm.wordhash import ALNUM, slices_by_bytes, words
 from quire.session import materialize, scratch_path, ship_package
 
-SEGMENT_BYTES = 12 << 20
+SEGMENT_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
 _CANDIDATES = 1 << 21
 
