@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from quire.llm.components import components
-from quire.llm.memory import batchwise, tablewise
+from quire.llm.memory import batchwise, forget_shuffles, tablewise
 from quire.llm.wordhash import NON_SPACE, mix, shingles, slices_by_bytes, words
 from quire.session import materialize, ship_package, shuffle_partitions
 
@@ -571,6 +571,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     near = (cells.where("cell is null").groupBy(F.col("uid").alias("a"), F.col("other").alias("b"))
             .agg(F.sum("weight").alias("w")).where("w > 2").select("a", "b"))
     links = _verify(near, docs, k, percent)
+    forget_shuffles(spark)
     roots = materialize(components(links), "roots")
 
     points = materialize(signed.where("point is not null").groupBy("uid").agg(
@@ -601,6 +602,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
                 .join(of("a"), "a", "left").join(of("b"), "b", "left")
                 .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
         roots = materialize(_follow(roots, materialize(components(late), "roots")), "roots")
+        forget_shuffles(spark)
         members = members.join(found.where("cell is not null").select("cell").distinct(), "cell", "left_semi")
 
     least = (signed.where("uid is not null").groupBy("uid").agg(F.min("key").alias("least"))

@@ -1,4 +1,4 @@
-"""Memory of Python workers.
+"""Memory of Python workers, and shuffle files that nothing will read.
 
 Spark reuses a worker for tasks of other queries, and what Arrow and the C
 allocator keep for reuse stays with it: over the stages of one session every
@@ -9,9 +9,11 @@ unused part back when their task's data ends.
 from __future__ import annotations
 
 import ctypes
+import gc
 from functools import wraps
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 
 def give_back() -> None:
@@ -42,3 +44,11 @@ def tablewise(function):
         finally:
             give_back()
     return run
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are out of use.  Its
+    cleaner acts on collected objects only, and a driver with free heap collects
+    none for half an hour; an operator of many steps calls this between them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
