@@ -13,6 +13,9 @@ from pyspark.sql import Column, functions as F
 # Fixed values ------------------------------------------------------------
 # Whitespace class equal to Python's str.isspace() set.
 WS_CLASS = r"[\s\x1c-\x1f]"
+# ... and its members.
+WS_CHARS = ("\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+            "\u2028\u2029\u202f\u205f\u3000")
 # Whole-cell tokens that pandas.read_csv turns into null by default.
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -38,7 +41,7 @@ def clean_text(c) -> Column:
 
 def py_strip(c) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(c), _EDGES, "")
+    return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
 def word_count(c) -> Column:

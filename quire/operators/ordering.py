@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.session import materialize, shuffle_partitions
 
@@ -35,12 +35,16 @@ _PLACE_BITS = 33
 
 
 def with_positions(df: DataFrame, order_cols: list[str], name: str = "pos",
-                   n_partitions: int | None = None) -> DataFrame:
+                   n_partitions: int | None = None, where: Column | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row in ``order_cols`` order
     (nulls first).  Equal keys get adjacent positions in an order fixed once,
-    when the input is written; add columns to settle it."""
+    when the input is written; add columns to settle it.  Only rows of ``where``
+    are numbered: it is tested on the written input, while Spark would move a
+    filter of ``df`` below its columns and compute those it names twice."""
     spark = df.sparkSession
     written = materialize(df.withColumn("__tie", F.monotonically_increasing_id()), "positions-input")
+    if where is not None:
+        written = written.where(where)
     n = n_partitions or max(shuffle_partitions(spark), -(-written.count() // ROWS_PER_PARTITION))
     keys = [*order_cols, "__tie"]
     ranged = (written.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("__tie")

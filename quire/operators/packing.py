@@ -156,7 +156,7 @@ def _bins_of(numbered: DataFrame, n: int, T_: int, scope: list[str], block_rows:
 
 
 def _bin_text(pieces):
-    return F.array_join(F.transform(F.array_sort(pieces), lambda p: p["__t"]), " ")
+    return F.array_join(F.transform(F.sort_array(pieces), lambda p: p["__t"]), " ")
 
 
 def pack_contexts(df: DataFrame, max_length: int = 8192, order_cols=("pos",), scope=None,
@@ -170,9 +170,8 @@ def pack_contexts(df: DataFrame, max_length: int = 8192, order_cols=("pos",), sc
     ship_package(spark)
     scope, T_ = list(scope or []), int(max_length)
     keys = scope + [c for c in order_cols if c not in scope]
-    texts = df.where(F.col(text_col).isNotNull()).select(
-        *keys, F.col(text_col).alias("__t"), F.length(text_col).cast("long").alias("L"))
-    numbered = with_positions(texts, keys, name="__seq")
+    texts = df.select(*keys, F.col(text_col).alias("__t"), F.length(text_col).cast("long").alias("L"))
+    numbered = with_positions(texts, keys, name="__seq", where=F.col("__t").isNotNull())
     n, chars = numbered.agg(F.count(F.lit(1)), F.coalesce(F.sum("L"), F.lit(0))).first()
     out = ["bin_id", *scope, "n_docs", "first_pos"]
     if n == 0:
