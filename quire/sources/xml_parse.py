@@ -5,7 +5,9 @@ element path and at most one *capture*, the text at the start of an element of
 interest.  A capture ends at the element's first child of any kind (element,
 comment or processing instruction) or at its end, so ``T <i>x</i> tail`` gives
 ``T`` and text around a CDATA section is kept whole.  Names in a namespace do
-not match.  No tree is built, so a long record costs no more than its text.
+not match.  No tree is built, so a long record costs no more than its text.  A
+batch is taken a few MB at a time: its records, as Python strings, their fields
+and the fields as columns would together be many times the batch.
 
 A malformed record yields its error message instead of fields; the caller
 decides whether that fails the job or is set aside.
@@ -15,7 +17,9 @@ from __future__ import annotations
 
 from xml.parsers import expat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quire.session import ship_package
@@ -26,6 +30,7 @@ SCHEMA = ("pmid string, title string, abstract string, error string, xml string,
 FIRST = {"PMID": "pmid", "ArticleTitle": "title"}
 # ... and the element of which every occurrence counts, under its parent.
 EVERY, PARENT = "AbstractText", "Abstract"
+SLICE_BYTES = 4 << 20   # of records that are Python objects at a time
 
 
 class _Events:
@@ -82,9 +87,22 @@ def fields_of(record: str) -> tuple[str | None, str | None, str | None, str | No
     return events.fields["pmid"], events.fields["title"], " ".join(events.parts), None
 
 
+def _slices(batches, limit: int = SLICE_BYTES):
+    """The batches in runs of records of ``limit`` bytes or less each; one longer
+    record is a run of its own."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column("xml")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        i, n = 0, len(ends)
+        while i < n:
+            j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, side="right"))
+            j = max(i + 1, j)
+            yield b.slice(i, j - i)
+            i = j
+
+
 def _parse(batches):
     place, row = None, 0
-    for b in batches:
+    for b in _slices(batches):
         xml, file, block = (b.column(c).to_pylist() for c in ("xml", "file", "block"))
         columns = list(zip(*map(fields_of, xml), strict=True)) or [[]] * 4
         kept = [x if e is not None else None for x, e in zip(xml, columns[3], strict=True)]
