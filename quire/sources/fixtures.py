@@ -92,7 +92,7 @@ def article_records(documents: DataFrame) -> DataFrame:
     return documents.select(rec.alias("value"))
 
 
-def render_articles(documents: DataFrame, path: str, n_files: int = 3) -> str:
+def render_articles(documents: DataFrame, path: str, n_files: int | None = None) -> str:
     article_records(in_order(documents, "doc_id", n_files)).write.mode("overwrite").text(path)
     return path
 
