@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.text import split_words
@@ -31,6 +32,7 @@ SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
 PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = range(5)
 DEFAULT_VOCAB_SIZE = 30522
 VOCAB_MULTIPLE = 64
+LOOKUP_ROWS = 500            # rows that are Python objects at a time
 ENCODE_CHARS = 1 << 20      # characters of text a user tokenizer gets at once
 DUMMY_TOKEN = "<dummy_extra_token_%d>"
 
@@ -118,13 +120,15 @@ def tokenize(df: DataFrame, vocab: DataFrame, max_length: int = 128,
     words = vocab.where(~reserved(F.col("token"))).select("token", "token_id")
     bc = spark.sparkContext.broadcast({r["token"]: r["token_id"] for r in words.collect()})
 
-    @F.pandas_udf("array<int>")
-    def lookup(lists: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def lookup(lines: pa.Array) -> pa.Array:
         d = bc.value
-        return pd.Series([[d.get(w, UNK_ID) for w in ws] for ws in lists])
+        return pa.concat_arrays([
+            pa.array([[d.get(w, UNK_ID) for w in x.split(" ")] if x else [] for x in lines.slice(i, LOOKUP_ROWS).to_pylist()],
+                     pa.list_(pa.int32())) for i in range(0, max(1, len(lines)), LOOKUP_ROWS)])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    input_ids, mask, n = frame_ids(lookup(truncated_words(text, max_length)), max_length)
+    input_ids, mask, n = frame_ids(lookup(F.array_join(truncated_words(text, max_length), " ")), max_length)
     return df.select(id_col, input_ids.alias("input_ids"), mask.alias("attention_mask"),
                      n.alias("n_tokens"))
 
