@@ -27,7 +27,6 @@ CODE_TEXT_TEMPLATE = "ICD %s code for %s: %s"
 # -------------------------------------------------------------------------
 
 _WS_RUN = "(?U)" + WS_CLASS + "+"
-_EDGES = "(?U)^" + WS_CLASS + "+|" + WS_CLASS + "+$"
 
 
 def _c(c) -> Column:
@@ -51,9 +50,13 @@ def word_count(c) -> Column:
 
 def split_words(c) -> Column:
     """``s.split()`` as an array: runs of whitespace separate, edges ignored."""
-    stripped = py_strip(c)
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(
-        F.split(stripped, _WS_RUN))
+    return F.array_remove(F.split(_c(c), _WS_RUN), "")
+
+
+def first_words(c, n: int) -> Column:
+    """``s.split()[:n]``; the text behind these words is not split."""
+    # one piece more for whitespace at the start, one for the rest
+    return F.slice(F.array_remove(F.split(_c(c), _WS_RUN, n + 2), ""), 1, n)
 
 
 def na_to_null(c) -> Column:
